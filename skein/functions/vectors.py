@@ -108,10 +108,13 @@ def near_edge(x: Column, y: Column, margin: float, world: World) -> Column:
 
 
 def in_view(d: Vector, v: Vector, degrees: float) -> Column:
-    """Whether an agent moving along v sees a point at offset d, strictly inside its cone."""
-    seen = norm_sq(d) >= 1e-4
+    """Whether an agent moving along v sees a point at offset d, strictly inside its cone.
+
+    An agent at rest looks nowhere; the full circle of 360 degrees means no filter.
+    """
     if degrees == 360:
         return F.lit(True)
+    seen = (norm_sq(d) >= 1e-4) & (norm_sq(v) > 0)
     u, w = normalize(v), normalize(d)
     half = F.cos(F.lit(degrees * 0.5) * F.pi() / 180)
     return seen & (u[0] * w[0] + u[1] * w[1] > half)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.skew import skew_join
+
 FRAME = ("time",)
 
 
@@ -98,7 +100,7 @@ def zscores(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ("run_i
         *[F.avg(c).alias(f"_m_{c}") for c in columns],
         *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns],
     )
-    joined = rows.join(moments, [*by])
+    joined = skew_join(rows, moments, by, spread_by=["id", "time"])
     for c in columns:
         sd = F.col(f"_s_{c}")
         joined = joined.withColumn(c, F.when(sd > 0, (F.col(c) - F.col(f"_m_{c}")) / sd))
@@ -110,7 +112,7 @@ def min_max(rows: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     ends = rows.groupBy(*by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     return (
-        rows.join(ends, [*by])
+        skew_join(rows, ends, by, spread_by=["time"])
         .withColumn(column, F.when(span > 0, (F.col(column) - F.col("_lo")) / span))
         .drop("_lo", "_hi")
     )

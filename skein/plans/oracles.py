@@ -179,5 +179,82 @@ SQL: dict[str, str] = {
 }
 
 
+
+CLOUD = """cloud AS (
+  SELECT 0 AS "time", vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS x,
+         CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings)"""
+
+
+def near_cte(
+    source: str = "track", radius: float = 7, toroidal: bool = True, less: str = "<=", name: str = "near"
+) -> str:
+    wrap = tor if toroidal else (lambda d: f"({d})")
+    return f"""{name} AS (
+  SELECT *, sqrt(ox*ox + oy*oy) AS dist
+  FROM (SELECT a.*, b.id AS id2, {wrap('b.x - a.x')} AS ox, {wrap('b.y - a.y')} AS oy
+        FROM {source} a JOIN {source} b ON a."time" = b."time" AND a.id <> b.id)
+  WHERE ox*ox + oy*oy {less} {radius * radius})"""
+
+
+def labels_cte(source: str, min_pts: int) -> str:
+    """Reachability among core agents, then the smallest core agent; border takes the largest."""
+    return f"""core AS (
+  SELECT "time", id FROM {source} LEFT JOIN (SELECT "time", id, count(*) AS deg FROM near GROUP BY 1, 2) d
+  USING ("time", id) WHERE coalesce(deg, 0) + 1 >= {min_pts}),
+links AS (
+  SELECT n."time", n.id, n.id2 FROM near n
+  JOIN core a ON a."time" = n."time" AND a.id = n.id JOIN core b ON b."time" = n."time" AND b.id = n.id2),
+reach AS (
+  SELECT "time", id, id AS seen FROM core
+  UNION SELECT r."time", r.id, l.id2 FROM reach r JOIN links l ON l."time" = r."time" AND l.id = r.seen),
+core_label AS (SELECT "time", id, min(seen) + 1 AS label FROM reach GROUP BY 1, 2),
+border AS (
+  SELECT n."time", n.id, max(c.label) AS label FROM near n JOIN core_label c ON c."time" = n."time" AND c.id = n.id2
+  WHERE (n."time", n.id) NOT IN (SELECT ("time", id) FROM core) GROUP BY 1, 2),
+labels AS (
+  SELECT t."time", t.id, coalesce(c.label, b.label, 0) AS cluster_id FROM {source} t
+  LEFT JOIN core_label c ON c."time" = t."time" AND c.id = t.id
+  LEFT JOIN border b ON b."time" = t."time" AND b.id = t.id)"""
+
+
+def unit(x: str, y: str) -> tuple[str, str]:
+    n = f"sqrt({x}*{x} + {y}*{y})"
+    return f"{x} / {n}", f"{y} / {n}"
+
+
+def seen(degrees: float, v: tuple[str, str] = ("dx", "dy"), o: tuple[str, str] = ("ox", "oy")) -> str:
+    (vx, vy), (ux, uy) = unit(*v), unit(*o)
+    return (
+        f"({o[0]}*{o[0]} + {o[1]}*{o[1]} >= 1e-4 AND {v[0]}*{v[0]} + {v[1]}*{v[1]} > 0 "
+        f"AND ({vx}) * ({ux}) + ({vy}) * ({uy}) > cos({degrees} * 0.5 * pi() / 180))"
+    )
+
+
+MOVING = "moving AS (SELECT * FROM steps WHERE dx IS NOT NULL)"
+
+SQL |= {
+    "neighbours_toroidal": ctes(TRACK, near_cte()) + "SELECT * FROM near",
+    "neighbours_enclosed": ctes(TRACK, near_cte(toroidal=False)) + "SELECT * FROM near",
+    "neighbours_strict": ctes(TRACK, near_cte(less="<")) + "SELECT * FROM near",
+    "point_cloud_neighbours": ctes(CLOUD, near_cte("cloud", 3, False)) + "SELECT * FROM near",
+    "neighbour_counts": ctes(TRACK, near_cte())
+    + """SELECT "time", id, coalesce(n, 0) AS n_neighbours FROM track
+  LEFT JOIN (SELECT "time", id, count(*) AS n FROM near GROUP BY 1, 2) c USING ("time", id)""",
+    "fov_neighbours": ctes(TRACK, steps_cte(), MOVING, near_cte("moving"))
+    + f"SELECT * FROM near WHERE {seen(280)}",
+    "capped_neighbours": ctes(TRACK, near_cte())
+    + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "time", id ORDER BY dist, id2) AS rank FROM near)
+  WHERE rank <= 3""",
+    "dbscan_labels": ctes(TRACK, near_cte(), labels_cte("track", 3), recursive=True)
+    + "SELECT * FROM labels",
+    "cluster_sizes": ctes(TRACK, near_cte(), labels_cte("track", 3), recursive=True)
+    + 'SELECT "time", cluster_id, count(*) AS agents FROM labels GROUP BY 1, 2',
+    "components": ctes(TRACK, near_cte(), labels_cte("track", 1), recursive=True)
+    + 'SELECT "time", id, cluster_id - 1 AS component FROM labels',
+    "point_cloud_dbscan": ctes(CLOUD, near_cte("cloud", 2.5, False), labels_cte("cloud", 3), recursive=True)
+    + "SELECT * FROM labels",
+}
+
+
 def all_sql() -> dict[str, str]:
     return {name: shape_sql(sql, CATALOGUE[name][0]) for name, sql in SQL.items()}

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.angles import degree_bin
+from skein.functions.vectors import near_edge
+from skein.operators import cluster as C
 from skein.operators import histograms as H
 from skein.operators import metrics as M
+from skein.operators import spatial as S
 from skein.operators import tracks as K
 from skein.plans.shape import shape
 from skein.schema import World
-from skein.sources.events import WORLD, tracks
+from skein.sources.events import WORLD, point_cloud, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -192,8 +196,6 @@ def facet_direction_counts(spark, sf):
 @query("time_bin degree n")
 def time_bin_headings(spark, sf):
     binned = K.time_bins(K.directional(tracks(spark, sf), WORLD), width=4, bins=13)
-    from skein.functions.angles import degree_bin
-
     return binned.groupBy("time_bin", degree_bin(F.col("headings")).alias("degree")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -214,8 +216,6 @@ def boundary_clean_tracks(spark, sf):
 
 @query("rows boundary_share:double affected_share:double")
 def boundary_share(spark, sf):
-    from skein.functions.vectors import near_edge
-
     flagged = K.flag_boundary_dependent(tracks(spark, sf), EDGE_MARGIN, WORLD, reach=2)
     edge = near_edge(F.col("x"), F.col("y"), EDGE_MARGIN, WORLD)
     return flagged.agg(
@@ -265,3 +265,67 @@ def trails(spark, sf):
         total("x").alias("trail_x"),
         total("y").alias("trail_y"),
     )
+
+
+# --- neighbours and clusters ----------------------------------------------------------
+
+RADIUS = 7.0
+VIEW = 280.0
+MIN_PTS = 3
+CLOUD = World(100, 100, toroidal=False)
+
+
+@query("time id id2 ox:double oy:double dist:double")
+def neighbours_toroidal(spark, sf):
+    return S.neighbours(tracks(spark, sf), RADIUS, WORLD)
+
+
+@query("time id id2 dist:double")
+def neighbours_enclosed(spark, sf):
+    return S.neighbours(tracks(spark, sf), RADIUS, WORLD.enclosed())
+
+
+@query("time id id2 dist:double")
+def neighbours_strict(spark, sf):
+    return S.neighbours(tracks(spark, sf), RADIUS, WORLD, strict=True)
+
+
+@query("id id2 dist:double")
+def point_cloud_neighbours(spark, sf):
+    return S.neighbours(point_cloud(spark, sf), 3.0, CLOUD)
+
+
+@query("time id n_neighbours")
+def neighbour_counts(spark, sf):
+    return S.neighbour_counts(tracks(spark, sf), RADIUS, WORLD)
+
+
+@query("time id id2")
+def fov_neighbours(spark, sf):
+    steps = K.displacement(tracks(spark, sf), WORLD).where(F.col("dx").isNotNull())
+    return S.visible_neighbours(steps, RADIUS, VIEW, WORLD)
+
+
+@query("time id id2 rank dist:double")
+def capped_neighbours(spark, sf):
+    return S.nearest_within(tracks(spark, sf), RADIUS, 3, WORLD)
+
+
+@query("time id cluster_id")
+def dbscan_labels(spark, sf):
+    return C.dbscan(tracks(spark, sf), RADIUS, MIN_PTS, WORLD)
+
+
+@query("time cluster_id agents")
+def cluster_sizes(spark, sf):
+    return C.cluster_sizes(C.dbscan(tracks(spark, sf), RADIUS, MIN_PTS, WORLD))
+
+
+@query("time id component")
+def components(spark, sf):
+    return C.components(tracks(spark, sf), RADIUS, WORLD)
+
+
+@query("id cluster_id")
+def point_cloud_dbscan(spark, sf):
+    return C.dbscan(point_cloud(spark, sf), 2.5, MIN_PTS, CLOUD)
