@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
-from skein.operators.skew import skew_join
+from skein.operators.skew import HOT_ROWS, skew_join
 from skein.operators.spatial import Grid, cell_join, with_cell
 from skein.schema import World
 from skein.session import cut
@@ -27,42 +27,50 @@ SPLIT = 8  # sub-cells per side and level
 LEVELS = 5
 
 
+SMALL_GRAPH = 200_000  # nodes whose labels Spark may broadcast, about 5 MB
+
+
 def connected(nodes: DataFrame, edges: DataFrame, frame: Sequence[str]) -> DataFrame:
     """(frame, node, label): label is the smallest node of the component.
 
-    Every round hands labels to neighbours and to the current roots, then jumps
-    to the root's root; labels settle after about log(diameter) rounds.
+    Every round offers a node's label to its neighbours and to their current
+    roots, and moves every node on to its root's root; labels settle after about
+    log(diameter) rounds. A root may carry most nodes, so large graphs look
+    roots up with the skew-safe join.
     """
     frame = list(frame)
     key = [*frame, "node"]
     links = cut(edges.union(edges.select(*frame, "v", "u")).toDF(*frame, "u", "v").distinct())
-    labels = nodes.select(*key, F.col("node").alias("label")).withColumn("old", F.lit(None).cast("long"))
+    labels = cut(nodes.select(*key, F.col("node").alias("label")))
+    small = labels.count() <= SMALL_GRAPH
     while True:
-        current = labels.select(*key, "label")
+        of_v = labels.select(*frame, F.col("node").alias("v"), F.col("label").alias("offer"))
+        of_u = labels.select(*frame, F.col("node").alias("u"), F.col("label").alias("lu"))
         offers = (
-            links.join(current.withColumnRenamed("node", "v"), [*frame, "v"])
-            .groupBy(*frame, F.col("u").alias("node"))
-            .agg(F.min("label").alias("offer"))
-        )
-        offered = current.join(offers, key, "left")
-        hooks = (
-            offered.where("offer < label")
-            .groupBy(*frame, F.col("label").alias("node"))
-            .agg(F.min("offer").alias("hook"))
+            links.join(of_v, [*frame, "v"])
+            .join(of_u, [*frame, "u"])
+            .where("offer < lu")
+            .select(*frame, F.explode(F.array("u", "lu")).alias("node"), "offer")
+            .groupBy(*key)
+            .agg(F.min("offer").alias("offer"))
         )
-        hooked = offered.join(hooks, key, "left").select(
-            *key, F.col("label").alias("old"), F.least("label", "offer", "hook").alias("label")
-        )
-        hooked = cut(hooked)
-        roots = hooked.select(
+        roots = labels.select(
             *frame, F.col("node").alias("label"), F.col("label").alias("root")
         ).where("root < label")
-        jumped = skew_join(hooked, roots, [*frame, "label"], spread_by=["node"])
+        if small:
+            moved = labels.join(roots, [*frame, "label"], "left")
+        else:
+            moved = skew_join(labels, roots, [*frame, "label"], spread_by=["node"])
         labels = cut(
-            jumped.select(*key, F.coalesce("root", "label").alias("label"), "old")
+            moved.join(offers, key, "left").select(
+                *key,
+                F.least("label", "root", "offer").alias("label"),
+                (F.least("root", "offer") < F.col("label")).alias("changed"),
+            )
         )
-        if labels.where("label <> old").isEmpty():
-            return labels.drop("old")
+        if labels.where("changed").isEmpty():
+            return labels.drop("changed")
+        labels = labels.drop("changed")
 
 
 def _gap(a: str, b: str, lo: str, hi: str) -> Column:
@@ -239,7 +247,7 @@ def dbscan(
     world: World,
     frame: Sequence[str] = ("time",),
     *,
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``points`` with cluster_id: 0 is noise, else 1 + the smallest core agent of the cluster.
 
@@ -250,46 +258,49 @@ def dbscan(
     frame = list(frame)
     grid = Grid.within_radius(world, radius)
     cell = [*frame, "cx", "cy"]
-    spot = [*cell, "x", "y"]
-    join_rows = {"hot_rows": hot_rows} if hot_rows else {}
+    position = [*frame, "x", "y"]
 
     bare = with_cell(points.select(*frame, "id", "x", "y"), grid)
-    spots = bare.groupBy(*spot).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    spots = cut(
+        bare.groupBy(*cell, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    )
+    if hot_rows and spots.agg(F.sum("n")).first()[0] <= hot_rows:
+        hot_rows = None  # too few agents for any hot key
     in_cell = spots.groupBy(*cell).agg(F.sum("n").alias("n_cell"))
-    spots = cut(skew_join(spots, in_cell, cell, spread_by=["x", "y"], hot_rows=hot_rows))
-    spots = spots.withColumn("id", F.xxhash64("x", "y"))
+    counted = skew_join(spots, in_cell, cell, spread_by=["x", "y"], hot_rows=hot_rows)
+    counted = counted.withColumn("id", F.xxhash64("x", "y"))
 
     # only agents of cells below min_pts need counting: at most min_pts - 1 per cell
-    sparse = spots.where(F.col("n_cell") < min_pts).select(
+    sparse = counted.where(F.col("n_cell") < min_pts).select(
         *cell, F.col("x").alias("x2"), F.col("y").alias("y2")
     )
     d = V.delta(F.col("a.x"), F.col("a.y"), F.col("b.x2"), F.col("b.y2"), world)
     near = V.norm_sq(d) <= F.lit(float(radius) ** 2)
     degree = (
-        cell_join(spots, sparse, grid, frame, near, **join_rows)
+        cell_join(counted, sparse, grid, frame, near, hot_rows=hot_rows)
         .groupBy(*frame, F.col("x2").alias("x"), F.col("y2").alias("y"))
         .agg(F.sum("n").alias("degree"))
     )
-    ranked = cut(
-        spots.join(degree, [*frame, "x", "y"], "left").withColumn(
-            "core", (F.col("n_cell") >= min_pts) | (F.coalesce("degree", F.lit(0)) >= min_pts)
-        )
-    )
+    is_core = (F.col("n_cell") >= min_pts) | (F.coalesce("degree", F.lit(0)) >= min_pts)
+    ranked = cut(counted.join(degree, position, "left").withColumn("core", is_core))
     core = ranked.where("core")
-    nodes = core.groupBy(*cell).agg(F.min("first_id").alias("node"))
+    nodes = cut(core.groupBy(*cell).agg(F.min("first_id").alias("node")))
     placed = skew_join(core, nodes, cell, spread_by=["x", "y"], hot_rows=hot_rows)
     links = cell_links(placed.select(*cell, "x", "y", "node"), grid, radius, frame)
     found = connected(nodes.select(*frame, "node"), links, frame)
     cell_label = nodes.join(found, [*frame, "node"]).select(*cell, "label")
-    labelled = skew_join(core, cell_label, cell, spread_by=["x", "y"], hot_rows=hot_rows)
+    labelled = cut(
+        skew_join(
+            core.select(*cell, "x", "y", "id"), cell_label, cell, spread_by=["x", "y"], hot_rows=hot_rows
+        )
+    )
 
     border = ranked.where("not core").select(*cell, F.col("x").alias("x2"), F.col("y").alias("y2"))
     joined = (
-        cell_join(labelled, border, grid, frame, near, **join_rows)
+        cell_join(labelled, border, grid, frame, near, hot_rows=hot_rows)
         .groupBy(*frame, F.col("x2").alias("x"), F.col("y2").alias("y"))
         .agg(F.max("label").alias("label"))
     )
-    position = [*frame, "x", "y"]
     table = labelled.select(*position, "label").union(joined.select(*position, "label"))
     rows = points.drop("cluster_id")
     return (

@@ -18,12 +18,12 @@ HOT_LIMIT = 10_000  # hot keys treated apart: the bound on every broadcast here
 SPREAD = 1 << 20
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The most frequent keys with their row counts ``_n``, at most HOT_LIMIT of them."""
     return (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > (hot_rows or HOT_ROWS))
+        .where(F.col("_n") > hot_rows)
         .orderBy(F.desc("_n"))
         .limit(HOT_LIMIT)
     )
@@ -36,10 +36,15 @@ def skew_join(
     *,
     spread_by: Sequence[str],
     how: str = "left",
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Adds the columns of ``table`` (at most one row per key) to ``rows``."""
+    """Adds the columns of ``table`` (at most one row per key) to ``rows``.
+
+    Pass ``hot_rows=None`` where the caller knows that no key can be hot.
+    """
     keys = list(keys)
+    if hot_rows is None:
+        return rows.join(table, keys, how)
     values = [c for c in table.columns if c not in keys]
     pack = F.struct(*[F.col(c) for c in values] or [F.lit(1).alias("_one")])
     hot = hot_keys(rows, keys, hot_rows).drop("_n")
