@@ -52,9 +52,7 @@ def scale(v: Vector, k) -> Vector:
 
 def rescale(v: Vector, length) -> Vector:
     """Same direction, given length; zero stays zero."""
-    n = norm(v)
-    factor = F.when(n > 0, F.lit(length) / n).otherwise(F.lit(0.0))
-    return scale(v, factor)
+    return scale(v, F.coalesce(F.try_divide(F.lit(float(length)), norm(v)), F.lit(0.0)))
 
 
 def normalize(v: Vector) -> Vector:
@@ -82,8 +80,7 @@ def rotate(v: Vector, by: Vector) -> Vector:
 
 def wedge(a: Vector, b: Vector) -> Column:
     """Sine of the turn from a to b; NULL where either has no direction."""
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, (a[0] * b[1] - a[1] * b[0]) / lengths)
+    return F.try_divide(a[0] * b[1] - a[1] * b[0], norm(a) * norm(b))
 
 
 def nearest_image(px: Column, py: Column, qx: Column, qy: Column, world: World) -> Vector:

@@ -37,10 +37,8 @@ def avg_norm_vel(
         F.sum(F.abs("dy")).alias("ay"),
     )
     # count * |mean absolute step| equals |summed absolute step|
-    base = _length(F.col("ax"), F.col("ay"))
-    return sums.select(
-        *by, F.when(base > 0, _length(F.col("sx"), F.col("sy")) / base).alias("avg_norm_vel")
-    )
+    ratio = F.try_divide(_length(F.col("sx"), F.col("sy")), _length(F.col("ax"), F.col("ay")))
+    return sums.select(*by, ratio.alias("avg_norm_vel"))
 
 
 def avg_norm_vel2(
@@ -53,12 +51,8 @@ def avg_norm_vel2(
         F.sum("dy").alias("sy"),
         F.sum(_length(F.col("dx"), F.col("dy"))).alias("base"),
     )
-    return sums.select(
-        *by,
-        F.when(F.col("base") > 0, _length(F.col("sx"), F.col("sy")) / F.col("base")).alias(
-            "avg_norm_vel"
-        ),
-    )
+    ratio = F.try_divide(_length(F.col("sx"), F.col("sy")), F.col("base"))
+    return sums.select(*by, ratio.alias("avg_norm_vel"))
 
 
 def no_flocks(rows: DataFrame, by: Sequence[str] = FRAME) -> DataFrame:
@@ -102,8 +96,8 @@ def zscores(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ("run_i
     )
     joined = skew_join(rows, moments, by, spread_by=["id", "time"])
     for c in columns:
-        sd = F.col(f"_s_{c}")
-        joined = joined.withColumn(c, F.when(sd > 0, (F.col(c) - F.col(f"_m_{c}")) / sd))
+        gap = F.col(c) - F.col(f"_m_{c}")
+        joined = joined.withColumn(c, F.try_divide(gap, f"_s_{c}"))
     return joined.drop(*[f"_{p}_{c}" for p in "ms" for c in columns])
 
 
@@ -113,7 +107,7 @@ def min_max(rows: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     span = F.col("_hi") - F.col("_lo")
     return (
         skew_join(rows, ends, by, spread_by=["time"])
-        .withColumn(column, F.when(span > 0, (F.col(column) - F.col("_lo")) / span))
+        .withColumn(column, F.try_divide(F.col(column) - F.col("_lo"), span))
         .drop("_lo", "_hi")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.plans.queries import CATALOGUE
+from skein.plans.queries import CATALOGUE, FLOCK, WANDERING
 from skein.plans.shape import shape_sql
 
 PI = "pi()"
@@ -256,5 +256,178 @@ SQL |= {
 }
 
 
+
+def noise(tick: int, salt: int, seed: int = 42) -> str:
+    m = 2147483648
+    first = f"((id % {m}) * 1103515245 + {(tick * 7919 + salt * 104729 + seed) % m}) % {m}"
+    return f"((({first}) * 1103515245 + 12345) % {m} / {m}.0)"
+
+
+def tick_ctes(source: str, config, tick: int, frame: str = '"time"', name: str = "t") -> list[str]:
+    """One tick over ``source`` (frame, id, x, y, vx, vy, ax, ay, wander), as CTE ``name``_out."""
+    wrap = tor if config.distance == "EucToroidal" else (lambda d: f"({d})")
+    look, r2 = config.sensory_distance, config.reach**2
+    view = (
+        "true" if config.field_of_vision == 360 else seen(config.field_of_vision, ("vx", "vy"))
+    )
+    cap = config.neighbours_considered
+    capped = (
+        f'QUALIFY row_number() OVER (PARTITION BY {frame}, id ORDER BY d, id2) <= {cap}' if cap else ""
+    )
+    pairs = f"""{name}_pairs AS (
+  SELECT *, sqrt(ox*ox + oy*oy) AS d
+  FROM (SELECT a.*, b.id AS id2, b.vx AS vx2, b.vy AS vy2, {wrap('b.x - a.x')} AS ox, {wrap('b.y - a.y')} AS oy
+        FROM {source} a JOIN {source} b ON a.{frame} = b.{frame} AND a.id <> b.id)
+  WHERE ox*ox + oy*oy <= {r2} {capped})"""
+
+    def some(trs: float, apart: bool = True) -> str:
+        return f"{view} AND d < {look * trs}" + (" AND d > 0" if apart else "")
+
+    sep, coh = some(config.separation_trs_coef), some(config.cohesion_trs_coef)
+    ali = some(config.alignment_trs_coef, False)
+    sums = f"""{name}_sums AS (
+  SELECT s.*, coalesce(n_neighbours, 0) AS n_neighbours, coalesce(sep_n, 0) AS sep_n, coalesce(coh_n, 0) AS coh_n,
+         coalesce(ali_n, 0) AS ali_n, coalesce(sep_x, 0) AS sep_dx, coalesce(sep_y, 0) AS sep_dy,
+         coalesce(coh_x, 0) AS coh_dx, coalesce(coh_y, 0) AS coh_dy,
+         coalesce(ali_x, 0) AS ali_dx, coalesce(ali_y, 0) AS ali_dy
+  FROM {source} s LEFT JOIN (
+    SELECT {frame}, id, count(*) AS n_neighbours,
+           count(*) FILTER ({sep}) AS sep_n, count(*) FILTER ({coh}) AS coh_n, count(*) FILTER ({ali}) AS ali_n,
+           avg(-ox / (d * d)) FILTER ({sep}) AS sep_x, avg(-oy / (d * d)) FILTER ({sep}) AS sep_y,
+           avg(ox) FILTER ({coh}) AS coh_x, avg(oy) FILTER ({coh}) AS coh_y,
+           avg(vx2) FILTER ({ali}) AS ali_x, avg(vy2) FILTER ({ali}) AS ali_y
+    FROM {name}_pairs GROUP BY 1, 2) p USING ({frame}, id))"""
+    wandering = config.wander_on and config.wander_rate
+    h = "nullif(sqrt(vx*vx + vy*vy), 0)"
+    hx, hy = f"coalesce(vx / {h}, 0)", f"coalesce(vy / {h}, 0)"
+    if config.noise_model == "Vicsek":
+        wx = f"{hx} * cos(wander) - {hy} * sin(wander)"
+        wy = f"{hy} * cos(wander) + {hx} * sin(wander)"
+    else:
+        r, dist = config.wander_radius, config.wander_distance
+        wx = f"{hx} * {dist} * sqrt(2) + {r} * ({hx} * cos(wander) - {hy} * sin(wander))"
+        wy = f"{hy} * {dist} * sqrt(2) + {r} * ({hy} * cos(wander) + {hx} * sin(wander))"
+    aims = f"""{name}_aims AS (
+  SELECT *, {wx if wandering else 0} AS wan_dx, {wy if wandering else 0} AS wan_dy,
+         {wrap(f'{config.seek_x} - x') if config.seek_x is not None else 0} AS seek_dx,
+         {wrap(f'{config.seek_y} - y') if config.seek_y is not None else 0} AS seek_dy
+  FROM {name}_sums)"""
+    names = ("sep", "coh", "ali", "wan", "seek")
+    top, lim = config.max_speed, config.max_steering
+    cols, cols2 = [], []
+    for n in names:
+        length = f"sqrt({n}_dx*{n}_dx + {n}_dy*{n}_dy)"
+        for a in "xy":
+            if config.agent_steering:
+                cols.append(f"CASE WHEN {length} > 0 THEN {n}_d{a} / {length} * {top} - v{a} END AS {n}_g{a}")
+            elif n == "ali":
+                cols.append(f"{n}_d{a} AS {n}_g{a}")
+            else:
+                cols.append(f"CASE WHEN {length} > 0 THEN {n}_d{a} / {length} END AS {n}_g{a}")
+        turn = f"sqrt({n}_gx*{n}_gx + {n}_gy*{n}_gy)"
+        for a in "xy":
+            g = f"{n}_g{a}"
+            limited = f"CASE WHEN {turn} > {lim} THEN {g} / {turn} * {lim} ELSE {g} END" if config.agent_steering else g
+            cols2.append(f"coalesce({limited}, 0) AS {n}_p{a}")
+    goals = f"{name}_goals AS (SELECT *, {', '.join(cols)} FROM {name}_aims)"
+    raw = f"{name}_raw AS (SELECT *, {', '.join(cols2)} FROM {name}_goals)"
+    weights = {"sep": config.separation_coef, "coh": config.cohesion_coef, "ali": config.alignment_coef,
+               "wan": config.wander_coef if wandering else 0.0}
+    rules = f"""{name}_rules AS (SELECT * REPLACE ({', '.join(
+        f"{n}_p{a} * {w} AS {n}_p{a}" for n, w in weights.items() for a in 'xy')}) FROM {name}_raw)"""
+    yields = "CASE WHEN sep_px = 0 AND sep_py = 0 THEN coh_p{a} ELSE 0 END" if config.cohesion_yields else "coh_p{a}"
+
+    def force(a: str) -> str:
+        if config.seek_x is not None:
+            return f"seek_p{a}"
+        return f"sep_p{a} + {yields.format(a=a)} + ali_p{a} + wan_p{a}"
+
+    u = f"({noise(tick, 1, config.seed)} * 2 - 1) * {config.wander_rate} * pi()"
+    w2 = (u if config.noise_model == "Vicsek" else f"(wander + {u}) % (2 * pi())") if wandering else "wander"
+    pushed = f"""{name}_pushed AS (
+  SELECT * REPLACE (vx + ax + {force('x')} AS vx, vy + ay + {force('y')} AS vy, {w2} AS wander) FROM {name}_rules)"""
+    n = "sqrt(vx*vx + vy*vy)"
+
+    def held(a: str, salt: int) -> str:
+        return (
+            f"CASE WHEN vx = 0 AND vy = 0 THEN ({noise(tick, salt, config.seed)} * 2 - 1) * {top} "
+            f"WHEN {n} > {top} THEN v{a} / {n} * {top} WHEN {n} < {config.min_speed} "
+            f"THEN v{a} / {n} * {config.min_speed} ELSE v{a} END"
+        )
+
+    paced = f"{name}_paced AS (SELECT * REPLACE ({held('x', 2)} AS vx, {held('y', 3)} AS vy) FROM {name}_pushed)"
+    b = 0 if config.stop_movement else config.baseline_speed
+    moved = f"""{name}_moved AS (
+  SELECT * REPLACE (x + vx * {b} AS x, y + vy * {b} AS y, 0.0::DOUBLE AS ax, 0.0::DOUBLE AS ay) FROM {name}_paced)"""
+    edge = []
+    for a in "xy":
+        if config.boundary == "Toroidal":
+            edge.append(f"CASE WHEN {a} < -50 THEN {a} + 100 WHEN {a} > 50 THEN {a} - 100 ELSE {a} END AS {a}")
+        elif config.boundary == "Absorbing":
+            edge.append(f"least(greatest({a}, -50), 50) AS {a}")
+            edge.append(f"CASE WHEN {a} < -50 OR {a} > 50 THEN 0 ELSE v{a} END AS v{a}")
+        elif config.boundary == "Reflective":
+            edge.append(f"CASE WHEN ({a} < -50 AND v{a} < 0) OR ({a} > 50 AND v{a} > 0) THEN -v{a} ELSE v{a} END AS v{a}")
+        else:
+            m, k = config.boundary_distance, config.boundary_force
+            edge.append(f"CASE WHEN {a} < -50 + {m} THEN {k} WHEN {a} > 50 - {m} THEN -{k} ELSE 0 END AS a{a}")
+    out = f"{name}_out AS (SELECT * REPLACE ({', '.join(edge)}) FROM {name}_moved)"
+    return [pairs, sums, aims, goals, raw, rules, pushed, paced, moved, out]
+
+
+STATE = """state AS (
+  SELECT run_id, id, "time", x, y, dx AS vx, dy AS vy, 0.0::DOUBLE AS ax, 0.0::DOUBLE AS ay, 0.0::DOUBLE AS wander
+  FROM steps WHERE dx IS NOT NULL)"""
+START = """start AS (SELECT * EXCLUDE ("time") FROM state WHERE "time" = 2)"""
+STATE_FIELDS = "run_id, id, x, y, vx, vy, ax, ay, wander"
+
+
+def one_tick(**changes) -> str:
+    config = FLOCK.overwrite(**changes)
+    return ctes(TRACK, steps_cte(), STATE, *tick_ctes("state", config, 1)) + "SELECT * FROM t_out"
+
+
+def simulated(config, ticks: int) -> tuple[list[str], str]:
+    parts, source, samples = [TRACK, steps_cte(), STATE, START], "start", []
+    for k in range(1, ticks + 1):
+        parts += tick_ctes(source, config, k, "run_id", f"k{k}")
+        parts.append(f"s{k} AS MATERIALIZED (SELECT {STATE_FIELDS}, n_neighbours FROM k{k}_out)")
+        parts.append(f"n{k} AS (SELECT {STATE_FIELDS} FROM s{k})")
+        source = f"n{k}"
+        if k % config.sample_rate == 0:
+            samples.append(f'SELECT *, {k // config.sample_rate} AS "time", 0 AS cluster_id FROM s{k}')
+    return parts, " UNION ALL ".join(samples)
+
+
+def _simulate_runs() -> str:
+    parts, last = simulated(FLOCK.overwrite(**WANDERING, sample_rate=2), 4)
+    return ctes(*parts) + last
+
+
+SQL |= {
+    "rule_separation": ctes(TRACK, steps_cte(), STATE, *tick_ctes("state", FLOCK, 1)) + "SELECT * FROM t_rules",
+    "rule_cohesion": ctes(TRACK, steps_cte(), STATE, *tick_ctes("state", FLOCK, 1)) + "SELECT * FROM t_rules",
+    "rule_alignment": ctes(TRACK, steps_cte(), STATE, *tick_ctes("state", FLOCK, 1)) + "SELECT * FROM t_rules",
+    "tick_toroidal": one_tick(),
+    "tick_absorbing": one_tick(boundary="Absorbing", distance="EucEnclosed"),
+    "tick_reflective": one_tick(boundary="Reflective", distance="EucEnclosed"),
+    "tick_repulsive": one_tick(
+        boundary="Repulsive", boundary_distance=10.0, boundary_force=0.05, distance="EucEnclosed"
+    ),
+    "tick_full_view": one_tick(field_of_vision=360.0),
+    "tick_unsteered": one_tick(agent_steering=False),
+    "tick_cohesion_yields": one_tick(cohesion_yields=True),
+    "tick_capped": one_tick(neighbours_considered=3),
+    "tick_wander_reynolds": one_tick(**WANDERING),
+    "tick_wander_vicsek": one_tick(**WANDERING, noise_model="Vicsek"),
+    "tick_seek": one_tick(seek_x=10.0, seek_y=-45.0),
+    "tick_without_motion": one_tick(stop_movement=True),
+    "marked_neighbours": ctes(TRACK, near_cte())
+    + """SELECT t."time", t.id, n.id IS NOT NULL AS marked FROM track t
+  LEFT JOIN near n ON n."time" = t."time" AND n.id2 = t.id AND n.id = 7""",
+    "simulate_runs": _simulate_runs(),
+}
+
+
 def all_sql() -> dict[str, str]:
     return {name: shape_sql(sql, CATALOGUE[name][0]) for name, sql in SQL.items()}

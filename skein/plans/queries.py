@@ -12,10 +12,13 @@ from skein.functions.vectors import near_edge
 from skein.operators import cluster as C
 from skein.operators import histograms as H
 from skein.operators import metrics as M
+from skein.operators import rules as R
 from skein.operators import spatial as S
 from skein.operators import tracks as K
 from skein.plans.shape import shape
+from skein.plans.simulate import simulate
 from skein.schema import World
+from skein.sources.config import FlockConfig
 from skein.sources.events import WORLD, point_cloud, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -329,3 +332,144 @@ def components(spark, sf):
 @query("id cluster_id")
 def point_cloud_dbscan(spark, sf):
     return C.dbscan(point_cloud(spark, sf), 2.5, MIN_PTS, CLOUD)
+
+
+# --- flocking rules and ticks ---------------------------------------------------------
+
+FLOCK = FlockConfig(
+    width=100,
+    height=100,
+    sensory_distance=7.0,
+    alignment_trs_coef=1.0,
+    cohesion_trs_coef=0.8,
+    separation_trs_coef=0.5,
+    alignment_coef=0.3,
+    cohesion_coef=0.1,
+    separation_coef=1.2,
+    min_speed=0.5,
+    max_speed=4.1,
+    max_steering=0.7,
+    field_of_vision=280.0,
+)
+
+
+def flock_states(spark, sf, world=WORLD):
+    """Every sample with a step is an agent of its frame's flock."""
+    steps = K.displacement(tracks(spark, sf), world).where(F.col("dx").isNotNull())
+    return R.as_state(steps).drop("cluster_id")
+
+
+def pushes(spark, sf, config=FLOCK):
+    return R.rule_pushes(R.perceive(flock_states(spark, sf), config), config)
+
+
+@query("time id n_neighbours sep_n sep_px:double sep_py:double")
+def rule_separation(spark, sf):
+    return pushes(spark, sf)
+
+
+@query("time id coh_n coh_px:double coh_py:double")
+def rule_cohesion(spark, sf):
+    return pushes(spark, sf)
+
+
+@query("time id ali_n ali_px:double ali_py:double")
+def rule_alignment(spark, sf):
+    return pushes(spark, sf)
+
+
+TICK = "time id x:double y:double vx:double vy:double ax:double ay:double wander:double n_neighbours"
+
+
+def one_tick(spark, sf, **changes):
+    config = FLOCK.overwrite(**changes)
+    return R.tick(flock_states(spark, sf), config, 1)
+
+
+@query(TICK)
+def tick_toroidal(spark, sf):
+    return one_tick(spark, sf)
+
+
+@query(TICK)
+def tick_absorbing(spark, sf):
+    return one_tick(spark, sf, boundary="Absorbing", distance="EucEnclosed")
+
+
+@query(TICK)
+def tick_reflective(spark, sf):
+    return one_tick(spark, sf, boundary="Reflective", distance="EucEnclosed")
+
+
+@query(TICK)
+def tick_repulsive(spark, sf):
+    return one_tick(
+        spark, sf, boundary="Repulsive", boundary_distance=10.0, boundary_force=0.05, distance="EucEnclosed"
+    )
+
+
+@query(TICK)
+def tick_full_view(spark, sf):
+    return one_tick(spark, sf, field_of_vision=360.0)
+
+
+@query(TICK)
+def tick_unsteered(spark, sf):
+    return one_tick(spark, sf, agent_steering=False)
+
+
+@query(TICK)
+def tick_cohesion_yields(spark, sf):
+    return one_tick(spark, sf, cohesion_yields=True)
+
+
+@query(TICK)
+def tick_capped(spark, sf):
+    return one_tick(spark, sf, neighbours_considered=3)
+
+
+WANDERING = dict(wander_on=True, wander_rate=0.32, wander_radius=0.5, wander_distance=0.5, wander_coef=0.5)
+
+
+@query(TICK)
+def tick_wander_reynolds(spark, sf):
+    return one_tick(spark, sf, **WANDERING)
+
+
+@query(TICK)
+def tick_wander_vicsek(spark, sf):
+    return one_tick(spark, sf, **WANDERING, noise_model="Vicsek")
+
+
+@query(TICK)
+def tick_seek(spark, sf):
+    return one_tick(spark, sf, seek_x=10.0, seek_y=-45.0)
+
+
+@query(TICK)
+def tick_without_motion(spark, sf):
+    return one_tick(spark, sf, stop_movement=True)
+
+
+@query("time id marked:boolean")
+def marked_neighbours(spark, sf):
+    return R.mark_neighbours(tracks(spark, sf), 7, RADIUS, FLOCK)
+
+
+SIMULATED = "run_id time id x:double y:double vx:double vy:double n_neighbours cluster_id"
+
+
+def run_starts(spark, sf):
+    """The second sample of every agent, with its first step as velocity, starts its run."""
+    return K.time_page(flock_states(spark, sf), 2).drop("time")
+
+
+@query(SIMULATED)
+def simulate_runs(spark, sf):
+    config = FLOCK.overwrite(**WANDERING, sample_rate=2)
+    return simulate(run_starts(spark, sf), config, ticks=4)
+
+
+@query(SIMULATED)
+def simulate_clustered(spark, sf):
+    return simulate(run_starts(spark, sf), FLOCK.overwrite(sample_rate=2, clustering=True), ticks=2)
