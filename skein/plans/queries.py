@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,23 @@ from skein.functions.angles import degree_bin
 from skein.functions.vectors import near_edge
 from skein.operators import cluster as C
 from skein.operators import histograms as H
+from skein.operators import hull as U
 from skein.operators import metrics as M
+from skein.operators import nearest as N
+from skein.operators import population as P
 from skein.operators import rules as R
 from skein.operators import spatial as S
+from skein.operators import stats as X
 from skein.operators import tracks as K
+from skein.plans import experiment as E
 from skein.plans.shape import shape
 from skein.plans.simulate import simulate
-from skein.schema import World
-from skein.sources.config import FlockConfig
-from skein.sources.events import WORLD, point_cloud, tracks
+from skein.schema import EVENTS, World
+from skein.session import shared_dir
+from skein.sources import recorder as IO
+from skein.sources.config import FlockConfig, parse_boundary
+from skein.sources.events import WORLD, point_cloud, positions, read_events, tracks
+from skein.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +52,7 @@ def query(spec: str):
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, fn = CATALOGUE[name]
-    return shape(fn(spark, sf_dir), spec)
+    return shape(fn(spark, sf_dir), spec) if spec else fn(spark, sf_dir)
 
 
 # --- tracks, steps and angles ---------------------------------------------------------
@@ -473,3 +482,257 @@ def simulate_runs(spark, sf):
 @query(SIMULATED)
 def simulate_clustered(spark, sf):
     return simulate(run_starts(spark, sf), FLOCK.overwrite(sample_rate=2, clustering=True), ticks=2)
+
+
+# --- nearest neighbours and hulls -----------------------------------------------------
+
+
+@query("time id id2 rank dist:double")
+def knn(spark, sf):
+    return N.nearest(tracks(spark, sf), 3, WORLD)
+
+
+@query("time id id2 mutual:boolean")
+def knn_mutual(spark, sf):
+    return N.with_mutual(N.nearest(tracks(spark, sf), 3, WORLD))
+
+
+@query("time id dist:double")
+def knn_distance_curve(spark, sf):
+    return N.kth_distances(N.nearest(tracks(spark, sf), 4, WORLD), 4)
+
+
+@query("time id id2 shared")
+def shared_nn(spark, sf):
+    return N.shared_neighbours(N.nearest(tracks(spark, sf), 10, WORLD), 5)
+
+
+@query("time id id2 dist:double push_x:double push_y:double")
+def nearest_agent(spark, sf):
+    return R.disrupt(N.nearest(tracks(spark, sf), 1, WORLD))
+
+
+@query("id id2 rank dist:double")
+def point_cloud_knn(spark, sf):
+    return N.nearest(point_cloud(spark, sf), 4, CLOUD)
+
+
+@query("time cluster_id hull_area:double")
+def convex_hull_area(spark, sf):
+    return U.hull_area(M.without_noise(tracks(spark, sf)), ["time", "cluster_id"])
+
+
+@query("time average_cluster_volumes:double")
+def mean_flock_area(spark, sf):
+    return U.mean_flock_area(tracks(spark, sf))
+
+
+@query("cluster_id hull_area:double")
+def point_cloud_hulls(spark, sf):
+    return U.hull_area(point_cloud(spark, sf), ["cluster_id"])
+
+
+# --- many runs ------------------------------------------------------------------------
+
+STATS = " ".join(f"{m}_{v}:double" for v in E.METRICS for m in ("mean", "var"))
+
+
+def directions(spark, sf):
+    return K.directional(tracks(spark, sf), WORLD)
+
+
+@query("run_id time average_norm_vel:double average_norm_vel2:double no_flocks convex_hull:double")
+def experiment_metrics(spark, sf):
+    return E.run_metrics(directions(spark, sf))
+
+
+@query(f"t {STATS}")
+def experiment_stats(spark, sf):
+    return E.experiment_stats(directions(spark, sf), sample_rate=16)
+
+
+def velocity_by_run(spark, sf):
+    return M.avg_norm_vel2(directions(spark, sf), ("run_id", "time"), filter_noise=False)
+
+
+def experiment_wide(spark, sf):
+    """The column list follows the data, so the contract is built from it."""
+    wide = X.to_wide(velocity_by_run(spark, sf), "avg_norm_vel")
+    spec = " ".join(["run_id", *[f"{c}:double" for c in wide.columns if c != "run_id"]])
+    return shape(wide, spec)
+
+
+CATALOGUE["experiment_wide"] = ("", experiment_wide)
+
+
+@query("run_id time avg_norm_vel:double")
+def wide_to_long(spark, sf):
+    wide = X.to_wide(velocity_by_run(spark, sf), "avg_norm_vel")
+    return X.to_long(wide, "avg_norm_vel")
+
+
+@query("noise_level agents mean_avg_norm_vel:double max_avg_norm_vel:double runs")
+def sweep_summary(spark, sf):
+    """Runs differ in parameters; a run's number stands for its two settings."""
+    tagged = velocity_by_run(spark, sf).withColumns(
+        {"noise_level": F.col("run_id") % 2, "agents": F.floor(F.col("run_id") / 2)}
+    )
+    return X.sweep_summary(tagged, "avg_norm_vel", ("noise_level", "agents"))
+
+
+@query("run_id lowest:double highest:double mean:double n")
+def metric_summary(spark, sf):
+    return X.describe(velocity_by_run(spark, sf), "avg_norm_vel", ("run_id",))
+
+
+@query("run_id change_point gain:double")
+def change_point_mean(spark, sf):
+    return X.change_points(velocity_by_run(spark, sf), "avg_norm_vel", "mean")
+
+
+@query("run_id change_point gain:double")
+def change_point_var(spark, sf):
+    return X.change_points(velocity_by_run(spark, sf), "avg_norm_vel", "var")
+
+
+@query("max_change_point")
+def latest_change_point(spark, sf):
+    series = velocity_by_run(spark, sf)
+    both = [X.change_points(series, "avg_norm_vel", kind) for kind in ("mean", "var")]
+    return X.latest_change(both, cap=10000 / 16)
+
+
+@query("run_id n mu:double rho:double normal_sd:double cauchy_scale:double")
+def circular_fit(spark, sf):
+    return X.circular_fit(directions(spark, sf), "bearings", ("run_id",))
+
+
+@query("run_id bin theta:double density:double")
+def circular_density(spark, sf):
+    return X.circular_density(directions(spark, sf), "bearings", 90, ("run_id",))
+
+
+@query("run_id normal_error:double cauchy_error:double")
+def circular_fit_error(spark, sf):
+    rows = directions(spark, sf)
+    fit = X.circular_fit(rows, "bearings", ("run_id",))
+    return X.fit_error(X.circular_density(rows, "bearings", 90, ("run_id",)), fit, ("run_id",))
+
+
+# --- population -----------------------------------------------------------------------
+
+AGENTS = "run_id id x:double y:double vx:double vy:double"
+
+
+def agents(spark, sf):
+    return tracks(spark, sf).select("run_id", "id").distinct()
+
+
+@query(AGENTS)
+def random_start(spark, sf):
+    return P.start(agents(spark, sf), FLOCK)
+
+
+@query(AGENTS)
+def circle_start(spark, sf):
+    return P.start(agents(spark, sf), FLOCK, "CircleCircumferenceIn")
+
+
+@query(AGENTS)
+def insert_agents(spark, sf):
+    """Every agent's start, and one more agent per run."""
+    placed = P.start(agents(spark, sf), FLOCK)
+    more = placed.groupBy("run_id").agg((F.max("id") + 1000000).alias("id"))
+    return P.insert(placed, P.start(more, FLOCK))
+
+
+@query(AGENTS)
+def delete_agents(spark, sf):
+    """Agents whose latest sample is noise leave."""
+    noisy = (
+        tracks(spark, sf)
+        .groupBy("run_id", "id")
+        .agg(F.max_by("cluster_id", "time").alias("c"))
+        .where("c = 0")
+        .select("run_id", "id")
+    )
+    return P.delete(P.start(agents(spark, sf), FLOCK), noisy)
+
+
+@query(AGENTS)
+def delete_last_agent(spark, sf):
+    return P.delete_last(P.start(agents(spark, sf), FLOCK))
+
+
+@query(AGENTS)
+def double_population(spark, sf):
+    return P.double(P.start(agents(spark, sf), FLOCK), FLOCK)
+
+
+@query(AGENTS)
+def halve_population(spark, sf):
+    return P.halve(P.start(agents(spark, sf), FLOCK))
+
+
+@query("id time x:double y:double dist:double")
+def click_select(spark, sf):
+    """A click picks one agent of the shown frame: the limit is the feature."""
+    return P.select_at(K.time_page(tracks(spark, sf), 10), 3.0, -40.0, 15.0)
+
+
+# --- recordings, replay, streams ------------------------------------------------------
+
+
+@query("extent_x extent_y agents last_time first_time")
+def world_extent(spark, sf):
+    return M.world_extent(tracks(spark, sf))
+
+
+@query("run_id time agents expected complete:boolean")
+def replay_validate(spark, sf):
+    return IO.check_samples(tracks(spark, sf))
+
+
+@query("id x:double y:double vx:double vy:double trail_length")
+def replay_frame(spark, sf):
+    moving = replay.moving_samples(tracks(spark, sf), WORLD, rescale=0.5)
+    shown = replay.Playhead(first=1, last=40, at=20).forward().frame(moving)
+    return shown.withColumn("trail_length", F.size("trail"))
+
+
+@query("run_id id time x:double y:double dx:double dy:double")
+def replay_stream(spark, sf):
+    source = replay.stream_recordings(spark, sf, EVENTS, pathGlobFilter="events.parquet")
+    return replay.run_to_table(replay.stream_steps(positions(source), WORLD), spark, "replay")
+
+
+def recorded(spark, sf):
+    return tracks(spark, sf).withColumn("n_neighbours", F.lit(0).cast("long"))
+
+
+@query("run_id id time x:double y:double cluster_id")
+def recorder_round_trip(spark, sf):
+    path = f"{shared_dir(spark)}/recording-{uuid.uuid4().hex}"
+    IO.write_samples(recorded(spark, sf), path)
+    return IO.read_samples(spark, path)
+
+
+@query("run_id id time dx:double dy:double")
+def preprocessed_round_trip(spark, sf):
+    path = f"{shared_dir(spark)}/preprocessed-{uuid.uuid4().hex}"
+    IO.write_preprocessed(recorded(spark, sf), WORLD, path)
+    return IO.read_preprocessed(spark, path)
+
+
+@query("event_id name:string boundary:string strength:double")
+def config_json(spark, sf):
+    """Tagged boundary settings per event, written and parsed as JSON."""
+    kind = F.when(F.col("event_type") == "error", "Repulsive").otherwise("Toroidal")
+    tagged = F.to_json(F.struct(kind.alias("type"), F.col("value").alias("distance"), F.lit(0.05).alias("force")))
+    parsed = read_events(spark, sf).withColumn("b", parse_boundary(tagged))
+    return parsed.select(
+        "event_id",
+        IO.recording_name(F.col("ts").cast("timestamp")).alias("name"),
+        F.col("b.type").alias("boundary"),
+        (F.col("b.distance") * F.col("b.force")).alias("strength"),
+    )
