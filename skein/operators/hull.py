@@ -1,105 +1,105 @@
-"""Convex hull areas of groups of any size.
+"""Convex hull areas of groups of any size, without leaving the JVM.
 
-The hull of a set is the hull of its parts' hulls. Points are first reduced in
-the JVM to the lowest and highest per group and x, then to hulls per Arrow batch,
-then per salt of a group, and only those few corners meet in one place.
+The hull of a set is the hull of its parts' hulls. A group is first reduced to
+its lowest and highest point per x. Groups that are still long are cut into
+parts of bounded length, each part is reduced to its corners, and this repeats
+until every group is short enough for one array.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SALTS = 64
+from skein.operators.skew import skew_join
+from skein.session import cut
 
+PART = 4096  # points of one group handled as one array
 
-def hull_corners(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull in counter-clockwise order (n x 2 in, m x 2 out)."""
-    ordered = np.unique(points, axis=0)
-    if len(ordered) < 3:
-        return ordered
+_POINTS = "array<struct<x:double,y:double>>"
 
-    def chain(rows):
-        kept: list = []
-        for p in rows:
-            while len(kept) > 1:
-                (ax, ay), (bx, by) = kept[-2], kept[-1]
-                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > 0:
-                    break
-                kept.pop()
-            kept.append(p)
-        return kept[:-1]
 
-    rows = [tuple(p) for p in ordered]
-    return np.array(chain(rows) + chain(rows[::-1]))
+def _chain(points: Column, side: int) -> Column:
+    """Corners of the lower (side 1) or upper (side -1) hull of points sorted by x.
 
+    A new point hides the corners at the end of the chain from which the way to it
+    does not turn outwards; on a convex chain these are contiguous.
+    """
 
-def ring_area(corners: np.ndarray) -> float:
-    if len(corners) < 3:
-        return 0.0
-    x, y = corners[:, 0], corners[:, 1]
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
+    def grow(chain: Column, p: Column) -> Column:
+        def outward(i: Column) -> Column:
+            a, b = F.element_at(chain, i - 1), F.element_at(chain, i)
+            turn = (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+            return turn * side > 0
 
+        kept = 1 + F.size(F.filter(F.sequence(F.lit(2), F.size(chain)), outward))
+        short = F.size(chain) < 2
+        return F.concat(
+            F.when(short, chain).otherwise(F.slice(chain, 1, kept)), F.array(p)
+        )
 
-def hull_area(
-    points: DataFrame, by: Sequence[str], smallest: int = 3
-) -> DataFrame:
-    """(by, hull_area) of groups with at least ``smallest`` rows."""
-    by = list(by)
-    ends = points.groupBy(*by, "x").agg(
-        F.min("y").alias("_lo"), F.max("y").alias("_hi"), F.count(F.lit(1)).alias("_n")
+    return F.aggregate(points, F.array().cast(_POINTS), grow)
+
+
+def _under(chain: Column) -> Column:
+    """Area between a chain and the x axis."""
+
+    def strip(total: Column, i: Column) -> Column:
+        a, b = F.element_at(chain, i - 1), F.element_at(chain, i)
+        return total + (b["x"] - a["x"]) * (a["y"] + b["y"]) / 2
+
+    steps = F.when(F.size(chain) > 1, F.sequence(F.lit(2), F.size(chain)))
+    return F.coalesce(F.aggregate(steps, F.lit(0.0), strip), F.lit(0.0))
+
+
+def _chains(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, lower, upper) of each group of (x, lo, hi) rows."""
+    sides = ends.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("x", F.col("lo").alias("y")))).alias("lows"),
+        F.sort_array(F.collect_list(F.struct("x", F.col("hi").alias("y")))).alias("highs"),
     )
-    schema = T.StructType(
-        [points.schema[c] for c in by]
-        + [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("_n", T.LongType())]
+    return sides.select(
+        *keys, _chain(F.col("lows"), 1).alias("lower"), _chain(F.col("highs"), -1).alias("upper")
     )
 
-    def corners_of(frame: pd.DataFrame) -> pd.DataFrame:
-        corners = hull_corners(frame[["x", "y"]].to_numpy())
-        out = pd.DataFrame(corners, columns=["x", "y"])
-        out["_n"] = 0
-        out.loc[0, "_n"] = frame["_n"].sum()  # the group's row count travels with one corner
-        for c in by:
-            out[c] = frame[c].iloc[0]
-        return out[schema.fieldNames()]
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [corners_of(g) for _, g in batch.groupby(by, sort=False)]
-            if parts:
-                yield pd.concat(parts)
-
-    both = ends.select(
-        *by,
-        "x",
-        F.explode(F.array(F.struct(F.col("_lo").alias("y"), F.col("_n")),
-                          F.struct(F.col("_hi").alias("y"), F.lit(0).cast("long").alias("_n")))).alias("_e"),
-    ).select(*by, "x", "_e.y", "_e._n")
-    local = both.mapInPandas(per_batch, schema)
-    salted = (
-        local.withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)))
-        .groupBy(*by, "_salt")
-        .applyInPandas(corners_of, schema)
-    )
 
-    area_schema = T.StructType(
-        [points.schema[c] for c in by]
-        + [T.StructField("hull_area", T.DoubleType()), T.StructField("_n", T.LongType())]
-    )
+def _per_x(points: DataFrame, by: Sequence[str], low: str = "y", high: str = "y") -> DataFrame:
+    return points.groupBy(*by, "x").agg(F.min(low).alias("lo"), F.max(high).alias("hi"))
 
-    def area_of(frame: pd.DataFrame) -> pd.DataFrame:
-        row = {c: [frame[c].iloc[0]] for c in by}
-        row["hull_area"] = [ring_area(hull_corners(frame[["x", "y"]].to_numpy()))]
-        row["_n"] = [frame["_n"].sum()]
-        return pd.DataFrame(row)[area_schema.fieldNames()]
 
-    areas = salted.groupBy(*by).applyInPandas(area_of, area_schema)
-    return areas.where(F.col("_n") >= smallest).drop("_n")
+def hull_area(
+    points: DataFrame, by: Sequence[str], smallest: int = 3, part: int = PART
+) -> DataFrame:
+    """(by, hull_area) of groups with at least ``smallest`` rows."""
+    by = list(by)
+    ends = cut(
+        points.groupBy(*by, "x").agg(
+            F.min("y").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("n")
+        )
+    )
+    sizes = ends.groupBy(*by).agg(F.sum("n").alias("n"))
+    ends = ends.drop("n")
+    while True:
+        lengths = ends.groupBy(*by).agg(F.count(F.lit(1)).alias("length"))
+        longest = lengths.agg(F.max("length")).first()[0] or 0
+        if longest <= part:
+            break
+        numbered = skew_join(ends, lengths, by, spread_by=["x"])
+        parts = F.ceil(F.col("length") / part)
+        cutting = numbered.withColumn("_part", F.pmod(F.xxhash64("x"), parts))
+        corners = _chains(cutting, [*by, "_part"]).select(
+            *by, F.explode(F.concat("lower", "upper")).alias("p")
+        )
+        shorter = cut(_per_x(corners.select(*by, "p.x", "p.y"), by))
+        if shorter.count() == ends.count():
+            part *= 2  # every point is a corner; take longer arrays
+        ends = shorter
+    areas = _chains(ends, by).select(
+        *by, (_under(F.col("upper")) - _under(F.col("lower"))).alias("hull_area")
+    )
+    return areas.join(sizes.where(F.col("n") >= smallest).drop("n"), by)
 
 
 def mean_flock_area(

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
-from skein.operators.skew import skew_join
+from skein.operators.skew import HOT_ROWS, skew_join
 from skein.schema import World
+from skein.session import cut
 
 LEVELS = 9  # grids: the finest has 2**(LEVELS - 1) cells per side
 
@@ -68,14 +69,16 @@ def nearest(
     """
     frame = list(frame)
     extent = float(max(world.width, world.height))
-    spots = _fine(_spots(points, frame, k), extent)
+    spots = cut(_fine(_spots(points, frame, k), extent))
+    # fewer positions than one hot key needs: no skew to handle
+    hot_rows = HOT_ROWS if spots.count() * LEVELS > HOT_ROWS else None
     fine_cell = [*frame, "fx", "fy"]
     cell = [*frame, "level", "cx", "cy"]
 
     pyramid = _levels(spots.groupBy(*fine_cell).agg(F.sum("n").alias("n")))
     full = pyramid.groupBy(*cell).agg(F.sum("n").alias("n_cell")).where(F.col("n_cell") > k)
     chosen = (
-        skew_join(pyramid, full, cell, spread_by=["fx", "fy"])
+        skew_join(pyramid, full, cell, spread_by=["fx", "fy"], hot_rows=hot_rows)
         .where(F.col("n_cell").isNotNull() | (F.col("level") == 0))
         .groupBy(*fine_cell)
         .agg(F.max("level").alias("level"))
@@ -98,7 +101,7 @@ def nearest(
         low = F.col(c) * F.col("side") - F.lit(extent / 2)
         return F.greatest(low - F.col(axis), F.col(axis) - low - F.col("side"), F.lit(0.0))
 
-    targets = (
+    targets = cut(
         probes.withColumn("cx", F.explode(span("x")))
         .withColumn("cy", F.explode(span("y")))
         .where(
@@ -109,7 +112,12 @@ def nearest(
     )
     used = targets.select(*cell).distinct()
     serving = skew_join(
-        pyramid.drop("n"), used.withColumn("_used", F.lit(1)), cell, spread_by=["fx", "fy"], how="inner"
+        pyramid.drop("n"),
+        used.withColumn("_used", F.lit(1)),
+        cell,
+        spread_by=["fx", "fy"],
+        how="inner",
+        hot_rows=hot_rows,
     ).select(*fine_cell, "level", "cx", "cy")
     others = spots.join(serving, fine_cell).select(
         *cell, F.col("x").alias("x2"), F.col("y").alias("y2"), "ids"
@@ -147,6 +155,7 @@ def nearest(
 
 def with_mutual(neighbours: DataFrame, frame: Sequence[str] = ("time",)) -> DataFrame:
     """Flags kNN pairs that hold in both directions."""
+    neighbours = cut(neighbours)
     back = neighbours.select(
         *frame, F.col("id2").alias("id"), F.col("id").alias("id2"), F.lit(True).alias("_back")
     )
@@ -160,6 +169,7 @@ def shared_neighbours(
 ) -> DataFrame:
     """kNN pairs with the number of neighbours they share, kept from ``at_least`` on."""
     frame = list(frame)
+    neighbours = cut(neighbours.select(*frame, "id", "id2"))
     lists = neighbours.groupBy(*frame, "id").agg(F.collect_set("id2").alias("own"))
     theirs = lists.select(*frame, F.col("id").alias("id2"), F.col("own").alias("other"))
     pairs = skew_join(

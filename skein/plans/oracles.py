@@ -429,5 +429,221 @@ SQL |= {
 }
 
 
+
+def knn_cte(k: int, source: str = "track") -> str:
+    return f"""knn AS (
+  SELECT *, sqrt(d2) AS dist FROM (
+    SELECT *, row_number() OVER (PARTITION BY "time", id ORDER BY d2, id2) AS rank FROM (
+      SELECT a."time", a.id, b.id AS id2, (b.x - a.x)^2 + (b.y - a.y)^2 AS d2,
+             (b.x - a.x) * 10 AS push_x, (b.y - a.y) * 10 AS push_y
+      FROM {source} a JOIN {source} b ON a."time" = b."time" AND a.id <> b.id))
+  WHERE rank <= {k})"""
+
+
+def hull_ctes(source: str, by: str) -> tuple[str, ...]:
+    """An edge is on the hull when nothing lies right of it or beyond its ends on its line."""
+    on = " AND ".join(f"{{a}}.{c} = {{b}}.{c}" for c in by.split(", "))
+    cross = "(b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x)"
+    outside = "(r.x - a.x) * (r.x - b.x) + (r.y - a.y) * (r.y - b.y) > 0"
+    keys = ", ".join(f"a.{c}" for c in by.split(", "))
+    return (
+        f"spots AS (SELECT DISTINCT {by}, x, y FROM {source})",
+        f"""edges AS (
+  SELECT {keys}, a.x * b.y - b.x * a.y AS part
+  FROM spots a JOIN spots b ON {on.format(a='a', b='b')} AND (a.x <> b.x OR a.y <> b.y)
+  JOIN spots r ON {on.format(a='a', b='r')}
+  GROUP BY {keys}, a.x, a.y, b.x, b.y
+  HAVING min({cross}) >= 0 AND count(*) FILTER ({cross} = 0 AND {outside}) = 0)""",
+        f"""hulls AS (
+  SELECT {by}, coalesce(area, 0) AS hull_area
+  FROM (SELECT {by} FROM {source} GROUP BY {by} HAVING count(*) > 2) g
+  LEFT JOIN (SELECT {by}, sum(part) / 2 AS area FROM edges GROUP BY {by}) e USING ({by}))""",
+    )
+
+
+FLOCKED = "flocked AS (SELECT * FROM track WHERE cluster_id <> 0)"
+CLOUD_LABELLED = """clouds AS (
+  SELECT label AS cluster_id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y
+  FROM embeddings)"""
+MEASURES = (
+    *DIR_PARTS,
+    "flying AS (SELECT * FROM dirs WHERE cluster_id <> 0)",
+    *hull_ctes("flying", 'run_id, "time", cluster_id'),
+    f"""measures AS (
+  SELECT run_id, "time", average_norm_vel, average_norm_vel2, no_flocks, convex_hull FROM (
+    SELECT run_id, "time", {V1} AS average_norm_vel, {V2} AS average_norm_vel2,
+           nullif(count(DISTINCT cluster_id) FILTER (cluster_id <> 0), 0) AS no_flocks FROM dirs GROUP BY 1, 2) v
+  LEFT JOIN (SELECT run_id, "time", avg(hull_area) AS convex_hull FROM hulls GROUP BY 1, 2) h
+  USING (run_id, "time"))""",
+)
+METRICS = ("average_norm_vel", "average_norm_vel2", "no_flocks", "convex_hull")
+
+
+def across(metric: str) -> str:
+    whole = f"CASE WHEN count({metric}) = (SELECT count(DISTINCT run_id) FROM measures) THEN"
+    return f"{whole} avg({metric}) END AS mean_{metric}, {whole} var_samp({metric}) END AS var_{metric}"
+
+
+BY_RUN = f"""v AS (SELECT run_id, "time", {V2} AS avg_norm_vel FROM dirs GROUP BY 1, 2)"""
+WITH_V = ctes(*DIR_PARTS, BY_RUN)
+
+
+def change_cte(kind: str) -> str:
+    """Left and right of every split by window sums; the best split, the earliest on ties."""
+    if kind == "mean":
+        gain, ok = "k * (n - k) / n * (ls / k - (ts - ls) / (n - k))^2", "k < n"
+    else:
+        rest = "(tq - lq)"
+        ok = f"k >= 2 AND k <= n - 2 AND lq > 1e-12 AND {rest} > 1e-12"
+        gain = f"n * ln(tq / n) - k * ln(lq / k) - (n - k) * ln({rest} / (n - k))"
+    return f"""change_{kind} AS (
+  SELECT run_id, "time" AS change_point, gain FROM (
+    SELECT run_id, "time", round({gain}, 9) AS gain FROM (
+      SELECT *, CAST(row_number() OVER w AS DOUBLE) AS k, sum(avg_norm_vel) OVER w AS ls, sum(d * d) OVER w AS lq
+      FROM (SELECT v.*, avg_norm_vel - mu AS d, n, ts, tq FROM v JOIN (
+              SELECT run_id, mu, n, ts, sum((avg_norm_vel - mu)^2) AS tq FROM v JOIN (
+                SELECT run_id, avg(avg_norm_vel) AS mu, CAST(count(*) AS DOUBLE) AS n, sum(avg_norm_vel) AS ts
+                FROM v GROUP BY 1) m USING (run_id) GROUP BY ALL) t USING (run_id))
+      WINDOW w AS (PARTITION BY run_id ORDER BY "time" ROWS UNBOUNDED PRECEDING))
+    WHERE {ok})
+  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY gain DESC, change_point) = 1)"""
+
+
+FIT = """fit AS (
+  SELECT run_id, n, atan2(s, c) AS mu, rho, sqrt(-2 * ln(rho)) AS normal_sd, -ln(rho) AS cauchy_scale
+  FROM (SELECT *, sqrt(c * c + s * s) AS rho FROM (
+    SELECT run_id, count(*) AS n, avg(cos(bearings)) AS c, avg(sin(bearings)) AS s FROM dirs GROUP BY 1)))"""
+RING = "(2 * pi() / 90)"
+DENSITY = f"""density AS (
+  SELECT run_id, bin, (bin + 0.5) * {RING} - pi() AS theta, sum(w) / any_value(mass) AS density FROM (
+    SELECT run_id, (b + o + 90) % 90 AS bin, n * exp(-0.5 * (o * {RING} / 0.1)^2) AS w, mass
+    FROM (SELECT run_id, CAST(floor((bearings + pi()) / {RING}) AS BIGINT) % 90 AS b, count(*) AS n FROM dirs GROUP BY 1, 2)
+    JOIN (SELECT run_id, count(*) * 0.1 * sqrt(2 * pi()) AS mass FROM dirs GROUP BY 1) m USING (run_id),
+    (SELECT unnest(range(-6, 7)) AS o) offsets) GROUP BY 1, 2)"""
+
+
+def normal_law() -> str:
+    terms = " + ".join(
+        f"exp(-0.5 * ((theta - mu + {w} * 2 * pi()) / normal_sd)^2)" for w in range(-3, 4)
+    )
+    return f"({terms}) / (normal_sd * sqrt(2 * pi()))"
+
+
+AGENTS = ctes(TRACK, "agents AS (SELECT DISTINCT run_id, id FROM track)")
+
+
+def placed_cte(source: str, name: str, how: str = "random") -> str:
+    u = {k: noise(0, k) for k in (11, 12, 13, 14)}
+    if how == "random":
+        n = "sqrt(vx*vx + vy*vy)"
+        held = [
+            f"CASE WHEN {n} > 4.1 THEN v{a} / {n} * 4.1 WHEN {n} < 0.5 THEN v{a} / {n} * 0.5 ELSE v{a} END AS v{a}"
+            for a in "xy"
+        ]
+        return f"""{name} AS (SELECT * REPLACE ({', '.join(held)}) FROM (
+  SELECT run_id, id, ({u[11]} - 0.5) * 100 AS x, ({u[12]} - 0.5) * 100 AS y,
+         ({u[13]} * 2 - 1) * 4.1 AS vx, ({u[14]} * 2 - 1) * 4.1 AS vy FROM {source}))"""
+    return f"""{name} AS (
+  SELECT run_id, id, cx * far AS x, cy * far AS y, -cx / 50 * speed AS vx, -cy / 50 * speed AS vy FROM (
+    SELECT run_id, id, 50 * cos({u[13]} * 360) AS cx, 50 * sin({u[13]} * 360) AS cy,
+           {u[12]} / 3 + 2.0 / 3 AS far, ({u[11]} / 3 + 0.5) * 0.5 AS speed FROM {source}))"""
+
+
+PLACED = AGENTS.rstrip() + ",\n" + placed_cte("agents", "placed") + "\n"
+
+
+def more_agents(select: str) -> str:
+    return AGENTS.rstrip() + ",\n" + placed_cte("agents", "placed") + f",\nfresh AS ({select}),\n" + placed_cte(
+        "fresh", "added"
+    ) + "\nSELECT * FROM placed UNION ALL SELECT * FROM added"
+
+
+LAST = "(SELECT run_id, max(id) AS last FROM placed GROUP BY 1)"
+ROUND_TRIP = WITH_STEPS + 'SELECT *, row_number() OVER () AS r FROM (SELECT run_id, id, "time", x, y, cluster_id, coalesce(dx, 0) AS dx, coalesce(dy, 0) AS dy FROM steps)'
+
+
+def _simulate_clustered() -> str:
+    parts, _ = simulated(FLOCK.overwrite(sample_rate=2), 2)
+    # runs take the place of times: the frame of a simulated sample is its run
+    parts.append('shown AS (SELECT run_id AS "time", id, x, y FROM s2)')
+    parts += [near_cte("shown"), labels_cte("shown", 3)]
+    return ctes(*parts, recursive=True) + """SELECT s.*, l.cluster_id, 1 AS "time"
+  FROM s2 s JOIN labels l ON l."time" = s.run_id AND l.id = s.id"""
+
+
+SQL |= {
+    "knn": ctes(TRACK, knn_cte(3)) + "SELECT * FROM knn",
+    "knn_mutual": ctes(TRACK, knn_cte(3))
+    + """SELECT a.*, b.id IS NOT NULL AS mutual FROM knn a
+  LEFT JOIN knn b ON a."time" = b."time" AND a.id = b.id2 AND a.id2 = b.id""",
+    "knn_distance_curve": ctes(TRACK, knn_cte(4)) + "SELECT * FROM knn WHERE rank = 4",
+    "shared_nn": ctes(TRACK, knn_cte(10))
+    + """SELECT e."time", e.id, e.id2, count(*) AS shared FROM knn e
+  JOIN knn a ON a."time" = e."time" AND a.id = e.id
+  JOIN knn b ON b."time" = e."time" AND b.id = e.id2 AND b.id2 = a.id2
+  GROUP BY 1, 2, 3 HAVING count(*) >= 5""",
+    "nearest_agent": ctes(TRACK, knn_cte(1)) + "SELECT * FROM knn",
+    "point_cloud_knn": ctes(CLOUD, knn_cte(4, "cloud")) + "SELECT * FROM knn",
+    "convex_hull_area": ctes(TRACK, FLOCKED, *hull_ctes("flocked", '"time", cluster_id')) + "SELECT * FROM hulls",
+    "mean_flock_area": ctes(TRACK, FLOCKED, *hull_ctes("flocked", '"time", cluster_id'))
+    + 'SELECT "time", avg(hull_area) AS average_cluster_volumes FROM hulls GROUP BY 1',
+    "point_cloud_hulls": ctes(CLOUD_LABELLED, *hull_ctes("clouds", "cluster_id")) + "SELECT * FROM hulls",
+    "experiment_metrics": ctes(*MEASURES) + "SELECT * FROM measures",
+    "experiment_stats": ctes(*MEASURES)
+    + f'SELECT 16 * "time" AS t, {", ".join(across(m) for m in METRICS)} FROM measures GROUP BY "time"',
+    "experiment_wide": WITH_V
+    + """SELECT * FROM (PIVOT (SELECT run_id, 't_' || "time" AS label, round(avg_norm_vel, 6) + 0.0 AS m FROM v)
+  ON label USING first(m) GROUP BY run_id)""",
+    "wide_to_long": WITH_V + "SELECT * FROM v",
+    "sweep_summary": WITH_V
+    + """SELECT noise_level, agents, avg(m) AS mean_avg_norm_vel, max(m) AS max_avg_norm_vel, count(*) AS runs
+  FROM (SELECT run_id % 2 AS noise_level, run_id // 2 AS agents, run_id, avg(avg_norm_vel) AS m FROM v GROUP BY 1, 2, 3)
+  GROUP BY 1, 2""",
+    "metric_summary": WITH_V
+    + """SELECT run_id, min(avg_norm_vel) AS lowest, max(avg_norm_vel) AS highest, avg(avg_norm_vel) AS mean,
+       count(avg_norm_vel) AS n FROM v GROUP BY 1""",
+    "change_point_mean": ctes(*DIR_PARTS, BY_RUN, change_cte("mean")) + "SELECT * FROM change_mean",
+    "change_point_var": ctes(*DIR_PARTS, BY_RUN, change_cte("var")) + "SELECT * FROM change_var",
+    "latest_change_point": ctes(*DIR_PARTS, BY_RUN, change_cte("mean"), change_cte("var"))
+    + """SELECT coalesce(least(max(change_point), 625), 0) AS max_change_point
+  FROM (SELECT change_point FROM change_mean UNION ALL SELECT change_point FROM change_var)""",
+    "circular_fit": ctes(*DIR_PARTS, FIT) + "SELECT * FROM fit",
+    "circular_density": ctes(*DIR_PARTS, DENSITY) + "SELECT * FROM density",
+    "circular_fit_error": ctes(*DIR_PARTS, FIT, DENSITY)
+    + f"""SELECT run_id, sum((density - {normal_law()})^2) AS normal_error,
+       sum((density - (1 - rho*rho) / (1 + rho*rho - 2 * rho * cos(theta - mu)) / (2 * pi()))^2) AS cauchy_error
+  FROM density JOIN fit USING (run_id) GROUP BY 1""",
+    "random_start": PLACED + "SELECT * FROM placed",
+    "circle_start": AGENTS.rstrip() + ",\n" + placed_cte("agents", "placed", "circle") + "\nSELECT * FROM placed",
+    "insert_agents": more_agents("SELECT run_id, max(id) + 1000000 AS id FROM placed GROUP BY 1"),
+    "delete_agents": PLACED
+    + """SELECT * FROM placed WHERE (run_id, id) NOT IN (
+    SELECT (run_id, id) FROM (SELECT run_id, id, arg_max(cluster_id, "time") AS c FROM track GROUP BY 1, 2) WHERE c = 0)""",
+    "delete_last_agent": PLACED + f"SELECT placed.* FROM placed JOIN {LAST} USING (run_id) WHERE id < last",
+    "double_population": more_agents(f"SELECT run_id, id + last + 1 AS id FROM placed JOIN {LAST} USING (run_id)"),
+    "halve_population": PLACED + f"SELECT placed.* FROM placed JOIN {LAST} USING (run_id) WHERE id * 2 <= last",
+    "click_select": WITH_TRACK
+    + """SELECT *, sqrt((x - 3)^2 + (y + 40)^2) AS dist FROM track
+  WHERE "time" = 10 AND sqrt((x - 3)^2 + (y + 40)^2) < 15 ORDER BY dist, id LIMIT 1""",
+    "world_extent": WITH_TRACK
+    + """SELECT ceil(greatest(0, max(x))) AS extent_x, ceil(greatest(0, max(y))) AS extent_y,
+       count(DISTINCT id) AS agents, max("time") AS last_time, min("time") AS first_time FROM track""",
+    "replay_validate": WITH_TRACK
+    + """SELECT *, agents = expected AND hi - lo + 1 = agents AS complete FROM (
+    SELECT *, max(agents) OVER (PARTITION BY run_id) AS expected FROM (
+      SELECT run_id, "time", count(*) AS agents, min(id) AS lo, max(id) AS hi FROM track GROUP BY 1, 2))""",
+    "replay_frame": WITH_STEPS
+    + 'SELECT id, x, y, coalesce(dx, 0) * 0.5 AS vx, coalesce(dy, 0) * 0.5 AS vy, 4 AS trail_length FROM steps WHERE "time" = 21',
+    "replay_stream": ROUND_TRIP,
+    "recorder_round_trip": WITH_TRACK + "SELECT * FROM track",
+    "preprocessed_round_trip": ROUND_TRIP,
+    "config_json": """SELECT event_id, printf('boids-data_%d.csv', epoch_us(ts) // 1000) AS name,
+       CASE WHEN event_type = 'error' THEN 'Repulsive' ELSE 'Toroidal' END AS boundary, value * 0.05 AS strength
+  FROM events""",
+    "simulate_clustered": _simulate_clustered(),
+}
+
+
 def all_sql() -> dict[str, str]:
-    return {name: shape_sql(sql, CATALOGUE[name][0]) for name, sql in SQL.items()}
+    specs = {name: CATALOGUE[name][0] for name in SQL}
+    return {name: shape_sql(sql, specs[name]) if specs[name] else sql for name, sql in SQL.items()}
