@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
-from skein.operators.skew import HOT_ROWS, skew_join
+from skein.operators.skew import Skew, skew_join
 from skein.operators.spatial import Grid, cell_join, with_cell
 from skein.schema import World
 from skein.session import cut
@@ -57,10 +57,11 @@ def connected(nodes: DataFrame, edges: DataFrame, frame: Sequence[str]) -> DataF
         roots = labels.select(
             *frame, F.col("node").alias("label"), F.col("label").alias("root")
         ).where("root < label")
+        up = [*frame, "label"]
         if small:
-            moved = labels.join(roots, [*frame, "label"], "left")
+            moved = labels.join(roots, up, "left")
         else:
-            moved = skew_join(labels, roots, [*frame, "label"], spread_by=["node"])
+            moved = skew_join(labels, roots, up, spread_by=["node"])
         labels = cut(
             moved.join(offers, key, "left").select(
                 *key,
@@ -247,7 +248,7 @@ def dbscan(
     world: World,
     frame: Sequence[str] = ("time",),
     *,
-    hot_rows: int | None = HOT_ROWS,
+    skew: Skew = Skew(),
 ) -> DataFrame:
     """``points`` with cluster_id: 0 is noise, else 1 + the smallest core agent of the cluster.
 
@@ -264,8 +265,8 @@ def dbscan(
     spots = cut(
         bare.groupBy(*cell, "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     )
-    if hot_rows and spots.agg(F.sum("n")).first()[0] <= hot_rows:
-        hot_rows = None  # too few agents for any hot key
+    # work per cell is linear in its agents, so cells are held to the limit of lookups
+    hot_rows = skew.needed(spots.agg(F.sum("n")).first()[0] or 0).key_rows
     in_cell = spots.groupBy(*cell).agg(F.sum("n").alias("n_cell"))
     counted = skew_join(spots, in_cell, cell, spread_by=["x", "y"], hot_rows=hot_rows)
     counted = counted.withColumn("id", F.xxhash64("x", "y"))
@@ -302,6 +303,8 @@ def dbscan(
         .agg(F.max("label").alias("label"))
     )
     table = labelled.select(*position, "label").union(joined.select(*position, "label"))
+    if hot_rows:
+        table = cut(table)
     rows = points.drop("cluster_id")
     return (
         skew_join(rows, table, position, spread_by=["id"], hot_rows=hot_rows)

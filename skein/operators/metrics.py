@@ -102,11 +102,11 @@ def zscores(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ("run_i
 
 
 def min_max(rows: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    """Rescales a column to [0, 1] within a group."""
+    """Rescales a per-frame measure to [0, 1] within a group."""
     ends = rows.groupBy(*by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     return (
-        skew_join(rows, ends, by, spread_by=["time"])
+        rows.join(ends, [*by])
         .withColumn(column, F.try_divide(F.col(column) - F.col("_lo"), span))
         .drop("_lo", "_hi")
     )

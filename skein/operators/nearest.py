@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
-from skein.operators.skew import HOT_ROWS, skew_join
+from skein.operators.skew import Skew, skew_join
 from skein.schema import World
 from skein.session import cut
 
@@ -62,6 +62,8 @@ def nearest(
     k: int,
     world: World,
     frame: Sequence[str] = ("time",),
+    *,
+    skew: Skew = Skew(),
 ) -> DataFrame:
     """(frame, id, x, y, id2, x2, y2, dist, rank): the k closest others, ties by id.
 
@@ -70,8 +72,7 @@ def nearest(
     frame = list(frame)
     extent = float(max(world.width, world.height))
     spots = cut(_fine(_spots(points, frame, k), extent))
-    # fewer positions than one hot key needs: no skew to handle
-    hot_rows = HOT_ROWS if spots.count() * LEVELS > HOT_ROWS else None
+    hot_rows = skew.needed(spots.count() * LEVELS).key_rows
     fine_cell = [*frame, "fx", "fy"]
     cell = [*frame, "level", "cx", "cy"]
 
@@ -124,7 +125,7 @@ def nearest(
     )
     d = (F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))
     found = (
-        targets.join(others, cell)
+        targets.join(others.hint("merge"), cell)
         .withColumn("d2", V.norm_sq(d))
         .where((F.col("level") == 0) | (F.col("d2") <= F.col("reach") ** 2))
         .select(*frame, "x", "y", "x2", "y2", "d2", F.explode("ids").alias("id2"))
@@ -135,7 +136,11 @@ def nearest(
         F.sort_array(F.collect_list(F.struct("d2", "id2", "x2", "y2"))).alias("near")
     )
     agents = skew_join(
-        points.select(*frame, "id", "x", "y"), lists, [*frame, "x", "y"], spread_by=["id"]
+        points.select(*frame, "id", "x", "y"),
+        cut(lists),
+        [*frame, "x", "y"],
+        spread_by=["id"],
+        hot_rows=skew.key_rows,
     )
     mine = F.slice(F.filter("near", lambda p: p["id2"] != F.col("id")), 1, k)
     return agents.select(
@@ -170,7 +175,7 @@ def shared_neighbours(
     """kNN pairs with the number of neighbours they share, kept from ``at_least`` on."""
     frame = list(frame)
     neighbours = cut(neighbours.select(*frame, "id", "id2"))
-    lists = neighbours.groupBy(*frame, "id").agg(F.collect_set("id2").alias("own"))
+    lists = cut(neighbours.groupBy(*frame, "id").agg(F.collect_set("id2").alias("own")))
     theirs = lists.select(*frame, F.col("id").alias("id2"), F.col("own").alias("other"))
     pairs = skew_join(
         neighbours.select(*frame, "id", "id2"), theirs, [*frame, "id2"], spread_by=["id"], how="inner"

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
-from skein.operators.skew import HOT_ROWS, skew_join
-from skein.operators.spatial import Grid, cell_join, neighbours, occupied, with_cell
+from skein.operators.skew import Skew, skew_join
+from skein.operators.spatial import Grid, cell_join, neighbours, occupied, prepared
 from skein.sources.config import FlockConfig
 
 STATE = ["x", "y", "vx", "vy", "ax", "ay", "wander"]
@@ -40,7 +40,7 @@ def perceive(
     config: FlockConfig,
     frame: Sequence[str] = ("time",),
     *,
-    hot_rows: int | None = HOT_ROWS,
+    skew: Skew | None = Skew(),
 ) -> DataFrame:
     """Every agent with n_neighbours and the sums its rules need.
 
@@ -48,14 +48,14 @@ def perceive(
     account, sep_n, coh_n, ali_n their counts.
     """
     if config.neighbours_considered:
-        return _perceive_capped(state, config, frame, hot_rows=hot_rows)
+        return _perceive_capped(state, config, frame, skew=skew)
     world = config.world
     grid = Grid.for_radius(world, config.reach)
-    celled = with_cell(state, grid)
+    celled, skew = prepared(state, grid, skew)
     spots = occupied(celled, frame, "vx", "vy")
     d = V.delta(F.col("a.x"), F.col("a.y"), F.col("b.x2"), F.col("b.y2"), world)
     within = V.norm_sq(d) <= F.lit(float(config.reach) ** 2)
-    near = cell_join(celled, spots, grid, frame, within, hot_rows=hot_rows)
+    near = cell_join(celled, spots, grid, frame, within, hot_rows=skew.cell_rows)
     # the agent's own spot is always within reach, so no agent is lost by the inner join
     own = F.when((F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")), 1).otherwise(0)
     return _sums(
@@ -63,10 +63,10 @@ def perceive(
     ).drop("cx", "cy", "_salt")
 
 
-def _perceive_capped(state, config: FlockConfig, frame, *, hot_rows) -> DataFrame:
+def _perceive_capped(state, config: FlockConfig, frame, *, skew) -> DataFrame:
     """The same with at most ``neighbours_considered`` closest neighbours per agent."""
     order = Window.partitionBy(*frame, "id").orderBy("dist", "id2")
-    pairs = neighbours(state, config.reach, config.world, frame, hot_rows=hot_rows)
+    pairs = neighbours(state, config.reach, config.world, frame, skew=skew)
     kept = pairs.withColumn("_r", F.row_number().over(order)).where(
         F.col("_r") <= config.neighbours_considered
     )
@@ -280,11 +280,11 @@ def tick(
     number: int,
     frame: Sequence[str] = ("time",),
     *,
-    hot_rows: int | None = HOT_ROWS,
+    skew: Skew | None = Skew(),
 ) -> DataFrame:
     """The state after one tick. n_neighbours was counted before the move."""
     bare = state.drop("n_neighbours")
-    return advance(perceive(bare, config, frame, hot_rows=hot_rows), config, number)
+    return advance(perceive(bare, config, frame, skew=skew), config, number)
 
 
 def as_state(steps: DataFrame) -> DataFrame:

@@ -9,16 +9,34 @@ nothing there, so no task receives a whole hot key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 50_000  # rows of one key that one task may take
 HOT_LIMIT = 10_000  # hot keys treated apart: the bound on every broadcast here
 SPREAD = 1 << 20
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+@dataclass(frozen=True)
+class Skew:
+    """When a key counts as hot; 0 switches the handling off."""
+
+    cell_rows: int = 20_000  # agents of one grid cell: their pairs are compared in one task
+    key_rows: int = 500_000  # rows of one key of a plain lookup
+
+    def needed(self, rows: int) -> "Skew":
+        """Switches off what ``rows`` rows in all cannot reach."""
+        return Skew(
+            self.cell_rows if rows > self.cell_rows else 0,
+            self.key_rows if rows > self.key_rows else 0,
+        )
+
+
+NO_SKEW = Skew(0, 0)
+
+
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     """The most frequent keys with their row counts ``_n``, at most HOT_LIMIT of them."""
     return (
         rows.groupBy(*keys)
@@ -36,14 +54,15 @@ def skew_join(
     *,
     spread_by: Sequence[str],
     how: str = "left",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int = Skew.key_rows,
 ) -> DataFrame:
     """Adds the columns of ``table`` (at most one row per key) to ``rows``.
 
-    Pass ``hot_rows=None`` where the caller knows that no key can be hot.
+    ``table`` is read twice: write an expensive one first. Pass ``hot_rows=0``
+    where the caller knows that no key can be hot.
     """
     keys = list(keys)
-    if hot_rows is None:
+    if not hot_rows:
         return rows.join(table, keys, how)
     values = [c for c in table.columns if c not in keys]
     pack = F.struct(*[F.col(c) for c in values] or [F.lit(1).alias("_one")])

@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
-from skein.operators.skew import HOT_ROWS, hot_keys, skew_join
+from skein.operators.skew import NO_SKEW, Skew, hot_keys, skew_join
 from skein.schema import World
+from skein.session import cut
 
 MAX_SALTS = 512
 
@@ -105,6 +106,19 @@ def with_cell(df: DataFrame, grid: Grid) -> DataFrame:
     return df.withColumns({"cx": cx, "cy": cy})
 
 
+def prepared(points: DataFrame, grid: Grid, skew: Skew | None) -> tuple[DataFrame, Skew]:
+    """Points with their cell, and the skew handling their number calls for.
+
+    A join reads its points several times (both sides, crowded cells), so they are
+    written once. ``skew=None`` means the caller knows them to be few and written.
+    """
+    celled = with_cell(points, grid)
+    if skew is None:
+        return celled, NO_SKEW
+    celled = cut(celled)
+    return celled, skew.needed(celled.count())
+
+
 def cell_salts(celled: DataFrame, frame: Sequence[str], hot_rows: int) -> DataFrame:
     """(frame, cx, cy, salts) of the most crowded cells."""
     salts = F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SALTS)).cast("int")
@@ -119,7 +133,7 @@ def cell_join(
     within: Column,
     *,
     how: str = "inner",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int = Skew.cell_rows,
 ) -> DataFrame:
     """Joins ``left`` rows (x, y, cx, cy, id) with ``right`` rows (x2, y2, cx, cy) nearby.
 
@@ -128,7 +142,7 @@ def cell_join(
     """
     keys = [*frame, "cx", "cy", "_salt"]
     spread = grid.spread(right)
-    if hot_rows is None:
+    if not hot_rows:
         left = left.withColumn("_salt", F.lit(0))
         spread = spread.withColumn("_salt", F.lit(0))
     else:
@@ -148,7 +162,9 @@ def cell_join(
     condition = within
     for key in keys:
         condition = condition & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    joined = left.alias("a").join(spread.alias("b"), condition, how)
+    # sort-merge: the copies outgrow the size the optimiser assumes for a broadcast, and
+    # sorted runs spill and are split by adaptive execution when a partition is large
+    joined = left.alias("a").join(spread.alias("b").hint("merge"), condition, how)
     right_only = [c for c in right.columns if c not in (*frame, "cx", "cy")]
     return joined.select("a.*", *[F.col(f"b.{c}").alias(c) for c in right_only])
 
@@ -178,13 +194,13 @@ def neighbours(
     frame: Sequence[str] = ("time",),
     *,
     strict: bool = False,
-    hot_rows: int | None = HOT_ROWS,
+    skew: Skew | None = Skew(),
 ) -> DataFrame:
     """Ordered pairs (id, id2) within the radius, with the offset (ox, oy) and dist."""
     grid = Grid.for_radius(world, radius)
-    celled = with_cell(points, grid)
+    celled, skew = prepared(points, grid, skew)
     near = _reach(radius, world, strict) & (F.col("a.id") != F.col("b.id2"))
-    pairs = cell_join(celled, _as_other(celled, frame), grid, frame, near, hot_rows=hot_rows)
+    pairs = cell_join(celled, _as_other(celled, frame), grid, frame, near, hot_rows=skew.cell_rows)
     ox, oy = V.delta(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"), world)
     return (
         pairs.withColumns({"ox": ox, "oy": oy})
@@ -211,7 +227,7 @@ def neighbour_counts(
     frame: Sequence[str] = ("time",),
     *,
     strict: bool = False,
-    hot_rows: int | None = HOT_ROWS,
+    skew: Skew | None = Skew(),
 ) -> DataFrame:
     """Every agent with the number of other agents within the radius.
 
@@ -219,19 +235,22 @@ def neighbour_counts(
     agents standing there, so coincident agents cost one comparison.
     """
     grid = Grid.for_radius(world, radius)
-    celled = with_cell(points, grid)
+    celled, skew = prepared(points, grid, skew)
+    points = celled.drop("cx", "cy")
     spots = occupied(celled, frame)
     left = spots.select(
         *frame, "cx", "cy", F.col("x2").alias("x"), F.col("y2").alias("y"),
         F.xxhash64("x2", "y2").alias("id"),
     )
-    near = cell_join(left, spots, grid, frame, _reach(radius, world, strict), hot_rows=hot_rows)
+    near = cell_join(left, spots, grid, frame, _reach(radius, world, strict), hot_rows=skew.cell_rows)
     counted = near.groupBy(*frame, "cx", "cy", "_salt", "x", "y").agg(
         (F.sum("n2") - 1).alias("n_neighbours")
     )
     table = counted.drop("cx", "cy", "_salt")
+    if skew.key_rows:
+        table = cut(table)
     return skew_join(
-        points.drop("n_neighbours"), table, [*frame, "x", "y"], spread_by=["id"], hot_rows=hot_rows
+        points.drop("n_neighbours"), table, [*frame, "x", "y"], spread_by=["id"], hot_rows=skew.key_rows
     )
 
 

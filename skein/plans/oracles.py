@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from skein.plans.queries import CATALOGUE, FLOCK, WANDERING
-from skein.plans.shape import shape_sql
+from skein.plans.shape import rounded, shape_sql
 
 PI = "pi()"
 TURN = "(2 * pi())"
@@ -592,7 +592,7 @@ SQL |= {
     "experiment_stats": ctes(*MEASURES)
     + f'SELECT 16 * "time" AS t, {", ".join(across(m) for m in METRICS)} FROM measures GROUP BY "time"',
     "experiment_wide": WITH_V
-    + """SELECT * FROM (PIVOT (SELECT run_id, 't_' || "time" AS label, round(avg_norm_vel, 6) + 0.0 AS m FROM v)
+    + f"""SELECT * FROM (PIVOT (SELECT run_id, 't_' || "time" AS label, {rounded("avg_norm_vel")} AS m FROM v)
   ON label USING first(m) GROUP BY run_id)""",
     "wide_to_long": WITH_V + "SELECT * FROM v",
     "sweep_summary": WITH_V

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DECIMALS = 6
+# Sums taken in another order differ in their last bits. A value exactly between two
+# decimals would then round either way, so both sides lift such ties by the same hair.
+LIFT = 2.7e-8
 
 
 def _fields(spec: str) -> list[tuple[str, str]]:
@@ -18,17 +21,21 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
     for name, kind in _fields(spec):
         c = F.col(name).cast(kind)
         if kind == "double":
-            c = F.round(c, DECIMALS) + F.lit(0.0)  # also turns -0.0 into 0.0
+            c = F.round(c + F.lit(LIFT), DECIMALS) + F.lit(0.0)  # also turns -0.0 into 0.0
         out.append(c.alias(name))
     return df.select(*out)
 
 
+def rounded(expr: str) -> str:
+    return f"round({expr} + {LIFT!r}::DOUBLE, {DECIMALS}) + 0.0"
+
+
 def shape_sql(sql: str, spec: str) -> str:
     kinds = {"long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     out = []
     for name, kind in _fields(spec):
         c = f'CAST("{name}" AS {kinds[kind]})'
         if kind == "double":
-            c = f"round({c}, {DECIMALS}) + 0.0"
+            c = rounded(c)
         out.append(f'{c} AS "{name}"')
     return f"SELECT {', '.join(out)} FROM ({sql}) shaped"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.cluster import dbscan
 from skein.operators.rules import tick
-from skein.operators.skew import HOT_ROWS
+from skein.operators.skew import Skew
 from skein.session import cut, shared_dir
 from skein.sources.config import FlockConfig
 
@@ -36,11 +36,11 @@ def simulate(
     path = f"{shared_dir(spark)}/samples-{uuid.uuid4().hex}"
     state = cut(start)
     # agents neither appear nor leave during a run, so the start tells whether skew is possible
-    hot_rows = HOT_ROWS if state.count() > HOT_ROWS else None
+    skew = None if state.count() <= Skew.cell_rows else Skew()
     columns = [*frame, "id", "x", "y", "vx", "vy", "n_neighbours"]
     empty = True
     for number in range(1, ticks + 1):
-        state = cut(tick(state, config, number, frame, hot_rows=hot_rows))
+        state = cut(tick(state, config, number, frame, skew=skew))
         if number % config.sample_rate:
             continue
         sample = state.select(*columns)
