@@ -57,36 +57,35 @@ def _levels(cells: DataFrame) -> DataFrame:
     ).withColumns({name: c.cast("int") for name, c in up.items()})
 
 
-def nearest(
-    points: DataFrame,
-    k: int,
-    world: World,
-    frame: Sequence[str] = ("time",),
-    *,
-    skew: Skew = Skew(),
+def search(
+    queries: DataFrame,
+    spots: DataFrame,
+    need: int,
+    extent: float,
+    frame: Sequence[str],
+    hot_rows: int,
 ) -> DataFrame:
-    """(frame, id, x, y, id2, x2, y2, dist, rank): the k closest others, ties by id.
+    """(frame, x, y, x2, y2, d2, ids): for each query position all spots that may be
+    among its ``need`` nearest agents, and few others.
 
-    Distances are plain. Positions must lie inside the world.
+    ``queries`` are distinct positions and ``spots`` come from ``_spots``; both carry
+    their finest cell.
     """
     frame = list(frame)
-    extent = float(max(world.width, world.height))
-    spots = cut(_fine(_spots(points, frame, k), extent))
-    hot_rows = skew.needed(spots.count() * LEVELS).key_rows
     fine_cell = [*frame, "fx", "fy"]
     cell = [*frame, "level", "cx", "cy"]
-
     pyramid = _levels(spots.groupBy(*fine_cell).agg(F.sum("n").alias("n")))
-    full = pyramid.groupBy(*cell).agg(F.sum("n").alias("n_cell")).where(F.col("n_cell") > k)
+    full = pyramid.groupBy(*cell).agg(F.sum("n").alias("n_cell")).where(F.col("n_cell") >= need)
+    asking = _levels(queries.select(*fine_cell).distinct())
     chosen = (
-        skew_join(pyramid, full, cell, spread_by=["fx", "fy"], hot_rows=hot_rows)
+        skew_join(asking, full, cell, spread_by=["fx", "fy"], hot_rows=hot_rows)
         .where(F.col("n_cell").isNotNull() | (F.col("level") == 0))
         .groupBy(*fine_cell)
         .agg(F.max("level").alias("level"))
     )
     side = F.lit(extent) / F.pow(F.lit(2.0), F.col("level"))
     reach = F.sqrt(F.lit(2.0)) * side
-    probes = spots.join(chosen, fine_cell).withColumns({"side": side, "reach": reach})
+    probes = queries.join(chosen, fine_cell).withColumns({"side": side, "reach": reach})
 
     def span(axis: str) -> Column:
         lo = F.floor((F.col(axis) + F.lit(extent / 2) - F.col("reach")) / F.col("side"))
@@ -111,24 +110,42 @@ def nearest(
         )
         .select(*cell, "x", "y", "reach")
     )
-    used = targets.select(*cell).distinct()
+    used = targets.select(*cell).distinct().withColumn("_used", F.lit(1))
     serving = skew_join(
-        pyramid.drop("n"),
-        used.withColumn("_used", F.lit(1)),
-        cell,
-        spread_by=["fx", "fy"],
-        how="inner",
-        hot_rows=hot_rows,
+        pyramid.drop("n"), used, cell, spread_by=["fx", "fy"], how="inner", hot_rows=hot_rows
     ).select(*fine_cell, "level", "cx", "cy")
     others = spots.join(serving, fine_cell).select(
         *cell, F.col("x").alias("x2"), F.col("y").alias("y2"), "ids"
     )
     d = (F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))
-    found = (
+    return (
         targets.join(others.hint("merge"), cell)
         .withColumn("d2", V.norm_sq(d))
         .where((F.col("level") == 0) | (F.col("d2") <= F.col("reach") ** 2))
-        .select(*frame, "x", "y", "x2", "y2", "d2", F.explode("ids").alias("id2"))
+        .select(*frame, "x", "y", "x2", "y2", "d2", "ids")
+    )
+
+
+def nearest(
+    points: DataFrame,
+    k: int,
+    world: World,
+    frame: Sequence[str] = ("time",),
+    *,
+    skew: Skew = Skew(),
+) -> DataFrame:
+    """(frame, id, x, y, id2, x2, y2, dist, rank): the k closest others, ties by id.
+
+    Distances are plain. Positions must lie inside the world.
+    """
+    frame = list(frame)
+    extent = float(max(world.width, world.height))
+    points = cut(points.select(*frame, "id", "x", "y"))
+    spots = cut(_fine(_spots(points, frame, k), extent))
+    hot_rows = skew.needed(spots.count() * LEVELS).key_rows
+    queries = spots.select(*frame, "x", "y", "fx", "fy")
+    found = search(queries, spots, k + 1, extent, frame, hot_rows).select(
+        *frame, "x", "y", "x2", "y2", "d2", F.explode("ids").alias("id2")
     )
     order = Window.partitionBy(*frame, "x", "y").orderBy("d2", "id2")
     best = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
@@ -136,11 +153,11 @@ def nearest(
         F.sort_array(F.collect_list(F.struct("d2", "id2", "x2", "y2"))).alias("near")
     )
     agents = skew_join(
-        points.select(*frame, "id", "x", "y"),
+        points,
         cut(lists),
         [*frame, "x", "y"],
         spread_by=["id"],
-        hot_rows=skew.key_rows,
+        hot_rows=skew.needed(points.count()).key_rows,
     )
     mine = F.slice(F.filter("near", lambda p: p["id2"] != F.col("id")), 1, k)
     return agents.select(

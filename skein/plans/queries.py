@@ -20,6 +20,7 @@ from skein.operators import rules as R
 from skein.operators import spatial as S
 from skein.operators import stats as X
 from skein.operators import tracks as K
+from skein.operators import voronoi as O
 from skein.plans import experiment as E
 from skein.plans.shape import shape
 from skein.plans.simulate import simulate
@@ -532,6 +533,11 @@ def point_cloud_hulls(spark, sf):
     return U.hull_area(point_cloud(spark, sf), ["cluster_id"])
 
 
+@query("time voronoi_counts:double")
+def voronoi_occupancy(spark, sf):
+    return O.occupancy(tracks(spark, sf), RADIUS, WORLD)
+
+
 # --- many runs ------------------------------------------------------------------------
 
 STATS = " ".join(f"{m}_{v}:double" for v in E.METRICS for m in ("mean", "var"))
