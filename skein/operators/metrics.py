@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.skew import skew_join
+from skein.session import cut
 
 FRAME = ("time",)
 
@@ -94,7 +95,7 @@ def zscores(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ("run_i
         *[F.avg(c).alias(f"_m_{c}") for c in columns],
         *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns],
     )
-    joined = skew_join(rows, moments, by, spread_by=["id", "time"])
+    joined = skew_join(rows, cut(moments), by, spread_by=["id", "time"])
     for c in columns:
         gap = F.col(c) - F.col(f"_m_{c}")
         joined = joined.withColumn(c, F.try_divide(gap, f"_s_{c}"))

@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
 from skein.operators.skew import Skew, skew_join
-from skein.operators.spatial import Grid, cell_join, neighbours, occupied, prepared
+from skein.operators.spatial import Grid, cell_join, closest, occupied, placed_neighbours, prepared
+from skein.session import cut
 from skein.sources.config import FlockConfig
 
 STATE = ["x", "y", "vx", "vy", "ax", "ay", "wander"]
@@ -65,11 +66,8 @@ def perceive(
 
 def _perceive_capped(state, config: FlockConfig, frame, *, skew) -> DataFrame:
     """The same with at most ``neighbours_considered`` closest neighbours per agent."""
-    order = Window.partitionBy(*frame, "id").orderBy("dist", "id2")
-    pairs = neighbours(state, config.reach, config.world, frame, skew=skew)
-    kept = pairs.withColumn("_r", F.row_number().over(order)).where(
-        F.col("_r") <= config.neighbours_considered
-    )
+    pairs = placed_neighbours(state, config.reach, config.world, frame, skew=skew)
+    kept = closest(pairs, config.neighbours_considered, frame)
     other = state.select(
         *frame, F.col("id").alias("id2"), F.col("vx").alias("vx2"), F.col("vy").alias("vy2")
     )
@@ -302,7 +300,7 @@ def mark_neighbours(
     one = points.where(F.col("id") == chosen).select(
         *frame, F.col("x").alias("_cx"), F.col("y").alias("_cy")
     )
-    joined = skew_join(points, one, frame, spread_by=["id"])
+    joined = skew_join(points, cut(one), frame, spread_by=["id"])
     d = V.delta(F.col("_cx"), F.col("_cy"), F.col("x"), F.col("y"), config.world)
     near = V.norm_sq(d) <= float(radius) ** 2
     return (

@@ -187,7 +187,10 @@ def _reach(radius: float, world: World, strict: bool) -> Column:
     return V.norm_sq(d) < limit if strict else V.norm_sq(d) <= limit
 
 
-def neighbours(
+PLACE = ["cx", "cy", "_salt"]  # where a pair was compared; grouping by it needs no shuffle
+
+
+def placed_neighbours(
     points: DataFrame,
     radius: float,
     world: World,
@@ -196,19 +199,37 @@ def neighbours(
     strict: bool = False,
     skew: Skew | None = Skew(),
 ) -> DataFrame:
-    """Ordered pairs (id, id2) within the radius, with the offset (ox, oy) and dist."""
+    """``neighbours`` with the columns PLACE: all pairs of an agent share one place."""
     grid = Grid.for_radius(world, radius)
     celled, skew = prepared(points, grid, skew)
     near = _reach(radius, world, strict) & (F.col("a.id") != F.col("b.id2"))
     pairs = cell_join(celled, _as_other(celled, frame), grid, frame, near, hot_rows=skew.cell_rows)
     ox, oy = V.delta(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"), world)
-    return (
-        pairs.withColumns({"ox": ox, "oy": oy})
-        .withColumn("dist", V.norm((F.col("ox"), F.col("oy"))))
-        .drop("cx", "cy", "_salt")
+    return pairs.withColumns({"ox": ox, "oy": oy}).withColumn(
+        "dist", V.norm((F.col("ox"), F.col("oy")))
     )
 
 
+def neighbours(
+    points: DataFrame,
+    radius: float,
+    world: World,
+    frame: Sequence[str] = ("time",),
+    *,
+    strict: bool = False,
+    skew: Skew | None = Skew(),
+) -> DataFrame:
+    """Ordered pairs (id, id2) within the radius, with the offset (ox, oy) and dist."""
+    return placed_neighbours(points, radius, world, frame, strict=strict, skew=skew).drop(*PLACE)
+
+
+def closest(pairs: DataFrame, k: int, frame: Sequence[str]) -> DataFrame:
+    """The k closest of each agent's placed pairs, ties by id, with their rank."""
+    order = Window.partitionBy(*frame, *PLACE, "id").orderBy("dist", "id2")
+    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).drop(*PLACE)
+
+
 def occupied(celled: DataFrame, frame: Sequence[str], *sums: str) -> DataFrame:
     """One row per occupied position: agents there and the sums of their columns.
 
@@ -258,9 +279,7 @@ def nearest_within(
     points: DataFrame, radius: float, k: int, world: World, frame: Sequence[str] = ("time",)
 ) -> DataFrame:
     """The k closest neighbours within the radius (the neighbour cap), ties by id."""
-    pairs = neighbours(points, radius, world, frame)
-    order = Window.partitionBy(*frame, "id").orderBy("dist", "id2")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return closest(placed_neighbours(points, radius, world, frame), k, frame)
 
 
 def visible_neighbours(

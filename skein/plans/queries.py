@@ -738,7 +738,7 @@ def config_json(spark, sf):
     parsed = read_events(spark, sf).withColumn("b", parse_boundary(tagged))
     return parsed.select(
         "event_id",
-        IO.recording_name(F.col("ts").cast("timestamp")).alias("name"),
+        IO.recording_name(F.col("ts")).alias("name"),
         F.col("b.type").alias("boundary"),
         (F.col("b.distance") * F.col("b.force")).alias("strength"),
     )

@@ -24,14 +24,18 @@ def file_name(stamp: datetime | None = None) -> str:
 
 
 def recording_name(instant: str):
-    """The same name as a column expression over a timestamp column."""
-    return F.format_string(f"{FILE_STEM}_%d.csv", F.unix_millis(instant))
+    """The same name as a column expression over a timestamp without zone, taken as UTC."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.format_string(f"{FILE_STEM}_%d.csv", F.timestamp_diff("MILLISECOND", epoch, instant))
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
-    """One folder per run, CSV with a header inside; replaces what was there."""
+    """One folder per run, CSV with a header inside; replaces what was there.
+
+    Rebalancing gathers a run's rows and still splits a run that is too large.
+    """
     columns = [f.name for f in SAMPLES.fields]
-    samples.select("run_id", *columns).write.mode("overwrite").partitionBy("run_id").option(
+    samples.select("run_id", *columns).hint("rebalance", "run_id").write.mode("overwrite").partitionBy("run_id").option(
         "header", True
     ).csv(path)
 
@@ -63,7 +67,7 @@ def write_preprocessed(samples: DataFrame, world: World, path: str) -> None:
     Rows are sorted by (time, id) inside each file; no global sort is needed.
     """
     columns = [f.name for f in PREPROCESSED.fields]
-    preprocess(samples, world).select("run_id", *columns).sortWithinPartitions(
+    preprocess(samples, world).select("run_id", *columns).hint("rebalance", "run_id").sortWithinPartitions(
         "run_id", "time", "id"
     ).write.mode("overwrite").partitionBy("run_id").parquet(path)
 
