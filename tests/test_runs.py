@@ -1,11 +1,14 @@
 """Simulation, experiments, recordings and streams."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import population as P
 from skein.operators import rules as R
 from skein.operators.skew import Skew
+from skein.operators.tracks import preprocess
 from skein.plans.experiment import run_experiment
 from skein.plans.simulate import simulate
 from skein.session import shared_dir
@@ -21,6 +24,11 @@ SMALL = FlockConfig(
 )
 
 
+def fresh(spark, name):
+    """A new folder: the shared folder outlives a test session."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def start(spark, config=SMALL, how="RandomRandom"):
     return P.start(P.new_agents(spark, config.agents), config, how)
 
@@ -68,7 +76,7 @@ def test_population_changes(spark):
 
 
 def test_experiment_writes_its_tables(spark):
-    folder = f"{shared_dir(spark)}/experiment-test"
+    folder = fresh(spark, "experiment-test")
     config = SMALL.overwrite(agents=8, sample_rate=1, clustering=True)
     result = run_experiment(spark, config.overwrite(iterations=4), runs=2, folder=folder, bins=8)
     assert {r["time"] for r in result.collect()} == {3, 4}
@@ -78,7 +86,7 @@ def test_experiment_writes_its_tables(spark):
 
 
 def test_rewriting_a_recording_leaves_nothing_behind(spark):
-    folder = f"{shared_dir(spark)}/rewrite-test"
+    folder = fresh(spark, "rewrite-test")
     samples = tracks(spark, SF).withColumn("n_neighbours", F.lit(0).cast("long"))
     recorder.write_samples(samples, folder)
     recorder.write_samples(samples.where("time = 1"), folder)
@@ -109,15 +117,13 @@ def test_playhead():
 
 def test_stream_in_several_batches_equals_one(spark):
     """Agents' state survives from one micro-batch to the next."""
-    folder = f"{shared_dir(spark)}/stream-input"
+    folder = fresh(spark, "stream-input")
     events = read_events(spark, SF)
     for k in range(4):
         part = events.where(F.col("event_id").between(k * 250, k * 250 + 249))
         part.coalesce(1).write.mode("append").parquet(folder)
     source = replay.stream_recordings(spark, folder, EVENTS, maxFilesPerTrigger=1, latestFirst=False)
     got = replay.run_to_table(replay.stream_steps(positions(source), WORLD), spark, "stream-test")
-    from skein.operators.tracks import preprocess
-
     want = preprocess(tracks(spark, SF), WORLD)
     columns = ["run_id", "id", "time", "x", "y", "dx", "dy"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
