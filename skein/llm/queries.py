@@ -4,19 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import quality
+from skein.llm import bpe, pii, quality
 from skein.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find(documents(spark, sf_dir)))
+
+
+def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.summary(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_pii_anchors": op3_pii_anchors,
+    "op5_bpe_trie": op5_bpe_trie,
     "op7_quality_cascade": op7_quality_cascade,
 }
 SQL: dict[str, str] = {}
