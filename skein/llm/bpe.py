@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import arrow_schema, id_text, public_id
 
-PIECES_KEPT = 200_000  # of the cache from pieces to ids
+PIECES_KEPT = 200_000  # of each cache, from pieces and from words to ids
 PAIRS_KEPT = 2_000_000  # of the cache of neighbouring tokens
 NEVER = 1 << 60
 
@@ -163,6 +163,7 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
         self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
@@ -192,9 +193,15 @@ class Encoder:
             new = {p for x in parts for p in x}
         special = self.vocabulary.special
         cut = {p: words_of(p) for p in new if p not in special}
-        words = self.vocabulary.encode_words({w.encode() for ws in cut.values() for w in ws})
+        words = self.words
+        fresh = {w for ws in cut.values() for w in ws if w not in words}
+        if len(words) + len(fresh) > PIECES_KEPT:
+            words.clear()
+            fresh = {w for ws in cut.values() for w in ws}
+        found = self.vocabulary.encode_words({w.encode() for w in fresh})
+        words.update((w, found[w.encode()]) for w in fresh)
         for p, ws in cut.items():
-            self.pieces[p] = words[ws[0].encode()] if len(ws) == 1 else b"".join([words[w.encode()] for w in ws])
+            self.pieces[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
         for p in new & special.keys():
             self.pieces[p] = np.array([special[p]], np.int32).tobytes()
         get = self.pieces.__getitem__

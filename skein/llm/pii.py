@@ -147,10 +147,13 @@ def summary(found: DataFrame) -> DataFrame:
             F.transform(array, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
         )
 
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *map(count, BASE),
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
