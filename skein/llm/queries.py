@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, pii, quality
+from skein.llm import bpe, fingerprint, pii, quality
 from skein.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +26,14 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op2_cdc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op3_pii_anchors": op3_pii_anchors,
     "op5_bpe_trie": op5_bpe_trie,
     "op7_quality_cascade": op7_quality_cascade,
+    "op2_cdc_fingerprints": op2_cdc_fingerprints,
 }
 SQL: dict[str, str] = {}
