@@ -34,7 +34,7 @@ def public_id(name: str = "did") -> Column:
 def text_key() -> Column:
     """128 bits that stand for a text."""
     return F.struct(
-        F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.reverse("text")).alias("b")
+        F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")
     ).alias("th")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprint, pii, quality
+from skein.llm import bpe, fingerprint, lines, pii, quality
 from skein.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,39 @@ def op2_cdc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lines.summary(docs, lines.keep_bitmaps(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op3_pii_anchors": op3_pii_anchors,
     "op5_bpe_trie": op5_bpe_trie,
     "op7_quality_cascade": op7_quality_cascade,
     "op2_cdc_fingerprints": op2_cdc_fingerprints,
+    "op4_line_dedup": op4_line_dedup,
+}
+
+# DuckDB SQL for the queries that it can express over whole tables.
+SQL: dict[str, str] = {
+    "op4_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d
+), k AS (
+  SELECT doc_id, pos, line,
+    translate(trim(line, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(32)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), f AS (
+  SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+)
+SELECT k.doc_id, count(*) AS n_lines,
+  count(*) FILTER (WHERE f.top <> k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos)
+    FILTER (WHERE f.top IS NULL OR f.top = k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key
+GROUP BY k.doc_id
+""",
 }
-SQL: dict[str, str] = {}
