@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprint, lines, pii, quality
+from skein.llm import bpe, fingerprint, lines, mixing, pii, quality
 from skein.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +35,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.summary(docs, lines.keep_bitmaps(docs))
 
 
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(documents(spark, sf_dir))
+    return mix.select("doc_id", "source", "block", "slot", "position")
+
+
 QUERIES: dict[str, Query] = {
     "op3_pii_anchors": op3_pii_anchors,
     "op5_bpe_trie": op5_bpe_trie,
     "op7_quality_cascade": op7_quality_cascade,
     "op2_cdc_fingerprints": op2_cdc_fingerprints,
     "op4_line_dedup": op4_line_dedup,
+    "op8_pfair_mix": op8_pfair_mix,
 }
 
 # DuckDB SQL for the queries that it can express over whole tables.
