@@ -31,14 +31,15 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import arrow_schema, id_text, public_id
 
-PIECES_KEPT = 200_000  # of each cache, from pieces and from words to ids
-PAIRS_KEPT = 2_000_000  # of the cache of neighbouring tokens
+PIECES_KEPT = 150_000  # of each generation of the caches from pieces and from words to ids
+PAIRS_KEPT = 500_000  # of the cache of neighbouring tokens
+TAIL = 4  # bytes by which the tokens that may end a prefix are looked up
 NEVER = 1 << 60
 
 # The pattern of the byte-level pre-tokenizer; the order of alternatives
 # that start with different characters is free.
 WORDS = regex.compile(r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-CROSSING = regex.compile(r"\s ")
+CROSSING = [c + " " for c in map(chr, range(0x3001)) if regex.match(r"\s", c)]
 
 
 @cache
@@ -64,7 +65,11 @@ class Vocabulary:
         self.ids = {to_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.bytes_of = {i: t for t, i in self.ids.items()}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.longest = max(map(len, self.ids))
+        self.longer: dict[bytes, set[int]] = {}  # lengths of the tokens over TAIL bytes by their last ones
+        for token in self.ids:
+            if len(token) > TAIL:
+                self.longer.setdefault(token[-TAIL:], set()).add(len(token))
+        self.endings: dict[bytes, list[tuple[int, int]]] = {}
         self.merges: dict[tuple[int, int], int] = {}  # pair -> rank
         self.made: dict[int, tuple[int, int, int]] = {}  # token -> its rank and halves
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -99,10 +104,22 @@ class Vocabulary:
             else:
                 j += 1
 
+    def ending(self, tail: bytes) -> list[tuple[int, int]]:
+        """Length and id of the tokens that ``tail`` ends with, longest first; id -1 for those longer than it."""
+        found = [(n, -1) for n in sorted(self.longer.get(tail, ()), reverse=True)]
+        for n in range(len(tail), 0, -1):
+            token = self.ids.get(tail[-n:])
+            if token is not None:
+                found.append((n, token))
+        if len(self.endings) >= PAIRS_KEPT:
+            self.endings.clear()
+        self.endings[tail] = found
+        return found
+
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of distinct words, as the bytes of int32 arrays."""
         out: dict[bytes, bytes] = {}
-        ids, fits, longest = self.ids, self.fits, self.longest
+        ids, fits, endings = self.ids, self.fits, self.endings
         starts, lasts, before = [0], [-1], b""
         for word in sorted(words):
             depth = 0
@@ -112,10 +129,13 @@ class Vocabulary:
                 depth += 1
             del starts[depth + 1 :], lasts[depth + 1 :]
             for end in range(depth + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is None:
-                        continue
+                tail = word[end - TAIL if end > TAIL else 0 : end]
+                for length, token in endings.get(tail) or self.ending(tail):
+                    start = end - length
+                    if token < 0:
+                        token = ids.get(word[start:end], -1) if start >= 0 else -1
+                        if token < 0:
+                            continue
                     if not start:
                         break
                     key = lasts[start] << 32 | token
@@ -157,19 +177,38 @@ def words_of(text: str) -> list[str]:
     return [text[i:j] for _, (i, j) in _pre_tokenizer().pre_tokenize_str(text)]
 
 
+class Kept(dict):
+    """A cache of two generations: a full one becomes the older one, whose entries come back on use."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` in neither generation; the others are in the younger one afterwards."""
+        new = keys - self.keys()
+        if len(self) + len(new) > PIECES_KEPT:
+            self.older = dict(self)
+            self.clear()
+            new = keys
+        older = self.older
+        found = new & older.keys()
+        self.update((k, older[k]) for k in found)
+        return new - found
+
+
 class Encoder:
-    """Encodes batches of texts; keeps pieces between batches up to a limit."""
+    """Encodes batches of texts; keeps pieces and words between batches up to a limit."""
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Kept(), Kept()
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
     def _plain(self, text: str) -> list[str]:
         """Pieces that no token crosses."""
-        if CROSSING.search(text):
+        if any(map(text.__contains__, CROSSING)):
             return words_of(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
@@ -177,7 +216,7 @@ class Encoder:
     def _parts(self, text: str) -> list[str]:
         if not text:
             return []
-        if self.special is None or not self.special.search(text):
+        if not any(map(text.__contains__, self.vocabulary.special)):
             return self._plain(text)
         out: list[str] = []
         for i, part in enumerate(self.special.split(text)):
@@ -187,18 +226,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self._parts(x) for x in texts]
-        new = {p for x in parts for p in x if p not in self.pieces}
-        if len(self.pieces) + len(new) > PIECES_KEPT:
-            self.pieces.clear()
-            new = {p for x in parts for p in x}
+        wanted = set().union(*parts)
+        new = self.pieces.missing(wanted)
         special = self.vocabulary.special
         cut = {p: words_of(p) for p in new if p not in special}
-        words = self.words
-        fresh = {w for ws in cut.values() for w in ws if w not in words}
-        if len(words) + len(fresh) > PIECES_KEPT:
-            words.clear()
-            fresh = {w for ws in cut.values() for w in ws}
+        needed = {w for ws in cut.values() for w in ws}
+        fresh = self.words.missing(needed)
         found = self.vocabulary.encode_words({w.encode() for w in fresh})
+        words = self.words
         words.update((w, found[w.encode()]) for w in fresh)
         for p, ws in cut.items():
             self.pieces[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
@@ -208,17 +243,23 @@ class Encoder:
         return [b"".join(map(get, x)) for x in parts]
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One a worker process, so that later tasks find its caches."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, path: str, batch: int = 500) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int), one row per row of ``docs``."""
     schema = "did long, ids array<int>"
     target = arrow_schema(docs.sparkSession, schema)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        run = encoder(path).encode
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                codes = encoder.encode(part.column(1).to_pylist())
+                codes = run(part.column(1).to_pylist())
                 ends = np.cumsum([0, *[len(c) // 4 for c in codes]], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(codes), np.int32), pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
