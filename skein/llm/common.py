@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import cut
+
 NO_ID = -(1 << 63)  # stands for a null doc_id inside the operators: before every other id
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -92,3 +94,70 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``cut``, after which the shuffle files of the write are removed at once.
+
+    Only files that belong to the write itself go; its result is in the shared folder.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    """(did, rid): of each distinct text of ``rows`` (did, rid, text) the row with the smallest did."""
+    one = rows.groupBy(text_key()).agg(F.min(F.struct("did", "rid")).alias("one"))
+    return one.select("one.did", "one.rid")
+
+
+def with_row_key(rows: DataFrame) -> DataFrame:
+    """Adds ``rid``: with ``did`` it tells a row from all others but its repetitions."""
+    return rows.withColumn("rid", F.xxhash64("did", "text"))
+
+
+def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column, and where each text begins (one more than texts)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole, ends
+
+
+def runs(sorted_columns: Sequence[np.ndarray]) -> np.ndarray:
+    """Where the runs of equal rows start."""
+    n = len(sorted_columns[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def groups(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
+    """The rows of each value of column ``key``, where rows come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        starts = runs([values])
+        for a, b in zip(starts, np.r_[starts[1:], len(values)]):
+            if held and values[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = values[a]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprint, lines, mixing, pii, quality
+from skein.llm import bpe, fingerprint, lines, mixing, pii, quality, suffixes
 from skein.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "source", "block", "slot", "position")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.summary(suffixes.dedup(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "op3_pii_anchors": op3_pii_anchors,
     "op5_bpe_trie": op5_bpe_trie,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op2_cdc_fingerprints": op2_cdc_fingerprints,
     "op4_line_dedup": op4_line_dedup,
     "op8_pfair_mix": op8_pfair_mix,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 # DuckDB SQL for the queries that it can express over whole tables.
