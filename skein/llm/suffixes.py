@@ -23,27 +23,20 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from skein.llm.common import (
-    arrow, arrow_schema, by_row, first_copies, groups, id_text, mix, partitions, public_id, runs, sha256, text_buffers,
-    with_row_key, written,
-)
+from skein.llm import repeats
+from skein.llm.common import by_row, mix, public_id, runs, sha256, text_buffers
+from skein.llm.repeats import Method, merged
 
 LENGTH = 50  # bytes
 GRAM = 16  # bytes of an anchor
 PIECE = 1 << 20  # bytes that are hashed at a time
 AT = np.uint64((1 << 24) - 1)  # low bits of a packed hash: the place in the piece
 BASE = 0x9E3779B97F4A7C15
-CROWD = 20_000  # distinct neighbourhoods of an anchor that a shard takes
-VERDICT = "anchor long, nh long, least binary"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -111,128 +104,6 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def ship_hashes(shards: int, per_text):
-    """Sends to each shard the hashes of its share: per document its did, text key and number of hashes.
-
-    ``per_text(batch)`` gives (row of the batch, hash) arrays. Payload layout: int64 dids,
-    int64 text keys, uint32 counts, uint64 hashes.
-    """
-
-    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, hashes = per_text(batch)
-            if not len(doc):
-                continue
-            shard = (hashes >> np.uint64(20)) % np.uint64(shards)
-            order = np.lexsort((hashes, doc, shard))
-            doc, hashes, shard = doc[order], hashes[order], shard[order]
-            once = runs([shard, doc, hashes])
-            doc, hashes, shard = doc[once], hashes[once], shard[once]
-            did = batch.column(0).to_numpy()
-            key = batch.column(1).to_numpy()
-            starts = runs([shard])
-            blobs = []
-            for a, b in zip(starts, np.r_[starts[1:], len(shard)]):
-                part = doc[a:b]
-                first = runs([part])
-                rows = part[first]
-                n = np.diff(np.r_[first, len(part)]).astype(np.uint32)
-                blobs.append(
-                    struct.pack("<q", len(rows)) + did[rows].tobytes() + key[rows].tobytes() + n.tobytes() + hashes[a:b].tobytes()
-                )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[starts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["shard", "blob"]
-            )
-
-    return task
-
-
-def shared_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, hashes) of the hashes that two different texts have, from blobs sorted by shard."""
-    for table in groups(batches):
-        parts = []
-        for blob in table.column(1):
-            raw = blob.as_py()
-            (n,) = struct.unpack_from("<q", raw)
-            did, key = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n)
-            count = np.frombuffer(raw, np.uint32, n, 8 + 16 * n)
-            hashes = np.frombuffer(raw, np.uint64, -1, 8 + 20 * n)
-            parts.append((np.repeat(did, count), np.repeat(key, count), hashes))
-        did, key, hashes = (np.concatenate(c) for c in zip(*parts))
-        order = np.argsort(hashes, kind="stable")
-        did, key, hashes = did[order], key[order], hashes[order]
-        starts = runs([hashes])
-        differ = np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)
-        often = np.repeat(differ, np.diff(np.r_[starts, len(hashes)]))
-        did, hashes = did[often], hashes[often]
-        if not len(did):
-            continue
-        order = np.argsort(did, kind="stable")
-        did, hashes = did[order], hashes[order]
-        starts = runs([did])
-        cuts = np.r_[starts, len(did)]
-        blobs = [hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(did[starts]), pa.array(blobs, pa.binary())], names=["did", "hashes"])
-
-
-def anchored(rows: DataFrame, per_text) -> DataFrame:
-    """(did, hashes): per document the anchors that it shares with a different text."""
-    n = partitions(rows.sparkSession)
-    blobs = rows.select("did", F.xxhash64("text").alias("key"), "text").mapInArrow(
-        ship_hashes(4 * n, per_text), "shard int, blob binary"
-    )
-    dealt = blobs.repartition(n, "shard").sortWithinPartitions("shard")
-    found = dealt.mapInArrow(shared_hashes, "did long, hashes binary")
-    return found.groupBy("did").agg(F.collect_list("hashes").alias("hashes"))
-
-
-def _anchor_hashes(length: int):
-    def per_text(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        data, ends = text_buffers(batch.column(2))
-        doc, _, _, hashes = anchors(data, ends, length)
-        return doc, hashes
-
-    return per_text
-
-
-AROUND = "did long, rid long, start int, anchor long, nh long, around binary"
-
-
-def neighbourhoods(docs: DataFrame, length: int) -> DataFrame:
-    """(did, rid, start, anchor, nh, around) of each shared anchor; ``docs`` has (did, rid, text, hashes)."""
-
-    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, ends = text_buffers(batch.column(2))
-            doc, place, count, hashes = anchors(data, ends, length)
-            lists = [np.frombuffer(b"".join(x), np.uint64) for x in batch.column(3).to_pylist()]
-            sizes = [len(x) for x in lists]
-            if not len(doc) or not sum(sizes):
-                continue
-            known = np.concatenate(lists)
-            owner = np.repeat(np.arange(len(lists)), sizes)
-            # Membership of (document, hash) pairs, by sorting mixed pairs.
-            with np.errstate(over="ignore"):
-                have = mix(known + mix(owner.astype(np.uint64), 3))
-                ask = mix(hashes + mix(doc.astype(np.uint64), 3))
-            is_shared = np.isin(ask, have)
-            doc, place, count, hashes = doc[is_shared], place[is_shared], count[is_shared], hashes[is_shared]
-            if not len(doc):
-                continue
-            raw = data.tobytes()
-            begin = ends[doc] + place
-            around = [raw[a:b] for a, b in zip(begin.tolist(), (begin + count - 1 + length).tolist())]
-            names = np.array([xxhash.xxh3_64_intdigest(x) for x in around], np.uint64)
-            columns = (
-                batch.column(0).to_numpy()[doc], batch.column(1).to_numpy()[doc], place.astype(np.int32),
-                hashes.view(np.int64), names.view(np.int64),
-            )
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(around, pa.binary())], schema=target)
-
-    target = arrow_schema(docs.sparkSession, AROUND)
-    return docs.select("did", "rid", "text", "hashes").mapInArrow(task, AROUND)
-
-
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first ``depth`` bytes (8 times a power of two), and their ranks.
 
@@ -268,8 +139,8 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, rank
 
 
-def smallest_holder(texts: list[bytes], dids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, window, smallest did) over the windows of all texts, from the suffix array of the shard."""
+def smallest_holder(texts: list[bytes], dids: np.ndarray, length: int) -> np.ndarray:
+    """The smallest did of each window of each text, from the suffix array of the shard."""
     sizes = np.array([len(t) for t in texts])
     whole = np.frombuffer(b"".join(texts), np.uint8)
     begins = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -288,138 +159,45 @@ def smallest_holder(texts: list[bytes], dids: np.ndarray, length: int) -> tuple[
     least = np.minimum.reduceat(dids[owner[order]], starts) if len(starts) else np.zeros(0, np.int64)
     out = np.empty(len(at), np.int64)
     out[order] = np.repeat(least, np.diff(np.r_[starts, len(order)]))
-    return owner, place, out
-
-
-def verdicts(length: int):
-    """(anchor, nh, least): per distinct neighbourhood the smallest did of each window, as int64 bytes."""
-
-    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches):
-            anchor, nh, did = (table.column(i).to_numpy() for i in (1, 2, 4))
-            texts = table.column(3).to_pylist()
-            _, _, least = smallest_holder(texts, did, length)
-            cuts = np.r_[0, np.cumsum([len(t) - length + 1 for t in texts])].tolist()
-            blobs = [least[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(nh), pa.array(blobs, pa.binary())], names=["anchor", "nh", "least"]
-            )
-
-    return task
-
-
-def crowded_verdicts(names: DataFrame, length: int) -> DataFrame:
-    """What ``verdicts`` gives, for neighbourhoods of anchors that have too many of them for one shard."""
-
-    def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchor, nh, around, did = (c.to_pylist() for c in batch.columns)
-            for lo in range(0, len(around), 1000):
-                rows = [
-                    (anchor[i], nh[i], x, around[i][x : x + length], did[i])
-                    for i in range(lo, min(lo + 1000, len(around)))
-                    for x in range(len(around[i]) - length + 1)
-                ]
-                if rows:
-                    yield arrow(rows, target)
-
-    schema = "anchor long, nh long, place int, string binary, did long"
-    target = arrow_schema(names.sparkSession, schema)
-    strings = names.select("anchor", "nh", "around", "did").mapInArrow(cut_up, schema)
-    least = strings.groupBy("string").agg(F.min("did").alias("least"))
-    per_window = strings.select("anchor", "nh", "place", "string").join(least, "string")
-    listed = per_window.groupBy("anchor", "nh").agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("w"))
-
-    def pack():
-        return lambda anchor, nh, least: (anchor, nh, np.array(least, np.int64).tobytes())
-
-    return by_row(
-        listed.select("anchor", "nh", F.col("w.least").alias("least")), pack, ["anchor", "nh", "least"], VERDICT
-    )
-
+    return out
 
-SPAN = "did long, rid long, start int, end int"
 
+def _anchor_hashes(length: int):
+    def per_text(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, ends = text_buffers(texts)
+        doc, _, _, hashes = anchors(data, ends, length)
+        return doc, hashes
 
-def _occurrence_spans(length: int):
-    """The covered bytes of each occurrence: one span, as windows of one anchor overlap."""
+    return per_text
 
-    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            did, rid, start = (batch.column(i).to_numpy() for i in range(3))
-            blobs = batch.column(3).to_pylist()
-            sizes = np.array([len(x) // 8 for x in blobs])
-            owner = np.repeat(np.arange(len(blobs)), sizes)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            lost = np.frombuffer(b"".join(blobs), np.int64) < did[owner]
-            owner, place = owner[lost], place[lost]
-            first = runs([owner])
-            if not len(first):
-                continue
-            rows = owner[first]
-            last = np.r_[first[1:], len(owner)] - 1
-            begin = start[rows] + place[first]
-            end = start[rows] + place[last] + length
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(did[rows]), pa.array(rid[rows]), pa.array(begin, pa.int32()), pa.array(end, pa.int32())],
-                names=["did", "rid", "start", "end"],
-            )
 
-    return task
+def _around(length: int):
+    def around(texts: pa.Array, is_shared) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        data, ends = text_buffers(texts)
+        doc, place, count, hashes = anchors(data, ends, length)
+        held = is_shared(doc, hashes)
+        doc, place, count, hashes = doc[held], place[held], count[held], hashes[held]
+        begin = ends[doc] + place
+        found = zip(begin.tolist(), (begin + count - 1 + length).tolist())
+        return doc, place, hashes, [data[a:b].tobytes() for a, b in found]
 
+    return around
 
-def covered(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(did, rid, spans) of each first copy of a text; ``rows`` has (did, rid, text).
 
-    ``spans`` are the covered bytes as (start, end), unordered and overlapping, or null.
-    """
-    n = partitions(rows.sparkSession)
-    firsts = written(first_copies(rows))
-    shared = anchored(rows, _anchor_hashes(length))
-    listed = written(firsts.join(shared, "did"))
-    # The smaller side is built into a table per partition, so texts are neither sorted nor copied.
-    chosen = rows.join(listed.hint("shuffle_hash"), ["did", "rid"])
-    around = written(neighbourhoods(chosen, length))
-    names = written(around.groupBy("anchor", "nh").agg(F.min("did").alias("did"), F.first("around").alias("around")))
-    crowds = names.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("anchor")
-    dealt = (
-        names.join(crowds, "anchor", "left_anti")
-        .select(F.pmod("anchor", F.lit(4 * n)).cast("int").alias("shard"), "anchor", "nh", "around", "did")
-        .repartition(n, "shard")
-        .sortWithinPartitions("shard")
-    )
-    told = dealt.mapInArrow(verdicts(length), VERDICT).unionByName(
-        crowded_verdicts(names.join(crowds, "anchor", "left_semi"), length)
+def method(length: int) -> Method:
+    return Method(
+        length,
+        _anchor_hashes(length),
+        _around(length),
+        lambda content: len(content) - length + 1,
+        lambda content, x: content[x : x + length],
+        lambda contents, dids: smallest_holder(contents, dids, length),
     )
-    found = (
-        around.select("did", "rid", "start", "anchor", "nh")
-        .join(told, ["anchor", "nh"])
-        .select("did", "rid", "start", "least")
-        .mapInArrow(_occurrence_spans(length), SPAN)
-    )
-    per_row = found.groupBy("did", "rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return written(firsts.join(per_row, ["did", "rid"], "left"))
-
-
-def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of the union."""
-    out: list[list[int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(did, text, whole, spans): ``whole`` is true where the text repeats that of a smaller did."""
-    rows = with_row_key(id_text(docs))
-    found = covered(rows, length).withColumn("first", F.lit(True))
-    joined = rows.join(found.hint("shuffle_hash"), ["did", "rid"], "left")
-    return joined.select("did", "text", F.col("first").isNull().alias("whole"), "spans")
+    """(did, text, whole, spans): covered bytes; ``whole`` where the text repeats that of a smaller did."""
+    return repeats.dedup(docs, method(length))
 
 
 def summary(marked: DataFrame, length: int = LENGTH) -> DataFrame:
