@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprint, lines, mixing, pii, quality, suffixes
+from skein.llm import bpe, fingerprint, lines, mixing, pii, quality, substrings, suffixes
 from skein.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.summary(suffixes.dedup(documents(spark, sf_dir)))
 
 
+def op10_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.summary(substrings.dedup(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "op3_pii_anchors": op3_pii_anchors,
     "op5_bpe_trie": op5_bpe_trie,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op8_pfair_mix": op8_pfair_mix,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_cover_dedup": op10_cover_dedup,
 }
 
 # DuckDB SQL for the queries that it can express over whole tables.
