@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprint, lines, mixing, pii, quality, substrings, suffixes
+from skein.llm import bpe, fingerprint, jaccard, lines, mixing, pii, quality, substrings, suffixes
 from skein.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op10_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.summary(substrings.dedup(documents(spark, sf_dir)))
 
 
+def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.summary(jaccard.join(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "op3_pii_anchors": op3_pii_anchors,
     "op5_bpe_trie": op5_bpe_trie,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op8_pfair_mix": op8_pfair_mix,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_cover_dedup": op10_cover_dedup,
+    "op6_chosen_path_join": op6_chosen_path_join,
 }
 
 # DuckDB SQL for the queries that it can express over whole tables.
