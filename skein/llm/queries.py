@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprint, jaccard, lines, mixing, pii, quality, substrings, suffixes
+from skein.llm import bpe, fingerprint, jaccard, licenses, lines, mixing, pii, quality, substrings, suffixes
 from skein.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.summary(jaccard.join(documents(spark, sf_dir)))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op3_pii_anchors": op3_pii_anchors,
     "op5_bpe_trie": op5_bpe_trie,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_cover_dedup": op10_cover_dedup,
     "op6_chosen_path_join": op6_chosen_path_join,
+    "op1_license_scan": op1_license_scan,
 }
 
 # DuckDB SQL for the queries that it can express over whole tables.
