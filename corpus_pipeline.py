@@ -1,14 +1,18 @@
 """The corpus pipeline: quality rules, line dedup, near duplicates, mixing, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``. Stages but the last return the
+columns of ``docs``.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import quality
+from skein.llm import bpe, jaccard, lines, mixing, quality
+from skein.llm.common import documents, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,16 +20,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three documents have stay in the one with the largest id; n_chars follows the text."""
+    left = lines.drop_lines(docs, lines.keep_bitmaps(docs))
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
-ORACLE_SQL = None  # the stages' methods cannot be written in SQL; tests compare with brute force
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of similar documents the one with the smallest id stays."""
+    return jaccard.one_per_class(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, ordered so that any stretch holds the sources at their target shares."""
+    return mixing.mixed(docs)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with digests of the ids and of the decoded text, in the order of the mix."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.summary(bpe.decode(bpe.encode(docs, path), path), "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources", source_mix),
+    ("BPE encoding", bpe_tokens),
+]
+
+ORACLE_SQL = None  # not expressible in SQL; tests compare each stage with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``."""
-    from skein.session import cut
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -287,10 +287,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(task, schema)
 
 
-def summary(decoded: DataFrame) -> DataFrame:
-    """Counts and digests of ``decode``'s rows."""
+def summary(decoded: DataFrame, *columns: str) -> DataFrame:
+    """Counts and digests of ``decode``'s rows, after ``columns`` of theirs."""
     return decoded.select(
         "doc_id",
+        *columns,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -138,7 +138,7 @@ class Index:
         return np.where(whole, out, np.uint64(0))
 
     def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(template, lowest diagonal, highest diagonal) of near hits."""
+        """(template, lowest diagonal, highest diagonal): the band around near hits."""
         grams = self.grams(numbers)
         hits = np.flatnonzero(np.isin(grams, self.known)) if len(grams) else ()
         diagonals: dict[int, set[int]] = defaultdict(set)
@@ -147,12 +147,16 @@ class Index:
                 diagonals[t].add(int(at) - place)
         for t, found in diagonals.items():
             ordered = sorted(found)
-            low = ordered[0]
+            low, band = ordered[0], self.band(t)
             for a, b in zip(ordered, [*ordered[1:], None]):
-                if b is None or b - a > BAND:
-                    yield t, low, a
+                if b is None or b - a > band:
+                    yield t, low - band, a + band
                     low = b
 
+    def band(self, t: int) -> int:
+        """Narrower for short templates, so that copies next to each other stay apart."""
+        return min(BAND, len(self.templates[t]) // 2)
+
 
 def align(template: np.ndarray, numbers: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """(matched words, first word, last word + 1) of the best local alignment between two diagonals.
@@ -198,7 +202,7 @@ def matches(index: Index, text: str, least: float) -> list[tuple[str, float, int
     best: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for t, low, high in index.candidates(numbers):
         template = index.templates[t]
-        matched, first, last = align(template, numbers, low - BAND, high + BAND)
+        matched, first, last = align(template, numbers, low, high)
         if matched >= least * len(template):
             best[t].append((matched, first, last))
     if not best:

@@ -200,17 +200,15 @@ def summary(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the kept lines as ``text``; a row that loses every line goes."""
+    """``docs`` with the kept lines as ``text``; a row that loses every line keeps an empty text."""
 
     joined = _texts_with_bitmaps(docs, bitmaps).select("text", "covered", "keep", "rest")
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [_left(*row) for row in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)]
-            stays = pa.array([bool(left) for _, left in whole], pa.bool_())
-            texts = pa.array(["\n".join(left) for _, left in whole], pa.string())
-            out = pa.RecordBatch.from_arrays([texts, batch.column(3)], names=["text", "rest"])
-            yield out.filter(stays)
+            rows = zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)
+            texts = pa.array(["\n".join(_left(*row)[1]) for row in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([texts, batch.column(3)], names=["text", "rest"])
 
     schema = joined.select("text", "rest").schema
     done = joined.mapInArrow(task, schema)

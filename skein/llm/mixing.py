@@ -29,7 +29,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import partitions
+from skein.llm.common import NO_ID
 from skein.session import cut
 
 CYCLE = 1000  # slots of a full cycle, apart from rounding of the shares
@@ -185,3 +185,22 @@ def mix(
         "slot",
         (F.col("slot") * block + F.col("rank") % block).alias("position"),
     )
+
+
+def mixed(
+    docs: DataFrame,
+    weights: Mapping[str, float] | None = None,
+    block: int = BLOCK,
+    cycle: int = CYCLE,
+) -> DataFrame:
+    """``docs`` in the order of the mix; rows equal in doc_id and text stand together."""
+    names = docs.columns
+    same = [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("did"), "key"]
+    order = mix(docs, weights, block, cycle).groupBy(*same).agg(F.min("position").alias("position"))
+    packed = docs.select(
+        F.coalesce(docs["doc_id"], F.lit(NO_ID)).alias("did"),
+        F.xxhash64(docs["doc_id"], docs["text"]).alias("key"),
+        F.struct(*[docs[n] for n in names]).alias("row"),
+    )
+    placed = packed.join(order.hint("shuffle_hash"), ["did", "key"]).orderBy("position", "key")
+    return placed.select(*[F.col(f"row.`{n}`").alias(n) for n in names])

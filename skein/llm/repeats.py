@@ -5,9 +5,9 @@
 2. Windows of fixed length around such anchors are gathered into neighbourhoods, by an owner
    hash that depends on the window alone. Equal neighbourhoods are pre-aggregated to the
    smallest document that has them.
-3. Distinct neighbourhoods are dealt to shards by owner; a shard finds, per window, the
-   smallest document that has it. Owners with more than CROWD distinct neighbourhoods leave
-   the shards: their windows are matched by a grouped aggregate.
+3. Distinct neighbourhoods are dealt by owner, and some owners at a time make a shard, which finds,
+   per window, the smallest document that has it. Owners with more than CROWD distinct
+   neighbourhoods pass by the shards: their windows are matched by a grouped aggregate.
 4. Verdicts go back to the occurrences of a neighbourhood, then as spans to the rows.
 
 What belongs to one method is in a ``Method``.
@@ -30,7 +30,8 @@ from skein.llm.common import (
 )
 
 CROWD = 20_000  # distinct neighbourhoods of an owner that a shard takes
-VERDICT = "owner long, nh long, least binary"
+NAMES = ["owner", "nh", "around", "did", "least"]
+VERDICT = "owner long, nh long, around binary, did long, least binary"
 
 
 @dataclass(frozen=True)
@@ -158,19 +159,64 @@ def neighbourhoods(docs: DataFrame, method: Method) -> DataFrame:
 
 
 def verdicts(method: Method):
-    """Per distinct neighbourhood of a shard the smallest did of each window, as int64 bytes."""
+    """(owner, nh, around, did, least): per distinct neighbourhood the smallest did of each window, as int64 bytes.
 
-    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches):
-            owner, nh, did = (table.column(i).to_numpy() for i in (1, 2, 4))
-            contents = table.column(3).to_pylist()
-            least = method.least(contents, did)
-            cuts = np.r_[0, np.cumsum(list(map(method.windows, contents)))].tolist()
-            blobs = [least[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+    Rows come sorted by owner and are taken some owners at a time. Those of an owner with more than
+    CROWD of them pass with a null ``least``. A decided row stays only if some document loses by it,
+    and without its content.
+    """
+
+    def decided(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        table = pa.concat_tables(parts)
+        owner, nh, did, last = (table.column(c).to_numpy() for c in ("owner", "nh", "did", "last"))
+        contents = table.column("around").to_pylist()
+        least = method.least(contents, did)
+        starts = np.cumsum([0, *map(method.windows, contents)])[:-1]
+        useful = np.flatnonzero(np.minimum.reduceat(least, starts) < last).tolist()
+        cuts = [*starts.tolist(), len(least)]
+        blobs = [least[cuts[i] : cuts[i + 1]].tobytes() for i in useful]
+        if useful:
+            none = pa.nulls(len(useful), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(owner), pa.array(nh), pa.array(blobs, pa.binary())], names=["owner", "nh", "least"]
+                [pa.array(owner[useful]), pa.array(nh[useful]), none, pa.array(did[useful]), pa.array(blobs, pa.binary())],
+                names=NAMES,
             )
 
+    def passed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = table.select(NAMES[:-1]).append_column("least", pa.nulls(table.num_rows, pa.binary()))
+        yield from columns.combine_chunks().to_batches()
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[pa.Table] = []  # whole owners
+        open_parts: list[pa.Table] = []  # of the last owner so far
+        n_ready = n_open = 0
+        crowd, last = False, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            owner = batch.column(0).to_numpy()
+            starts = runs([owner])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(owner)]):
+                part = table.slice(a, b - a)
+                if owner[a] != last:
+                    ready += open_parts
+                    n_ready += n_open
+                    open_parts, n_open, crowd, last = [], 0, False, owner[a]
+                    if n_ready >= CROWD:
+                        yield from decided(ready)
+                        ready, n_ready = [], 0
+                open_parts.append(part)
+                n_open += part.num_rows
+                if crowd or n_open > CROWD:
+                    crowd = True
+                    for x in open_parts:
+                        yield from passed(x)
+                    open_parts, n_open = [], 0
+        yield from decided(ready + open_parts)
+
     return task
 
 
@@ -200,8 +246,9 @@ def crowded_verdicts(names: DataFrame, method: Method) -> DataFrame:
         return lambda owner, nh, least: (owner, nh, np.array(least, np.int64).tobytes())
 
     return by_row(
-        listed.select("owner", "nh", F.col("w.least").alias("least")), pack, ["owner", "nh", "least"], VERDICT
-    )
+        listed.select("owner", "nh", F.col("w.least").alias("least")), pack, ["owner", "nh", "least"],
+        "owner long, nh long, least binary",
+    )
 
 
 
@@ -243,24 +290,19 @@ def covered(rows: DataFrame, method: Method) -> DataFrame:
 
     ``spans`` are the covered bytes as (start, end), unordered and overlapping, or null.
     """
-    n = partitions(rows.sparkSession)
     firsts = written(first_copies(rows))
     shared = anchored(rows, method.anchors)
     listed = written(firsts.join(shared, "did"))
     # The smaller side is built into a table per partition, so texts are neither sorted nor copied.
     chosen = rows.join(listed.hint("shuffle_hash"), ["did", "rid"])
     around = written(neighbourhoods(chosen, method))
-    names = written(around.groupBy("owner", "nh").agg(F.min("did").alias("did"), F.first("around").alias("around")))
-    crowds = names.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("owner")
-    dealt = (
-        names.join(crowds, "owner", "left_anti")
-        .select(F.pmod("owner", F.lit(4 * n)).cast("int").alias("shard"), "owner", "nh", "around", "did")
-        .repartition(n, "shard")
-        .sortWithinPartitions("shard")
-    )
-    told = dealt.mapInArrow(verdicts(method), VERDICT).unionByName(
-        crowded_verdicts(names.join(crowds, "owner", "left_semi"), method)
+    names = around.groupBy("owner", "nh").agg(
+        F.first("around").alias("around"), F.min("did").alias("did"), F.max("did").alias("last")
     )
+    dealt = names.repartition(partitions(rows.sparkSession), "owner").sortWithinPartitions("owner")
+    told = written(dealt.mapInArrow(verdicts(method), VERDICT))
+    crowded = crowded_verdicts(told.where("least is null"), method)
+    told = told.where("least is not null").select("owner", "nh", "least").unionByName(crowded)
     found = (
         around.select("did", "rid", "start", "owner", "nh")
         .join(told, ["owner", "nh"])
