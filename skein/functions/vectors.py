@@ -20,6 +20,13 @@ def wrap_delta(a: Column, b: Column, size: float) -> Column:
     return F.when(F.abs(d) > size / 2, d + shift).otherwise(d)
 
 
+def wrapped(value: Column, size: float) -> Column:
+    """The same place of a wrapping axis, inside the world; values inside keep every bit."""
+    half = F.lit(size / 2)
+    inside = (value >= -half) & (value < half)
+    return F.when(inside, value).otherwise(F.pmod(value + half, F.lit(float(size))) - half)
+
+
 def delta(ax: Column, ay: Column, bx: Column, by: Column, world: World) -> Vector:
     """Vector from a to b under the world's distance."""
     if world.toroidal:

@@ -254,9 +254,15 @@ def dbscan(
 
     An agent counts itself; neighbours at exactly the radius count. A border
     agent joins the cluster with the largest id among its core neighbours.
-    Distances follow the world, so clusters across a seam are one cluster.
+    Distances follow the world, so clusters across a seam are one cluster. Positions may
+    lie outside the world: a plane goes on there, a torus wraps around.
     """
     frame = list(frame)
+    rows = points.drop("cluster_id")
+    if world.toroidal:
+        inside = {"x": V.wrapped(F.col("x"), world.width), "y": V.wrapped(F.col("y"), world.height)}
+        rows = rows.withColumns({"_x": F.col("x"), "_y": F.col("y")}).withColumns(inside)
+        points = points.withColumns(inside)
     grid = Grid.within_radius(world, radius)
     cell = [*frame, "cx", "cy"]
     position = [*frame, "x", "y"]
@@ -305,12 +311,14 @@ def dbscan(
     table = labelled.select(*position, "label").union(joined.select(*position, "label"))
     if hot_rows:
         table = cut(table)
-    rows = points.drop("cluster_id")
-    return (
+    found = (
         skew_join(rows, table, position, spread_by=["id"], hot_rows=hot_rows)
         .withColumn("cluster_id", F.coalesce(F.col("label") + 1, F.lit(0)))
         .drop("label")
     )
+    if world.toroidal:
+        found = found.withColumns({"x": F.col("_x"), "y": F.col("_y")}).drop("_x", "_y")
+    return found
 
 
 def components(

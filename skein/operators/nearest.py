@@ -1,16 +1,17 @@
 """Exact k nearest neighbours per frame without comparing all pairs.
 
-Positions are counted on a pyramid of ever finer grids. Each position takes the
-finest grid whose cell around it holds more than k agents: the k-th neighbour is
-then at most one cell diagonal away, so only cells within that distance are
-searched. A grid cell chosen this way is searched from few positions (its
-sub-cells hold at most k agents each), which bounds the comparisons by the number
-of agents however uneven they lie.
+Positions are counted on a pyramid of ever finer grids over the square that holds
+the data. Each position takes the finest grid whose cell around it holds more than k
+agents: the k-th neighbour is then at most one cell diagonal away, so only cells
+within that distance are searched. The pyramid goes down until its cells hold few
+positions, so a chosen cell is searched from few positions (its sub-cells hold at most k
+agents each), which bounds the comparisons by the number of agents however uneven they lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,36 @@ from skein.operators.skew import Skew, skew_join
 from skein.schema import World
 from skein.session import cut
 
-LEVELS = 9  # grids: the finest has 2**(LEVELS - 1) cells per side
+LEVELS = 9  # grids to begin with: the finest has 2**(levels - 1) cells per side
+DEEPER = 6  # grids added while a finest cell is crowded
+DEEPEST = 45  # doubles of one scale are told apart before
+
+
+@dataclass(frozen=True)
+class Pyramid:
+    """The square over the data and the number of grids on it."""
+
+    x0: float
+    y0: float
+    extent: float
+    levels: int = LEVELS
+
+    @classmethod
+    def over(cls, positions: DataFrame) -> "Pyramid":
+        x0, x1, y0, y1 = positions.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if x0 is None:
+            return cls(0.0, 0.0, 1.0)
+        return cls(x0, y0, max(x1 - x0, y1 - y0, 1e-9) * (1 + 1e-9))
+
+    def deep_enough(self, spots: DataFrame, frame: list[str], need: int) -> "Pyramid":
+        """More grids, until no finest cell holds more than a few times ``need`` positions."""
+        fit = self
+        while fit.levels < DEEPEST:
+            sizes = _fine(spots.select(*frame, "x", "y"), fit).groupBy(*frame, "fx", "fy").count()
+            if (sizes.agg(F.max("count")).first()[0] or 0) <= 8 * need:
+                break
+            fit = replace(fit, levels=fit.levels + DEEPER)
+        return fit
 
 
 def _spots(points: DataFrame, frame: list[str], k: int) -> DataFrame:
@@ -37,31 +67,31 @@ def _spots(points: DataFrame, frame: list[str], k: int) -> DataFrame:
     )
 
 
-def _fine(df: DataFrame, extent: float) -> DataFrame:
-    """Adds fx, fy: the finest cell of a position."""
-    side = extent / 2 ** (LEVELS - 1)
-    top = 2 ** (LEVELS - 1) - 1
+def _fine(df: DataFrame, pyramid: Pyramid) -> DataFrame:
+    """Adds fx, fy: the finest cell of a position. Positions outside the square count to its edge."""
+    top = 2 ** (pyramid.levels - 1) - 1
+    side = pyramid.extent / (top + 1)
 
-    def index(c: str) -> Column:
-        i = F.floor((F.col(c) + F.lit(extent / 2)) / F.lit(side)).cast("int")
+    def index(c: str, low: float) -> Column:
+        i = F.floor((F.col(c) - F.lit(low)) / F.lit(side)).cast("long")
         return F.greatest(F.lit(0), F.least(i, F.lit(top)))
 
-    return df.withColumns({"fx": index("x"), "fy": index("y")})
+    return df.withColumns({"fx": index("x", pyramid.x0), "fy": index("y", pyramid.y0)})
 
 
-def _levels(cells: DataFrame) -> DataFrame:
+def _levels(cells: DataFrame, levels: int) -> DataFrame:
     """Repeats finest cells once per grid: level, cx, cy (level 0 is the whole frame)."""
-    up = {f"c{a}": F.expr(f"f{a} div shiftleft(1, {LEVELS - 1} - level)") for a in "xy"}
+    up = {f"c{a}": F.expr(f"shiftright(f{a}, {levels - 1} - level)") for a in "xy"}
     return cells.withColumn(
-        "level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
-    ).withColumns({name: c.cast("int") for name, c in up.items()})
+        "level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    ).withColumns(up)
 
 
 def search(
     queries: DataFrame,
     spots: DataFrame,
     need: int,
-    extent: float,
+    square: Pyramid,
     frame: Sequence[str],
     hot_rows: int,
 ) -> DataFrame:
@@ -74,32 +104,33 @@ def search(
     frame = list(frame)
     fine_cell = [*frame, "fx", "fy"]
     cell = [*frame, "level", "cx", "cy"]
-    pyramid = _levels(spots.groupBy(*fine_cell).agg(F.sum("n").alias("n")))
+    pyramid = _levels(spots.groupBy(*fine_cell).agg(F.sum("n").alias("n")), square.levels)
     full = pyramid.groupBy(*cell).agg(F.sum("n").alias("n_cell")).where(F.col("n_cell") >= need)
-    asking = _levels(queries.select(*fine_cell).distinct())
+    asking = _levels(queries.select(*fine_cell).distinct(), square.levels)
     chosen = (
         skew_join(asking, full, cell, spread_by=["fx", "fy"], hot_rows=hot_rows)
         .where(F.col("n_cell").isNotNull() | (F.col("level") == 0))
         .groupBy(*fine_cell)
         .agg(F.max("level").alias("level"))
     )
-    side = F.lit(extent) / F.pow(F.lit(2.0), F.col("level"))
+    low = {"x": F.lit(square.x0), "y": F.lit(square.y0)}
+    side = F.lit(square.extent) / F.pow(F.lit(2.0), F.col("level"))
     reach = F.sqrt(F.lit(2.0)) * side
     probes = queries.join(chosen, fine_cell).withColumns({"side": side, "reach": reach})
 
     def span(axis: str) -> Column:
-        lo = F.floor((F.col(axis) + F.lit(extent / 2) - F.col("reach")) / F.col("side"))
-        hi = F.floor((F.col(axis) + F.lit(extent / 2) + F.col("reach")) / F.col("side"))
+        lo = F.floor((F.col(axis) - low[axis] - F.col("reach")) / F.col("side"))
+        hi = F.floor((F.col(axis) - low[axis] + F.col("reach")) / F.col("side"))
         last = F.pow(F.lit(2.0), F.col("level")) - 1
-        whole = F.sequence(F.lit(0), F.lit(0))
+        whole = F.sequence(F.lit(0).cast("long"), F.lit(0).cast("long"))
         some = F.sequence(
-            F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, last).cast("int")
+            F.greatest(lo, F.lit(0)).cast("long"), F.least(hi, last).cast("long")
         )
         return F.when(F.col("level") == 0, whole).otherwise(some)
 
     def gap(axis: str, c: str) -> Column:
-        low = F.col(c) * F.col("side") - F.lit(extent / 2)
-        return F.greatest(low - F.col(axis), F.col(axis) - low - F.col("side"), F.lit(0.0))
+        start = F.col(c) * F.col("side") + low[axis]
+        return F.greatest(start - F.col(axis), F.col(axis) - start - F.col("side"), F.lit(0.0))
 
     targets = cut(
         probes.withColumn("cx", F.explode(span("x")))
@@ -136,15 +167,16 @@ def nearest(
 ) -> DataFrame:
     """(frame, id, x, y, id2, x2, y2, dist, rank): the k closest others, ties by id.
 
-    Distances are plain. Positions must lie inside the world.
+    Distances are plain, and positions may lie anywhere: the grids cover the data, not the ``world``.
     """
     frame = list(frame)
-    extent = float(max(world.width, world.height))
     points = cut(points.select(*frame, "id", "x", "y"))
-    spots = cut(_fine(_spots(points, frame, k), extent))
-    hot_rows = skew.needed(spots.count() * LEVELS).key_rows
+    bare = cut(_spots(points, frame, k))
+    square = Pyramid.over(bare).deep_enough(bare, frame, k + 1)
+    spots = cut(_fine(bare, square))
+    hot_rows = skew.needed(spots.count() * square.levels).key_rows
     queries = spots.select(*frame, "x", "y", "fx", "fy")
-    found = search(queries, spots, k + 1, extent, frame, hot_rows).select(
+    found = search(queries, spots, k + 1, square, frame, hot_rows).select(
         *frame, "x", "y", "x2", "y2", "d2", F.explode("ids").alias("id2")
     )
     order = Window.partitionBy(*frame, "x", "y").orderBy("d2", "id2")

@@ -64,11 +64,11 @@ class Grid:
         return self.world.height / self.ny
 
     def cell(self, x: Column, y: Column) -> tuple[Column, Column]:
-        """Cell of a position; positions outside the world count to the edge cells."""
+        """Cell of a position. Outside a plane the grid simply goes on; on a torus it wraps around."""
 
         def along(value: Column, low: float, step: float, n: int) -> Column:
-            i = F.floor((value - F.lit(low)) / F.lit(step)).cast("int")
-            return F.greatest(F.lit(0), F.least(i, F.lit(n - 1)))
+            i = F.floor((value - F.lit(low)) / F.lit(step)).cast("long")
+            return F.pmod(i, F.lit(n)) if self.world.toroidal else i
 
         return (
             along(x, -self.world.width / 2, self.dx, self.nx),
@@ -93,12 +93,7 @@ class Grid:
         tx, ty = F.col(cx) + F.col("_o.i"), F.col(cy) + F.col("_o.j")
         if self.world.toroidal:
             tx, ty = F.pmod(tx, F.lit(self.nx)), F.pmod(ty, F.lit(self.ny))
-        moved = moved.withColumns({cx: tx, cy: ty}).drop("_o")
-        if self.world.toroidal:
-            return moved
-        return moved.where(
-            F.col(cx).between(0, self.nx - 1) & F.col(cy).between(0, self.ny - 1)
-        )
+        return moved.withColumns({cx: tx, cy: ty}).drop("_o")
 
 
 def with_cell(df: DataFrame, grid: Grid) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.nearest import _fine, nearest, search
+from skein.operators.nearest import Pyramid, _fine, nearest, search
 from skein.operators.skew import Skew
 from skein.schema import World
 from skein.session import cut
@@ -116,8 +116,9 @@ def cells(
     done = first.where("done").drop("done")
     open_cells = first.where("not done").drop("done")
 
+    square = Pyramid(-extent / 2, -extent / 2, extent)
     spots = cut(
-        _fine(sites.select(*frame, "x", "y", F.array("id").alias("ids"), F.lit(1).alias("n")), extent)
+        _fine(sites.select(*frame, "x", "y", F.array("id").alias("ids"), F.lit(1).alias("n")), square)
     )
     hot_rows = skew.needed(spots.count()).key_rows
     while not open_cells.isEmpty():
@@ -125,9 +126,9 @@ def cells(
             *key, F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode("ring").alias("p")
         ).select(*key, "sx", "sy", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
         spot = [*frame, "x", "y"]
-        asked = _fine(corners.select(*spot).distinct(), extent)
+        asked = _fine(corners.select(*spot).distinct(), square)
         best = (
-            search(asked, spots, 1, extent, frame, hot_rows)
+            search(asked, spots, 1, square, frame, hot_rows)
             .groupBy(*spot)
             .agg(F.min_by(F.struct("d2", "x2", "y2"), F.struct("d2", "x2", "y2")).alias("b"))
         )
