@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.ordered import running_sum
+from skein.session import cut
 
 
 def across_runs(metrics: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -69,17 +70,17 @@ def change_points(
 
     ``mean`` weighs the squared difference of the two means, ``var`` the drop in
     log variance around the series mean. The split is the last element before the
-    change; ``seq`` must be dense within ``key``.
+    change; ``seq`` may have gaps, elements are counted. Elements without a value are left out.
     """
     key = list(key)
-    whole = series.groupBy(*key).agg(
-        F.avg(value).alias("_mu"), F.count(value).alias("_n"), F.min(seq).alias("_first")
-    )
-    centred = series.join(whole, key).withColumns(
-        {"_d": F.col(value) - F.col("_mu"), "_k": F.col(seq) - F.col("_first") + 1}
-    )
-    sums = running_sum(
-        centred, {"_s": F.col("_d"), "_q": F.col("_d") * F.col("_d")}, key=key, seq="_k"
+    series = cut(series.where(F.col(value).isNotNull()))
+    whole = series.groupBy(*key).agg(F.avg(value).alias("_mu"), F.count(value).alias("_n"))
+    centred = series.join(whole, key).withColumn("_d", F.col(value) - F.col("_mu"))
+    places = F.lit(1).cast("long")
+    sums = cut(
+        running_sum(
+            centred, {"_s": F.col("_d"), "_q": F.col("_d") * F.col("_d"), "_k": places}, key=key, seq=seq
+        )
     )
     totals = sums.groupBy(*key).agg(F.sum(F.col("_d") * F.col("_d")).alias("_all"))
     k, n = F.col("_k"), F.col("_n")
@@ -98,12 +99,12 @@ def change_points(
     )
 
 
-def latest_change(points: Sequence[DataFrame], cap: float) -> DataFrame:
-    """The latest change point of several series, at most ``cap``; 0 without any."""
+def latest_change(points: Sequence[DataFrame], cap: float | None = None) -> DataFrame:
+    """The latest change point of several series, at most ``cap`` if one is given; 0 without any."""
     every = points[0].select("change_point")
     for more in points[1:]:
         every = every.union(more.select("change_point"))
-    latest = F.least(F.max("change_point"), F.lit(int(cap)))
+    latest = F.max("change_point") if cap is None else F.least(F.max("change_point"), F.lit(int(cap)))
     return every.agg(F.coalesce(latest, F.lit(0)).cast("long").alias("max_change_point"))
 
 
@@ -115,7 +116,7 @@ def circular_fit(rows: DataFrame, angle: str, by: Sequence[str]) -> DataFrame:
     sums = rows.groupBy(*by).agg(
         F.avg(F.cos(angle)).alias("_c"), F.avg(F.sin(angle)).alias("_s"), F.count(angle).alias("n")
     )
-    rho = F.hypot("_c", "_s")
+    rho = F.least(F.hypot("_c", "_s"), F.lit(1.0))  # rounding may lift equal angles over 1
     return sums.select(
         *by,
         "n",
@@ -151,12 +152,16 @@ def circular_density(rows: DataFrame, angle: str, bins: int, by: Sequence[str],
 
 
 def fit_error(density: DataFrame, fit: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sum of squared gaps between a density and the two fitted wrapped laws."""
+    """Sum of squared gaps between a density and the two fitted wrapped laws.
+
+    Null for a law that has no density, as of angles that are all equal.
+    """
     both = density.join(fit, [*by])
     z = F.col("theta") - F.col("mu")
     rho = F.col("rho")
-    cauchy = (1 - rho * rho) / (1 + rho * rho - 2 * rho * F.cos(z)) / (2 * math.pi)
-    sd = F.col("normal_sd")
+    spread = F.when(rho < 1, 1 + rho * rho - 2 * rho * F.cos(z))
+    cauchy = (1 - rho * rho) / spread / (2 * math.pi)
+    sd = F.when(F.col("normal_sd") > 0, F.col("normal_sd"))
     normal = sum(
         F.exp(-0.5 * F.pow((z + 2 * math.pi * w) / sd, F.lit(2.0))) for w in range(-3, 4)
     ) / (sd * math.sqrt(2 * math.pi))

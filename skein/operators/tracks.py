@@ -190,10 +190,11 @@ def timeline_facets(rows: DataFrame, sections: int) -> DataFrame:
     ).drop("_row", "_row_of")
 
 
-def time_bins(rows: DataFrame, width: int, bins: int) -> DataFrame:
-    """Rows before the last bin's end, with the first time of their bin."""
+def time_bins(rows: DataFrame, width: int, bins: int | None = None) -> DataFrame:
+    """Rows with the first time of their bin; with ``bins``, only those before the last bin's end."""
     bin_start = F.floor((F.col("time") - 1) / F.lit(width)) * width + 1
-    return rows.where(F.col("time") < bins * width).withColumn("time_bin", bin_start.cast("long"))
+    shown = rows if bins is None else rows.where(F.col("time") < bins * width)
+    return shown.withColumn("time_bin", bin_start.cast("long"))
 
 
 def sampled(ticks: DataFrame, rate: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skein.plans.queries import CATALOGUE, FLOCK, WANDERING
 from skein.plans.shape import rounded, shape_sql
+from skein.sources.events import RUNS
 
 PI = "pi()"
 TURN = "(2 * pi())"
@@ -155,7 +156,7 @@ SQL: dict[str, str] = {
     + histogram("faceted", "timeline_facet, run_id"),
     "time_bin_headings": WITH_DIRS
     + """SELECT CAST(floor(("time" - 1) / 4.0) * 4 + 1 AS BIGINT) AS time_bin,
-       floor(round(degrees(headings), 9)) AS degree, count(*) AS n FROM dirs WHERE "time" < 52 GROUP BY 1, 2""",
+       floor(round(degrees(headings), 9)) AS degree, count(*) AS n FROM dirs GROUP BY 1, 2""",
     "boundary_rows": WITH_TRACK + "SELECT * FROM track WHERE abs(x) > 50 - 7 OR abs(y) > 50 - 7",
     "boundary_clean_tracks": ctes(TRACK, AFFECTED) + "SELECT * FROM flagged WHERE hit = 0",
     "boundary_share": ctes(TRACK, AFFECTED)
@@ -431,7 +432,7 @@ SQL |= {
 
 
 def knn_cte(k: int, source: str = "track") -> str:
-    return f"""knn AS (
+    return f"""knn AS MATERIALIZED (
   SELECT *, sqrt(d2) AS dist FROM (
     SELECT *, row_number() OVER (PARTITION BY "time", id ORDER BY d2, id2) AS rank FROM (
       SELECT a."time", a.id, b.id AS id2, (b.x - a.x)^2 + (b.y - a.y)^2 AS d2,
@@ -591,9 +592,11 @@ SQL |= {
     "experiment_metrics": ctes(*MEASURES) + "SELECT * FROM measures",
     "experiment_stats": ctes(*MEASURES)
     + f'SELECT 16 * "time" AS t, {", ".join(across(m) for m in METRICS)} FROM measures GROUP BY "time"',
-    "experiment_wide": WITH_V
-    + f"""SELECT * FROM (PIVOT (SELECT run_id, 't_' || "time" AS label, {rounded("avg_norm_vel")} AS m FROM v)
-  ON label USING first(m) GROUP BY run_id)""",
+    "runs_wide": WITH_V
+    + f"""SELECT "time", {", ".join(f'max(CASE WHEN run_id = {r} THEN avg_norm_vel END) AS run_{r}' for r in range(RUNS))}
+  FROM v GROUP BY 1""",
+    "voronoi_cells": WITH_TRACK
+    + """SELECT "time", count(DISTINCT (x, y)) AS sites, 100.0 * 100.0 AS total_area FROM track GROUP BY 1""",
     "wide_to_long": WITH_V + "SELECT * FROM v",
     "sweep_summary": WITH_V
     + """SELECT noise_level, agents, avg(m) AS mean_avg_norm_vel, max(m) AS max_avg_norm_vel, count(*) AS runs
@@ -605,7 +608,7 @@ SQL |= {
     "change_point_mean": ctes(*DIR_PARTS, BY_RUN, change_cte("mean")) + "SELECT * FROM change_mean",
     "change_point_var": ctes(*DIR_PARTS, BY_RUN, change_cte("var")) + "SELECT * FROM change_var",
     "latest_change_point": ctes(*DIR_PARTS, BY_RUN, change_cte("mean"), change_cte("var"))
-    + """SELECT coalesce(least(max(change_point), 625), 0) AS max_change_point
+    + """SELECT coalesce(max(change_point), 0) AS max_change_point
   FROM (SELECT change_point FROM change_mean UNION ALL SELECT change_point FROM change_var)""",
     "circular_fit": ctes(*DIR_PARTS, FIT) + "SELECT * FROM fit",
     "circular_density": ctes(*DIR_PARTS, DENSITY) + "SELECT * FROM density",
@@ -629,9 +632,9 @@ SQL |= {
     + """SELECT ceil(greatest(0, max(x))) AS extent_x, ceil(greatest(0, max(y))) AS extent_y,
        count(DISTINCT id) AS agents, max("time") AS last_time, min("time") AS first_time FROM track""",
     "replay_validate": WITH_TRACK
-    + """SELECT *, agents = expected AND hi - lo + 1 = agents AS complete FROM (
-    SELECT *, max(agents) OVER (PARTITION BY run_id) AS expected FROM (
-      SELECT run_id, "time", count(*) AS agents, min(id) AS lo, max(id) AS hi FROM track GROUP BY 1, 2))""",
+    + """SELECT run_id, "time", agents, len(top) AS expected, agents = len(top) AND ids = top AS complete FROM (
+    SELECT *, first(ids) OVER (PARTITION BY run_id ORDER BY len(ids) DESC, "time") AS top FROM (
+      SELECT run_id, "time", count(*) AS agents, list_sort(list(DISTINCT id)) AS ids FROM track GROUP BY 1, 2))""",
     "replay_frame": WITH_STEPS
     + 'SELECT id, x, y, coalesce(dx, 0) * 0.5 AS vx, coalesce(dy, 0) * 0.5 AS vy, 4 AS trail_length FROM steps WHERE "time" = 21',
     "replay_stream": ROUND_TRIP,

@@ -28,7 +28,7 @@ from skein.schema import EVENTS, World
 from skein.session import shared_dir
 from skein.sources import recorder as IO
 from skein.sources.config import FlockConfig, parse_boundary
-from skein.sources.events import WORLD, point_cloud, positions, read_events, tracks
+from skein.sources.events import RUNS, WORLD, point_cloud, positions, read_events, tracks
 from skein.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,7 +208,7 @@ def facet_direction_counts(spark, sf):
 
 @query("time_bin degree n")
 def time_bin_headings(spark, sf):
-    binned = K.time_bins(K.directional(tracks(spark, sf), WORLD), width=4, bins=13)
+    binned = K.time_bins(K.directional(tracks(spark, sf), WORLD), width=4)
     return binned.groupBy("time_bin", degree_bin(F.col("headings")).alias("degree")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -538,6 +538,13 @@ def voronoi_occupancy(spark, sf):
     return O.occupancy(tracks(spark, sf), RADIUS, WORLD)
 
 
+@query("time sites total_area:double")
+def voronoi_cells(spark, sf):
+    """Cells tile the world: their number and the sum of their areas."""
+    areas = O.relaxed_areas(tracks(spark, sf), WORLD, relaxations=0)
+    return areas.groupBy("time").agg(F.count(F.lit(1)).alias("sites"), F.sum("area").alias("total_area"))
+
+
 # --- many runs ------------------------------------------------------------------------
 
 STATS = " ".join(f"{m}_{v}:double" for v in E.METRICS for m in ("mean", "var"))
@@ -571,6 +578,13 @@ def experiment_wide(spark, sf):
 CATALOGUE["experiment_wide"] = ("", experiment_wide)
 
 
+@query("time " + " ".join(f"run_{r}:double" for r in range(RUNS)))
+def runs_wide(spark, sf):
+    """One row per time, one column per run: the columns are known, whatever the length of the runs."""
+    wide = velocity_by_run(spark, sf).groupBy("time").pivot("run_id", list(range(RUNS))).agg(F.max("avg_norm_vel"))
+    return wide.select("time", *[F.col(str(r)).alias(f"run_{r}") for r in range(RUNS)])
+
+
 @query("run_id time avg_norm_vel:double")
 def wide_to_long(spark, sf):
     wide = X.to_wide(velocity_by_run(spark, sf), "avg_norm_vel")
@@ -605,7 +619,7 @@ def change_point_var(spark, sf):
 def latest_change_point(spark, sf):
     series = velocity_by_run(spark, sf)
     both = [X.change_points(series, "avg_norm_vel", kind) for kind in ("mean", "var")]
-    return X.latest_change(both, cap=10000 / 16)
+    return X.latest_change(both)
 
 
 @query("run_id n mu:double rho:double normal_sd:double cauchy_scale:double")
@@ -701,14 +715,16 @@ def replay_validate(spark, sf):
 
 @query("id x:double y:double vx:double vy:double trail_length")
 def replay_frame(spark, sf):
-    moving = replay.moving_samples(tracks(spark, sf), WORLD, rescale=0.5)
-    shown = replay.Playhead(first=1, last=40, at=20).forward().frame(moving)
+    samples = tracks(spark, sf)
+    head = replay.Playhead.over(samples, at=20).forward()
+    # only the frames that the shown one needs go through the windows
+    shown = head.frame(replay.moving_samples(head.window(samples), WORLD, rescale=0.5))
     return shown.withColumn("trail_length", F.size("trail"))
 
 
 @query("run_id id time x:double y:double dx:double dy:double")
 def replay_stream(spark, sf):
-    source = replay.stream_recordings(spark, sf, EVENTS, pathGlobFilter="events.parquet")
+    source = replay.stream_recordings(spark, f"{sf}/events.parquet", EVENTS)
     return replay.run_to_table(replay.stream_steps(positions(source), WORLD), spark, "replay")
 
 

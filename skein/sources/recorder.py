@@ -85,18 +85,22 @@ def write_config(spark: SparkSession, config: FlockConfig, path: str) -> None:
 
 
 def check_samples(samples: DataFrame) -> DataFrame:
-    """Per run and time: agents seen, and whether the frame is complete.
+    """Per run and time: samples seen, and whether the frame is complete.
 
-    A frame is complete when its ids are consecutive, without repeats, and as many
-    as in the run's largest frame. Replay needs complete frames.
+    A frame is complete when it holds the agents of its run's largest frame (the first of equals),
+    each exactly once. Replay needs complete frames.
     """
-    frames = samples.groupBy("run_id", "time").agg(
-        F.count(F.lit(1)).alias("agents"),
-        F.min("id").alias("first_id"),
-        F.max("id").alias("last_id"),
+    once = samples.groupBy("run_id", "time", "id").agg(F.count(F.lit(1)).alias("_n"))
+    frames = once.groupBy("run_id", "time").agg(
+        F.sum("_n").alias("agents"),
+        F.count(F.lit(1)).alias("_ids"),
+        F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_set"),
     )
-    runs = frames.groupBy("run_id").agg(F.max("agents").alias("expected"))
-    full = (F.col("agents") == F.col("expected")) & (
-        F.col("last_id") - F.col("first_id") + 1 == F.col("agents")
+    largest = F.max(F.struct("_ids", -F.col("time"), "_set")).alias("_top")
+    runs = frames.groupBy("run_id").agg(largest).select(
+        "run_id", F.col("_top._ids").alias("expected"), F.col("_top._set").alias("_wanted")
     )
-    return frames.join(runs, "run_id").withColumn("complete", full)
+    full = (F.col("agents") == F.col("expected")) & (F.col("_ids") == F.col("expected")) & (
+        F.col("_set") == F.col("_wanted")
+    )
+    return frames.join(runs, "run_id").withColumn("complete", full).drop("_ids", "_set", "_wanted")

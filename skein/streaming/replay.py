@@ -45,6 +45,12 @@ class Playhead:
     step: int = 1
     playing: bool = True
 
+    @classmethod
+    def over(cls, samples: DataFrame, at: int) -> "Playhead":
+        """A playhead between the first and the last time of the samples."""
+        first, last = samples.agg(F.min("time"), F.max("time")).first()
+        return cls(first or 0, last or 0, at).seek(at)
+
     def tick(self) -> "Playhead":
         return self.seek(self.at + self.step) if self.playing else self
 
@@ -135,10 +141,17 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
-def stream_recordings(spark: SparkSession, folder: str, schema, **options) -> DataFrame:
-    """A folder of Parquet sample files as a stream, some files per trigger."""
+def stream_recordings(spark: SparkSession, table: str, schema, **options) -> DataFrame:
+    """A Parquet table of sample files as a stream, some files per trigger.
+
+    A table that is one file is read as the only file of that name in its folder.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    status = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path)
+    if status.isFile():
+        options = {"pathGlobFilter": path.getName(), **options}
+        table = table.rstrip("/").rpartition("/")[0]
     for key, value in options.items():
         reader = reader.option(key, value)
-    return reader.parquet(folder)
-
+    return reader.parquet(table)

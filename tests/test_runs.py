@@ -127,3 +127,44 @@ def test_stream_in_several_batches_equals_one(spark):
     want = preprocess(tracks(spark, SF), WORLD)
     columns = ["run_id", "id", "time", "x", "y", "dx", "dy"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_repeated_agents_are_no_complete_frame(spark):
+    rows = [(0, 1, 1), (0, 1, 2), (0, 1, 3), (0, 2, 1), (0, 2, 1), (0, 2, 3), (0, 3, 3), (0, 3, 2), (0, 3, 1)]
+    samples = spark.createDataFrame(rows, "run_id long, time long, id long")
+    got = {r["time"]: r["complete"] for r in recorder.check_samples(samples).collect()}
+    assert got == {1: True, 2: False, 3: True}
+
+
+def test_change_points_count_elements_not_times(spark):
+    from skein.operators import stats
+
+    values = [1.0, 1.1, 0.9, 5.0, 5.1, 4.9, 5.0]
+    gains = []
+    for times in (range(1, 8), (1, 2, 4, 8, 20, 21, 22)):
+        rows = [(0, t, v) for t, v in zip(times, values)] + [(0, 30, None)]
+        series = spark.createDataFrame(rows, "run_id long, time long, v double")
+        (row,) = stats.change_points(series, "v").collect()
+        gains.append(row["gain"])
+        assert row["change_point"] == list(times)[2]
+    assert gains[0] == gains[1]
+
+
+def test_equal_angles_have_no_fit_error(spark):
+    from skein.operators import stats
+
+    rows = spark.createDataFrame([(r, 0.5) for r in (0, 0, 0)] + [(1, 0.1), (1, 0.4)], "run_id long, b double")
+    fit = stats.circular_fit(rows, "b", ("run_id",))
+    got = {r["run_id"]: r for r in stats.fit_error(stats.circular_density(rows, "b", 90, ("run_id",)), fit, ("run_id",)).collect()}
+    assert got[0]["normal_error"] is None or got[0]["normal_error"] > 0
+    assert got[1]["cauchy_error"] > 0 and fit.where("rho > 1").count() == 0
+
+
+def test_stream_of_a_table_of_parts_equals_the_batch(spark, tmp_path):
+    from skein.plans import queries as Q
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartitionByRange(3, "ts").sortWithinPartitions("ts", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    batch = Q.run("preprocessed_round_trip", spark, "/root/testdata/sf0.001")
+    stream = Q.run("replay_stream", spark, str(tmp_path)).select(*batch.columns)
+    assert stream.count() == batch.count() and stream.exceptAll(batch).count() == 0
