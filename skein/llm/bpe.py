@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import arrow_schema, id_text, public_id
 
 PIECES_KEPT = 150_000  # of each generation of the caches from pieces and from words to ids
-PAIRS_KEPT = 500_000  # of the cache of neighbouring tokens
+PAIRS_KEPT = 300_000  # of the caches of neighbouring tokens and of endings
 TAIL = 4  # bytes by which the tokens that may end a prefix are looked up
 NEVER = 1 << 60
 
@@ -50,21 +50,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def to_bytes(token: str) -> bytes:
+    return bytes(map(byte_letters().__getitem__, token))
+
+
+def specification(path: str) -> tuple[dict, dict[str, int]]:
+    """The vocabulary file, and its special tokens."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    return spec, {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+
+
+@cache
+def token_bytes(path: str) -> dict[int, bytes]:
+    """What each id decodes to."""
+    spec, special = specification(path)
+    plain = {i: to_bytes(t) for t, i in spec["model"]["vocab"].items() if t not in special}
+    return plain | {i: t.encode() for t, i in special.items()}
+
+
 class Vocabulary:
     """Tokens, merges and the test whether two tokens can be neighbours."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        letters = byte_letters()
-
-        def to_bytes(token: str) -> bytes:
-            return bytes(map(letters.__getitem__, token))
-
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        spec, self.special = specification(path)
         self.ids = {to_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.bytes_of = {i: t for t, i in self.ids.items()}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.longer: dict[bytes, set[int]] = {}  # lengths of the tokens over TAIL bytes by their last ones
         for token in self.ids:
             if len(token) > TAIL:
@@ -274,7 +284,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     target = arrow_schema(encoded.sparkSession, schema)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary(path).bytes_of.__getitem__
+        get = token_bytes(path).__getitem__
         for batch in batches:
             lists = batch.column(1)
             values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
