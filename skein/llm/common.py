@@ -161,3 +161,28 @@ def groups(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table
             last = values[a]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def joined_hashes(words: np.ndarray, length: int, base: int) -> np.ndarray:
+    """Hash of the ``length`` words from each place on, put together from powers of two."""
+    mask = 2**64 - 1
+    out, size, power = words, 1, base
+    whole, done = None, 0  # what the low bits of ``length`` gave so far
+    with np.errstate(over="ignore"):
+        while True:
+            if length & size:
+                if whole is None:
+                    whole, done = out, size
+                else:
+                    n = len(words) - done - size + 1
+                    if n < 1:
+                        return np.zeros(0, np.uint64)
+                    scale = np.uint64(pow(base, done, mask + 1))
+                    whole, done = out[:n] * scale + whole[size : size + n], done + size
+            if 2 * size > length:
+                return mix(whole) if len(words) >= length else np.zeros(0, np.uint64)
+            n = len(out) - size
+            if n < 1:
+                return np.zeros(0, np.uint64)
+            out = out[:n] * np.uint64(power) + out[size : size + n]
+            power, size = power * power & mask, 2 * size

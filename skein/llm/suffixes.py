@@ -29,26 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skein.llm import repeats
-from skein.llm.common import by_row, mix, public_id, runs, sha256, text_buffers
+from skein.llm.common import by_row, joined_hashes, public_id, runs, sha256, text_buffers
 from skein.llm.repeats import Method, merged
 
 LENGTH = 50  # bytes
-GRAM = 16  # bytes of an anchor
+GRAM = 24  # bytes of an anchor
 PIECE = 1 << 20  # bytes that are hashed at a time
 AT = np.uint64((1 << 24) - 1)  # low bits of a packed hash: the place in the piece
 BASE = 0x9E3779B97F4A7C15
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each place on."""
-    h, size, power = data.astype(np.uint64), 1, BASE
-    with np.errstate(over="ignore"):
-        while size < GRAM:
-            h = h[:-size] * np.uint64(power) + h[size:]
-            power, size = power * power & (2**64 - 1), 2 * size
-    return mix(h)
-
-
 def smallest(h: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` consecutive values."""
     size = 1
@@ -74,7 +64,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
         joined = np.concatenate([data[a:b] for _, a, b in parts])
         sizes = np.array([b - a for _, a, b in parts])
         begins = np.r_[0, np.cumsum(sizes)[:-1]]
-        hashes = gram_hashes(joined)
+        hashes = joined_hashes(joined.astype(np.uint64), GRAM, BASE)
         packed = hashes & ~AT | np.arange(len(hashes), dtype=np.uint64)
         owner = smallest(packed, length - GRAM + 1)
         part = np.repeat(np.arange(len(parts)), sizes - length + 1)
