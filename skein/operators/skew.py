@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_LIMIT = 10_000  # hot keys treated apart: the bound on every broadcast here
@@ -47,6 +47,11 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     )
 
 
+def spread_rows(rows: DataFrame, hot_values: DataFrame, keys: Sequence[str], spread: Column) -> DataFrame:
+    """``rows`` with their hot values and the number by which hot ones are dealt out."""
+    return rows.join(hot_values, list(keys), "left").withColumn("_spread", spread.cast("int"))
+
+
 def skew_join(
     rows: DataFrame,
     table: DataFrame,
@@ -67,13 +72,13 @@ def skew_join(
     values = [c for c in table.columns if c not in keys]
     pack = F.struct(*[F.col(c) for c in values] or [F.lit(1).alias("_one")])
     hot = hot_keys(rows, keys, hot_rows).drop("_n")
-    hot_values = F.broadcast(
-        table.join(F.broadcast(hot), keys).select(*keys, pack.alias("_hot"))
-    )
-    spread = F.when(F.col("_hot").isNull(), 0).otherwise(
+    known = table.join(F.broadcast(hot), keys).select(*keys, pack.alias("_hot"))
+    # every hot key is spread, also one that the table lacks
+    hot_values = F.broadcast(hot.join(F.broadcast(known), keys, "left").withColumn("_is_hot", F.lit(True)))
+    spread = F.when(F.col("_is_hot").isNull(), 0).otherwise(
         1 + F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD))
     )
-    marked = rows.join(hot_values, keys, "left").withColumn("_spread", spread.cast("int"))
+    marked = spread_rows(rows, hot_values, keys, spread)
     joined = marked.join(
         table.select(*keys, pack.alias("_cold"), F.lit(0).alias("_spread")), [*keys, "_spread"], "left"
     ).withColumn("_value", F.coalesce("_hot", "_cold"))

@@ -71,3 +71,22 @@ def test_nearest_outside_the_world_and_in_a_dense_spot(spark):
     for a in rows:
         others = sorted(((b[2] - a[2]) ** 2 + (b[3] - a[3]) ** 2, b[1]) for b in rows if b[1] != a[1])[:4]
         assert [i for _, i in sorted(got[a[1]])] == [i for _, i in others]
+
+
+def test_a_hot_key_that_the_table_lacks_is_spread(spark, monkeypatch):
+    from skein.operators import skew
+
+    rows = spark.createDataFrame([(7 if i % 2 else i, i) for i in range(2000)], "k long, id long")
+    table = spark.createDataFrame([(i, f"v{i}") for i in range(2000) if i != 7], "k long, v string")
+    seen = {}
+    original = skew.spread_rows
+
+    def kept(*args):
+        seen["marked"] = original(*args)
+        return seen["marked"]
+
+    monkeypatch.setattr(skew, "spread_rows", kept)
+    joined = skew.skew_join(rows, table, ["k"], spread_by=["id"], hot_rows=100)
+    got = {(r.k, r.id, r.v) for r in joined.collect()}
+    assert got == {(7, i, None) if i % 2 else (i, i, f"v{i}") for i in range(2000)}
+    assert seen["marked"].where("k = 7").select("_spread").distinct().count() > 900
