@@ -49,13 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+_tables: list[str] = []  # what ``cut`` has written and ``discard_cuts`` has not removed
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it back.
 
     Later jobs start from the table: a lost executor costs no recomputation, and
     the optimiser knows the table's size when it chooses between join strategies.
+    The table stays until ``discard_cuts``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_cuts(spark: SparkSession) -> int:
+    """Removes the tables that ``cut`` has written, once the results built on them are stored."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    removed = 0
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed

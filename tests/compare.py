@@ -12,7 +12,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as contract  # noqa: E402
-from skein.session import local_session  # noqa: E402
+from skein.session import discard_cuts, local_session  # noqa: E402
 
 
 def duck(sf_dir: str):
@@ -61,6 +61,7 @@ def main() -> int:
         except Exception as error:  # report and go on with the next query
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         failed += problem is not None
+        discard_cuts(spark)
         print(f"{'FAIL' if problem else 'ok':>4} {name} ({time.time() - start:.1f}s) {problem or ''}", flush=True)
     print("failed:", failed)
     return 1 if failed else 0

@@ -1,6 +1,7 @@
 """Spatial operators with positions outside the world, against all pairs."""
 
 import math
+import os
 import random
 
 import pytest
@@ -90,3 +91,12 @@ def test_a_hot_key_that_the_table_lacks_is_spread(spark, monkeypatch):
     got = {(r.k, r.id, r.v) for r in joined.collect()}
     assert got == {(7, i, None) if i % 2 else (i, i, f"v{i}") for i in range(2000)}
     assert seen["marked"].where("k = 7").select("_spread").distinct().count() > 900
+
+
+def test_cut_tables_can_be_discarded(spark):
+    from skein import session
+
+    first = session.cut(spark.range(5))
+    folder = first.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    assert first.count() == 5 and os.path.isdir(folder)
+    assert session.discard_cuts(spark) >= 1 and not os.path.exists(folder)
