@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import vectors as V
 from skein.operators.rules import noise
 from skein.operators.skew import skew_join
+from skein.session import cut
 from skein.sources.config import FlockConfig
 
 # Ways to place a new flock.
@@ -76,24 +77,35 @@ def delete(state: DataFrame, ids: DataFrame) -> DataFrame:
     return state.join(ids, ids.columns, "left_anti")
 
 
+def _last_ids(state: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The highest id of each run, written: a skew join reads it more than once."""
+    return cut(state.groupBy(*by).agg(F.max("id").alias("_last")))
+
+
 def delete_last(state: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """Removes the agent with the highest id of each run."""
-    last = state.groupBy(*by).agg(F.max("id").alias("_last"))
+    last = _last_ids(state, by)
     return skew_join(state, last, by, spread_by=["id"]).where("id < _last").drop("_last")
 
 
 def double(state: DataFrame, config: FlockConfig, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """Adds one newly placed agent per agent, with ids above the highest of the run."""
-    last = state.groupBy(*by).agg(F.max("id").alias("_last"))
+    last = _last_ids(state, by)
     fresh = skew_join(state.select(*by, "id"), last, by, spread_by=["id"]).select(
         *by, (F.col("id") + F.col("_last") + 1).alias("id")
     )
     return insert(state, start(fresh, config))
 
 
+def duplicate(state: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Adds a copy of every row under an id above the highest of the run."""
+    copies = skew_join(state, _last_ids(state, by), by, spread_by=["id"])
+    return insert(state, copies.withColumn("id", F.col("id") + F.col("_last") + 1).drop("_last"))
+
+
 def halve(state: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """Keeps the agents with ids up to the middle of the run's highest id."""
-    last = state.groupBy(*by).agg(F.max("id").alias("_last"))
+    last = _last_ids(state, by)
     kept = skew_join(state, last, by, spread_by=["id"])
     return kept.where("id * 2 <= _last").drop("_last")
 

@@ -553,13 +553,7 @@ def placed_cte(source: str, name: str, how: str = "random") -> str:
 PLACED = AGENTS.rstrip() + ",\n" + placed_cte("agents", "placed") + "\n"
 
 
-def more_agents(select: str) -> str:
-    return AGENTS.rstrip() + ",\n" + placed_cte("agents", "placed") + f",\nfresh AS ({select}),\n" + placed_cte(
-        "fresh", "added"
-    ) + "\nSELECT * FROM placed UNION ALL SELECT * FROM added"
-
-
-LAST = "(SELECT run_id, max(id) AS last FROM placed GROUP BY 1)"
+LAST = "(SELECT run_id, max(id) AS last FROM track GROUP BY 1)"
 ROUND_TRIP = WITH_STEPS + 'SELECT *, row_number() OVER () AS r FROM (SELECT run_id, id, "time", x, y, cluster_id, coalesce(dx, 0) AS dx, coalesce(dy, 0) AS dy FROM steps)'
 
 
@@ -618,13 +612,15 @@ SQL |= {
   FROM density JOIN fit USING (run_id) GROUP BY 1""",
     "random_start": PLACED + "SELECT * FROM placed",
     "circle_start": AGENTS.rstrip() + ",\n" + placed_cte("agents", "placed", "circle") + "\nSELECT * FROM placed",
-    "insert_agents": more_agents("SELECT run_id, max(id) + 1000000 AS id FROM placed GROUP BY 1"),
-    "delete_agents": PLACED
-    + """SELECT * FROM placed WHERE (run_id, id) NOT IN (
+    "insert_agents": WITH_TRACK
+    + 'SELECT run_id, CASE WHEN cluster_id = 0 THEN id + 1000000 ELSE id END AS id, "time", x, y FROM track',
+    "delete_agents": WITH_TRACK
+    + """SELECT * FROM track WHERE (run_id, id) NOT IN (
     SELECT (run_id, id) FROM (SELECT run_id, id, arg_max(cluster_id, "time") AS c FROM track GROUP BY 1, 2) WHERE c = 0)""",
-    "delete_last_agent": PLACED + f"SELECT placed.* FROM placed JOIN {LAST} USING (run_id) WHERE id < last",
-    "double_population": more_agents(f"SELECT run_id, id + last + 1 AS id FROM placed JOIN {LAST} USING (run_id)"),
-    "halve_population": PLACED + f"SELECT placed.* FROM placed JOIN {LAST} USING (run_id) WHERE id * 2 <= last",
+    "delete_last_agent": WITH_TRACK + f"SELECT track.* FROM track JOIN {LAST} USING (run_id) WHERE id < last",
+    "double_population": WITH_TRACK
+    + f"SELECT * FROM track UNION ALL SELECT track.* REPLACE (id + last + 1 AS id) FROM track JOIN {LAST} USING (run_id)",
+    "halve_population": WITH_TRACK + f"SELECT track.* FROM track JOIN {LAST} USING (run_id) WHERE id * 2 <= last",
     "click_select": WITH_TRACK
     + """SELECT *, sqrt((x - 3)^2 + (y + 40)^2) AS dist FROM track
   WHERE "time" = 10 AND sqrt((x - 3)^2 + (y + 40)^2) < 15 ORDER BY dist, id LIMIT 1""",

@@ -658,40 +658,38 @@ def circle_start(spark, sf):
     return P.start(agents(spark, sf), FLOCK, "CircleCircumferenceIn")
 
 
-@query(AGENTS)
+SAMPLED = "run_id id time x:double y:double"
+
+
+@query(SAMPLED)
 def insert_agents(spark, sf):
-    """Every agent's start, and one more agent per run."""
-    placed = P.start(agents(spark, sf), FLOCK)
-    more = placed.groupBy("run_id").agg((F.max("id") + 1000000).alias("id"))
-    return P.insert(placed, P.start(more, FLOCK))
+    """Samples outside clusters enter again as samples of new agents."""
+    samples = tracks(spark, sf)
+    loose = samples.where("cluster_id = 0").withColumn("id", F.col("id") + 1000000)
+    return P.insert(samples.where("cluster_id <> 0"), loose)
 
 
-@query(AGENTS)
+@query(SAMPLED)
 def delete_agents(spark, sf):
     """Agents whose latest sample is noise leave."""
-    noisy = (
-        tracks(spark, sf)
-        .groupBy("run_id", "id")
-        .agg(F.max_by("cluster_id", "time").alias("c"))
-        .where("c = 0")
-        .select("run_id", "id")
-    )
-    return P.delete(P.start(agents(spark, sf), FLOCK), noisy)
+    samples = tracks(spark, sf)
+    latest = samples.groupBy("run_id", "id").agg(F.max_by("cluster_id", "time").alias("c"))
+    return P.delete(samples, latest.where("c = 0").select("run_id", "id"))
 
 
-@query(AGENTS)
+@query(SAMPLED)
 def delete_last_agent(spark, sf):
-    return P.delete_last(P.start(agents(spark, sf), FLOCK))
+    return P.delete_last(tracks(spark, sf))
 
 
-@query(AGENTS)
+@query(SAMPLED)
 def double_population(spark, sf):
-    return P.double(P.start(agents(spark, sf), FLOCK), FLOCK)
+    return P.duplicate(tracks(spark, sf))
 
 
-@query(AGENTS)
+@query(SAMPLED)
 def halve_population(spark, sf):
-    return P.halve(P.start(agents(spark, sf), FLOCK))
+    return P.halve(tracks(spark, sf))
 
 
 @query("id time x:double y:double dist:double")
