@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import arrow_schema, id_text, public_id
 
-PIECES_KEPT = 150_000  # of each generation of the caches from pieces and from words to ids
-PAIRS_KEPT = 300_000  # of the caches of neighbouring tokens and of endings
+PIECES_KEPT = 50_000  # of each generation of the caches from pieces and from words to ids
+PAIRS_KEPT = 150_000  # of the caches of neighbouring tokens and of endings
 TAIL = 4  # bytes by which the tokens that may end a prefix are looked up
 NEVER = 1 << 60
 
