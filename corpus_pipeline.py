@@ -39,9 +39,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with digests of the ids and of the decoded text, in the order of the mix."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.summary(bpe.decode(bpe.encode(docs, path), path), "ids")
+    """Token ids of each text, with its place in the mix and digests of the ids and of the decoded text.
+
+    A table of several files loses its row order when it is read, so ``slot`` and ``position`` tell the order.
+    """
+    path, place = public_tokenizers.path("byte_bpe_50k.json"), ["slot", "position"]
+    encoded = bpe.encode(mixing.placed(docs), path, carried=place)
+    return bpe.summary(bpe.decode(encoded, path, place), *place, "ids")
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -259,9 +259,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str, batch: int = 500) -> DataFrame:
-    """``doc_id`` and ``ids`` (array of int), one row per row of ``docs``."""
-    schema = "did long, ids array<int>"
+def _types(frame: DataFrame, names: Sequence[str]) -> str:
+    return "".join(f", {n} {frame.schema[n].dataType.simpleString()}" for n in names)
+
+
+def encode(docs: DataFrame, path: str, batch: int = 500, carried: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``ids`` (array of int) and the columns ``carried``, one row per row of ``docs``."""
+    schema = f"did long, ids array<int>{_types(docs, carried)}"
     target = arrow_schema(docs.sparkSession, schema)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,14 +277,16 @@ def encode(docs: DataFrame, path: str, batch: int = 500) -> DataFrame:
                 ends = np.cumsum([0, *[len(c) // 4 for c in codes]], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(codes), np.int32), pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists.cast(target.field(1).type)], schema=target)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), lists.cast(target.field(1).type), *part.columns[2:]], schema=target
+                )
 
-    return id_text(docs).mapInArrow(task, schema).select(public_id(), "ids")
+    return id_text(docs, *carried).mapInArrow(task, schema).select(public_id(), "ids", *carried)
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str, carried: Sequence[str] = ()) -> DataFrame:
     """Adds ``decoded`` to rows with ``ids``; bytes that are not UTF-8 become U+FFFD."""
-    schema = "doc_id long, ids array<int>, decoded string"
+    schema = f"doc_id long, ids array<int>, decoded string{_types(encoded, carried)}"
     target = arrow_schema(encoded.sparkSession, schema)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +298,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 b"".join(map(get, values[a:b].tolist())).decode("utf-8", "replace")
                 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], schema=target)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), lists, pa.array(texts, pa.string()), *batch.columns[2:]], schema=target
+            )
 
-    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(task, schema)
+    ids = F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
+    return encoded.select("doc_id", ids, *carried).mapInArrow(task, schema)
 
 
 def summary(decoded: DataFrame, *columns: str) -> DataFrame:

@@ -20,11 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """``did`` and ``text`` without nulls; other columns, whatever their names, are left out."""
+def id_text(docs: DataFrame, *carried: str) -> DataFrame:
+    """``did`` and ``text`` without nulls, then ``carried``; other columns, whatever their names, are left out."""
     return docs.select(
         F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("did"),
         F.coalesce(docs["text"], F.lit("")).alias("text"),
+        *[docs[c] for c in carried],
     )
 
 

@@ -204,3 +204,21 @@ def mixed(
     )
     placed = packed.join(order.hint("shuffle_hash"), ["did", "key"]).orderBy("position", "key")
     return placed.select(*[F.col(f"row.`{n}`").alias(n) for n in names])
+
+
+def placed(
+    docs: DataFrame,
+    weights: Mapping[str, float] | None = None,
+    block: int = BLOCK,
+    cycle: int = CYCLE,
+) -> DataFrame:
+    """(doc_id, text, slot, position), one row per row of ``docs``, in no order.
+
+    Places follow from the rows alone, not from their order, so they are those that ``mixed`` sorted by
+    before its result was written and read again. Rows equal in doc_id and text share one row of texts.
+    """
+    did = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("did")
+    places = mix(docs, weights, block, cycle).select(did, "key", "slot", "position")
+    key = F.xxhash64(docs["doc_id"], docs["text"]).alias("key")
+    texts = docs.select(did, key, docs["doc_id"], docs["text"]).dropDuplicates(["did", "key"])
+    return texts.join(places.hint("merge"), ["did", "key"]).select("doc_id", "text", "slot", "position")

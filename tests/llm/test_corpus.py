@@ -317,5 +317,22 @@ def test_stages(spark, docs, sf, tmp_path):
         before = after
 
 
+def test_the_mix_survives_many_files(spark, tmp_path):
+    sizes = {"a": 3000, "b": 150, "c": 800}
+    rows = [(1000 * k * k + i, f"text {i}", s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    rows += [(None, None, "b"), (None, "", "b"), (7, "text 7", "c")] + [(5, "again", "a")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter((r.doc_id, r.slot, r.position) for r in mixing.mix(docs).collect())
+    path = str(tmp_path / "mixed")
+    mixing.mixed(docs).write.option("maxRecordsPerFile", 37).parquet(path)
+    got = corpus_pipeline.bpe_tokens(spark, spark.read.parquet(path), "").collect()
+    assert Counter((r.doc_id, r.slot, r.position) for r in got) == want
+    assert len({r.position for r in got}) == len(rows)
+    source = {(i, sha(t or "")): s for i, t, s in rows}
+    in_order = [source[r.doc_id, r.decoded_sha256] for r in sorted(got, key=lambda r: r.position)]
+    share = Counter(in_order[:1000])
+    assert all(abs(Counter(in_order[a : a + 1000])[s] - n) < 50 for a in (500, 1000) for s, n in share.items())
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 100
