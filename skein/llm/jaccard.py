@@ -2,13 +2,14 @@
 
 Documents become sets of hashed five-word shingles; equal sets become one record. A
 record is embedded as COORDINATES sampled tokens, its smallest hashes, so two records agree on
-a coordinate with the probability of their similarity. A run starts with one bucket of all records.
-A bucket over LIMIT records is split: its path chooses one coordinate, and a second one
-with probability 1/threshold - 1, and records go on to a bucket for each value they have
-there. So a pair at the threshold goes on, on average, with one common bucket a step. Buckets
-of at most LIMIT records are leaves; a bucket that is still larger after DEPTH steps
-holds much alike records and is cut into blocks of which all pairs are compared. Runs are
-independent; their number follows from the target recall at the threshold.
+a coordinate with the probability of their similarity. A run starts with a bucket for each value of a
+coordinate of its own. A bucket over LIMIT records is split: its path chooses a few coordinates, more than
+1/threshold of them, and records go on to a bucket for each value they have there. So a pair at the
+threshold goes on, on average, with more than one common bucket a step. Each step has coordinates that no
+run and no other step uses. Buckets of at most LIMIT records are leaves. A bucket that hardly shrinks on any
+of its coordinates holds much alike records: it is not split, but cut into blocks of which all pairs are
+compared, as is a bucket that is still larger after DEPTH steps. The number of runs follows from the
+target recall at the threshold, by the chance over all coordinates that a pair is lost in every run.
 
 A leaf compares signatures first, then exact sets of what is left, and a pair is counted in
 the first leaf that both records have in common, so no pair is written out: a leaf gives, per
@@ -39,27 +40,60 @@ from skein.llm.common import (
 
 SHINGLE = 5  # words
 THRESHOLD = 0.8
-RECALL = 0.999  # of pairs at the threshold
+RECALL = 0.99999  # of pairs at the threshold
 COORDINATES = 64
 LIMIT = 256  # records of a leaf
 BLOCK = 1024  # records of a block, where a bucket can't be split down to a leaf
 DEPTH = 5
-SLACK = 4.5  # standard deviations by which a signature may understate a similarity
+SHRINKS = 0.75  # share of a bucket in one of its parts from which it counts as hardly shrinking
+SLACK = 5  # standard deviations by which a signature may understate a similarity
 TEXTS = 200  # hashed at a time
 WIDTH = 4096  # columns of an incidence matrix
 
 
+def picks(threshold: float) -> int:
+    """Coordinates that a split chooses, on more than one of which a pair at the threshold agrees on average."""
+    return math.floor(1 / threshold) + 1
+
+
+def step_coordinates(runs: int, depth: int, step: int) -> range:
+    """The coordinates of split ``step`` (from 1): the runs have the first ones, the splits equal shares of the others."""
+    each = (COORDINATES - runs) // max(1, depth - 1)
+    return range(runs + (step - 1) * each, runs + step * each)
+
+
+def missed(threshold: float, depth: int, runs: int) -> float:
+    """The chance that no run keeps a pair at the threshold together through all ``depth`` steps.
+
+    Paths share the coordinates of a step, so the chance is the mean over the numbers of those that agree.
+    """
+    each, chosen = len(step_coordinates(runs, depth, 1)), picks(threshold)
+    agree = [math.comb(each, a) * threshold**a * (1 - threshold) ** (each - a) for a in range(each + 1)]
+    kept = {1.0: 1.0}  # chance to stay together from a step on -> its weight
+    for _ in range(depth - 1):
+        earlier: dict[float, float] = {}
+        for s, weight in kept.items():
+            for a, w in enumerate(agree):
+                ways = [math.comb(a, j) * math.comb(each - a, chosen - j) for j in range(chosen + 1)]
+                lost = sum(n * (1 - s) ** j for j, n in enumerate(ways)) / math.comb(each, chosen)
+                stays = math.floor(1e4 * (1 - lost)) / 1e4
+                earlier[stays] = earlier.get(stays, 0.0) + weight * w
+        kept = earlier
+    return sum(weight * (1 - threshold * s) ** runs for s, weight in kept.items())
+
+
 def survival(threshold: float, depth: int) -> float:
     """The chance that a pair at the threshold has a common bucket after ``depth`` steps of a run."""
-    second = 1 / threshold - 1
-    kept = 1.0
-    for _ in range(depth):
-        kept = 1 - (1 - threshold * kept) * (1 - second * threshold * kept)
-    return kept
+    return 1 - missed(threshold, depth, 1)
 
 
 def runs_needed(threshold: float, depth: int, recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth)))
+    runs = 1
+    while len(step_coordinates(runs, depth, 1)) >= picks(threshold):
+        if missed(threshold, depth, runs) <= 1 - recall:
+            return runs
+        runs += 1
+    raise ValueError(f"{COORDINATES} coordinates do not give a recall of {recall} at {threshold}")
 
 
 def shingles(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -130,20 +164,10 @@ def signed(rows: DataFrame) -> DataFrame:
     return keyed.mapInArrow(task, schema)
 
 
-def chosen(run_path: Column, step: int, threshold: float) -> Column:
-    """The coordinates that a path chooses: one, and with probability 1/threshold - 1 another."""
-    first = F.pmod(F.xxhash64(run_path, F.lit(3 * step)), F.lit(COORDINATES))
-    other = F.pmod(first + 1 + F.pmod(F.xxhash64(run_path, F.lit(3 * step + 1)), F.lit(COORDINATES - 1)), F.lit(COORDINATES))
-    coin = F.pmod(F.xxhash64(run_path, F.lit(3 * step + 2)), F.lit(1 << 20))
-    both = coin < int((1 / threshold - 1) * (1 << 20))
-    return F.when(both, F.array(first, other)).otherwise(F.array(first))
-
-
-def split(entries: DataFrame, step: int, threshold: float) -> DataFrame:
-    """(rec, path) of the next step; ``entries`` has (rec, path, sig)."""
-    at = entries.select("rec", "path", "sig", F.explode(chosen(F.col("path"), step, threshold)).alias("at"))
-    value = F.col("sig").substr(F.col("at").cast("int") * 4 + 1, F.lit(4))
-    return at.select("rec", F.xxhash64("path", "at", value).alias("path"))
+def chosen(coordinates: range, count: int) -> Column:
+    """The ``count`` of the coordinates that the path ``parent`` chooses."""
+    ranked = f"transform(sequence({coordinates[0]}, {coordinates[-1]}), c -> struct(xxhash64(parent, c) AS h, c AS c))"
+    return F.expr(f"transform(slice(array_sort({ranked}), 1, {count}), x -> x.c)")
 
 
 def leaves(records: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -152,16 +176,33 @@ def leaves(records: DataFrame, threshold: float, recall: float) -> DataFrame:
     Each step writes the buckets that go on; their records are joined with the signatures again.
     """
     needed = runs_needed(threshold, DEPTH, recall)
-    roots = records.select("rec", "sig", F.explode(F.expr(f"sequence(1L, {needed}L)")).alias("path"))
-    entries, done = roots, None
-    for step in range(1, DEPTH + 1):
-        paths = written(split(entries, step, threshold))
-        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = written(paths.join(sizes, "path"))
-        ended = sized if step == DEPTH else sized.where(F.col("size") <= LIMIT)
-        done = ended if done is None else done.unionByName(ended)
-        if step < DEPTH:
-            entries = sized.where(F.col("size") > LIMIT).select("rec", "path").join(records.select("rec", "sig"), "rec")
+    signatures = records.select("rec", "sig")
+    value = F.col("sig").substr(F.col("at") * 4 + 1, F.lit(4))
+    roots = signatures.select("rec", "sig", F.explode(F.expr(f"sequence(0, {needed - 1})")).alias("at"))
+    paths = written(roots.select("rec", F.xxhash64("at", value).alias("path")))
+    sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = written(paths.join(sizes, "path").select("rec", "path", "size"))
+    done, large = sized.where(F.col("size") <= LIMIT), sized.where(F.col("size") > LIMIT)
+    for step in range(1, DEPTH):
+        if large.isEmpty():
+            break
+        parents = large.select("rec", F.col("path").alias("parent"), F.col("size").alias("held"))
+        at = chosen(step_coordinates(needed, DEPTH, step), picks(threshold))
+        kids = written(
+            parents.join(signatures, "rec")
+            .select("rec", "parent", "held", "sig", F.posexplode(at).alias("nth", "at"))
+            .select("rec", "parent", "held", "nth", F.xxhash64("parent", "at", value).alias("path"))
+        )
+        counted = written(kids.groupBy("parent", "held", "nth", "path").agg(F.count(F.lit(1)).alias("size")))
+        widest = counted.groupBy("parent", "held", "nth").agg(F.max("size").alias("widest"))
+        whole = widest.groupBy("parent").agg((F.min(F.col("widest") / F.col("held")) >= SHRINKS).alias("whole"))
+        fates = counted.join(whole, "parent").where("whole OR size > 1").select("path", "size", "whole")
+        sized = written(kids.join(fates, "path"))
+        ended = sized.where("whole AND nth = 0").select("rec", F.col("parent").alias("path"), F.col("held").alias("size"))
+        on = sized.where("NOT whole").select("rec", "path", "size")
+        last = on if step == DEPTH - 1 else on.where(F.col("size") <= LIMIT)
+        done = done.unionByName(ended).unionByName(last)
+        large = on.where(F.col("size") > LIMIT)
     return done.select("rec", F.col("path").alias("leaf"), "size")
 
 

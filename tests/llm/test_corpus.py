@@ -232,6 +232,34 @@ def test_join_of_large_classes(spark, monkeypatch, limit, block):
     assert sum(g == w for g, w in zip(got, want)) >= 0.98 * len(want)
 
 
+def test_join_finds_all_links_of_groups_near_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIMIT", 20)
+    passage = [f"p{k}" for k in range(40)]  # of all groups, so buckets have to be split
+    rows = []
+    for g in range(4):
+        for i in range(100):
+            words = passage + [f"g{g}w{k}" for k in range(60)]
+            words[(7 * i + g) % 100] = f"own{g}x{i}"
+            rows.append((len(rows), " ".join(words)))
+    got = plain(jaccard.summary(jaccard.join(small(spark, rows))).collect())
+    assert got == plain(classes(rows)) and sum(r[2] for r in got) > 35_000
+
+
+def test_misses_are_counted_over_shared_coordinates():
+    n = jaccard.runs_needed(0.8, jaccard.DEPTH, jaccard.RECALL)
+    assert jaccard.missed(0.8, jaccard.DEPTH, n) <= 1e-5 < jaccard.missed(0.8, jaccard.DEPTH, n - 1)
+    rng, each, tries = random.Random(9), len(jaccard.step_coordinates(3, jaccard.DEPTH, 1)), 20_000
+
+    def together(agree):
+        return not agree or any(agree[0][c] and together(agree[1:]) for c in rng.sample(range(each), 2))
+
+    lost = 0
+    for _ in range(tries):
+        agree = [[rng.random() < 0.8 for _ in range(each)] for _ in range(jaccard.DEPTH - 1)]
+        lost += not any(rng.random() < 0.8 and together(agree) for _ in range(3))
+    assert abs(lost / tries - jaccard.missed(0.8, jaccard.DEPTH, 3)) < 0.004
+
+
 def test_runs_reach_the_recall():
     n = jaccard.runs_needed(0.8, jaccard.DEPTH, 0.999)
     assert 1 - (1 - jaccard.survival(0.8, jaccard.DEPTH)) ** n >= 0.999
