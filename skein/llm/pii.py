@@ -7,8 +7,9 @@ independent of each other: spans of different kinds may overlap, spans of one ki
 
 Kinds, in the order used for sorting: email, ip, card, phone (the base kinds), then
 url (with a host), iban (check digits hold), account (an identifier of at least five
-digits after a cue such as ``account``) and secret (a value after ``token``, ``password``
-and the like). Spans are in code points, end exclusive.
+digits after a cue such as ``account``, ``account no.``) and secret (a value after ``token``,
+``password`` and the like). Words in capitals that follow an IBAN are not part of it: the length of its
+country decides, else the longest expansion whose check digits hold. Spans are in code points, end exclusive.
 
 A null text counts as empty and gives no spans, a null doc_id stays null, repeated rows
 get equal results, other columns are ignored, an empty table gives an empty table.
@@ -40,11 +41,31 @@ _ip = re.compile(r"[0-9]+(?:\.[0-9]+){3}").match
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+").match
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
 _url_rest = re.compile(r"[^\s<>\"'`{}|\\^]+").match
+_break = re.compile(r"\x20").finditer
 _iban = re.compile(r"[\x20:=#]{1,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])").match
-_account = re.compile(r"[\x20:=#.]{1,4}[\"']?([A-Z]{0,2}[0-9][0-9-]{4,32}[0-9])(?![A-Za-z0-9])").match
+_account = re.compile(
+    r"(?:[\x20_-]?(?i:numbers?|num[eé]ro|número|num|nos?|nrs?|n[°º]))?"
+    r"[\x20:=#.]{1,4}[\"']?([A-Z]{0,2}[0-9][0-9-]{3,32}[0-9])(?![A-Za-z0-9])"
+).match
 _secret = re.compile(r"\x20{0,2}[:=]\x20{0,2}[\"']?([A-Za-z0-9_+/=-]{8,512})").match
 
 
+# Lengths of the IBAN registry.
+IBAN_LENGTHS = {
+    code: int(n)
+    for n, codes in (
+        x.split(":")
+        for x in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+            "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+            "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV "
+            "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for code in codes.split(",")
+}
+
+
 @cache
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -70,6 +91,14 @@ def iban_holds(iban: str) -> bool:
     return 15 <= len(iban) <= 34 and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def iban_end(found: str) -> int:
+    """Where the IBAN that ``found`` starts with ends; 0 if there is none."""
+    ends = [m.start() for m in _break(found)] + [len(found)]
+    held = [e for e in ends if iban_holds(found[:e].replace(" ", ""))]
+    own = [e for e in held if len(found[:e].replace(" ", "")) == IBAN_LENGTHS.get(found[:2])]
+    return max(own or held, default=0)
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then in the order of KINDS."""
     found = anchors()
@@ -121,9 +150,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if begin and text[begin - 1].isalnum() or begin < free[kind]:
                 continue
             m = {"iban": _iban, "account": _account, "secret": _secret}[kind](text, last + 1)
-            if m and (kind != "iban" or iban_holds(m[1].replace(" ", ""))):
-                free[kind] = m.end()
-                out.append((m.start(1), KINDS.index(kind), m.end(1)))
+            if not m or kind == "account" and sum(c in DIGITS for c in m[1]) < 5:
+                continue
+            size = iban_end(m[1]) if kind == "iban" else len(m[1])
+            if size:
+                free[kind] = m.start(1) + size
+                out.append((m.start(1), KINDS.index(kind), free[kind]))
     return [(KINDS[k], start, end) for start, k, end in sorted(out)]
 
 

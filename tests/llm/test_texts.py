@@ -146,6 +146,21 @@ def test_pii_beyond_the_base():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+@pytest.mark.parametrize("text, kind, want", [
+    ("IBAN: DE89 3704 0044 0532 0130 00 BIC COBADEFF", "iban", ["DE89 3704 0044 0532 0130 00"]),
+    ("IBAN: DE89370400440532013000 BIC: X", "iban", ["DE89370400440532013000"]),
+    ("IBAN GB82 WEST 1234 5698 7654 32 A B C, iban: NO93 8601 1117 947 OK", "iban",
+     ["GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]),
+    ("IBAN: ZZ40 3704 0044 0532 0130 00 BIC X", "iban", []),
+    ("IBAN: DE88 3704 0044 0532 0130 00 BIC COBADEFF", "iban", []),
+    ("account number: 12345678, Account No. 87654321; acct nr 55555", "account", ["12345678", "87654321", "55555"]),
+    ("account: 12345 account: 1234 account: 1--234 account none 12345", "account", ["12345"]),
+    ("account_number=DE12345 numéro de compte n° 1234-5678", "account", ["DE12345", "1234-5678"]),
+])
+def test_pii_expansions_are_tried_again(text, kind, want):
+    assert [text[a:b] for k, a, b in pii.spans(text) if k == kind] == want
+
+
 def test_pii_of_odd_rows(odd, none):
     rows = pii.summary(pii.find(odd)).collect()
     assert len(rows) == len(odd_rows()) and {r.base_sha256 for r in rows} == {sha("")}
