@@ -1,11 +1,14 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
 
-Words are maximal runs of ASCII letters and digits in lower case. Of each template's grams
-of GRAM words, winnowing keeps the smallest hash of every WINNOW neighbours, so a run of
-GRAM + WINNOW - 1 words that a text shares with a template holds a kept gram. The kept grams are
+Words are maximal runs of ASCII letters and digits in lower case. Of each template's grams, winnowing
+keeps the smallest hash of every window of neighbours, so a run of gram + window - 1 words that a
+text shares with a template holds a kept gram. Templates of less than SHORT words keep all grams of two words:
+a local alignment with a gap or mismatch has two matched words in a row, so each has a hit. For longer
+ones gram and window follow from the least coverage: where only as many words are lost as it admits,
+some run of the others is long enough. The kept grams are
 an inverted index from gram to (template, place); templates are a parameter and few, so the
 index goes with the task. All grams of a text are looked up. Hits of one template on
-near diagonals are one candidate; a local alignment inside the band around them
+near diagonals are one candidate, unless the band around them lacks the words; a local alignment inside the band around them
 (match 1, mismatch and gap -1) gives the matched words, the coverage (matched words over the
 template's words) and the span in code points. Of overlapping spans of one template the
 best stays.
@@ -16,6 +19,7 @@ give repeated matches, other columns are ignored, an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Mapping
@@ -26,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from skein.llm.common import arrow, arrow_schema, id_text, mix, public_id
 
-GRAM = 3  # words
-WINNOW = 3  # neighbouring grams of which one is kept
+GRAM = 3  # words at most
+SHORT = 15  # words from which a template's grams are winnowed
 BAND = 16  # words by which an alignment may leave the diagonals of its hits
 COVERAGE = 0.8  # least share of a template's words
 
@@ -94,12 +98,22 @@ def words_of(text: str) -> list[str]:
     return list(map(str.lower, WORD.findall(text)))
 
 
-def winnow(grams: np.ndarray) -> list[int]:
-    """Places of the kept grams: of each WINNOW neighbours the one with the smallest hash, the last of equals."""
+def grams_of(length: int, least: float) -> tuple[int, int]:
+    """Words of a gram, and neighbouring grams of which one is kept, for a template of ``length`` words."""
+    if length < SHORT:
+        return max(1, min(2, length)), 1
+    matched = math.ceil(least * length - 1e-9)
+    run = max(1, -(-matched // (length - matched + 1)))  # the longest one is no shorter
+    gram = min(GRAM, run)
+    return gram, min(GRAM, run - gram + 1)
+
+
+def winnow(grams: np.ndarray, window: int) -> list[int]:
+    """Places of the kept grams: of each ``window`` neighbours the one with the smallest hash, the last of equals."""
     hashes = mix(grams)
     kept: list[int] = []
-    for lo in range(max(1, len(grams) - WINNOW + 1)):
-        part = hashes[lo : lo + WINNOW]
+    for lo in range(max(1, len(grams) - window + 1)):
+        part = hashes[lo : lo + window]
         at = lo + len(part) - 1 - int(np.argmin(part[::-1]))
         if not kept or kept[-1] != at:
             kept.append(at)
@@ -109,29 +123,32 @@ def winnow(grams: np.ndarray) -> list[int]:
 class Index:
     """Template words by number, and the inverted index of kept grams."""
 
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], least: float = COVERAGE):
         split = {name: words_of(text) for name, text in templates.items()}
         self.numbers = {w: i + 1 for i, w in enumerate(sorted({w for ws in split.values() for w in ws}))}
         self.names = list(split)
         self.templates = [self.number(ws) for ws in split.values()]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.words = [frozenset(words.tolist()) for words in self.templates]
+        self.least = [least * len(words) for words in self.templates]
+        self.places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, words in enumerate(self.templates):
-            grams = self.grams(words)
-            for at in winnow(grams) if len(grams) else ():
-                self.places[int(grams[at])].append((t, at))
-        self.known = np.array(sorted(self.places), np.uint64)
+            size, window = grams_of(len(words), least)
+            grams = self.grams(words, size)
+            for at in winnow(grams, window) if len(grams) else ():
+                self.places[size][int(grams[at])].append((t, at))
+        self.known = {size: np.array(sorted(found), np.uint64) for size, found in self.places.items()}
 
     def number(self, words: list[str]) -> np.ndarray:
         """Template word numbers; 0 for words of no template."""
         return np.array([self.numbers.get(w, 0) for w in words], np.uint64)
 
-    def grams(self, numbers: np.ndarray) -> np.ndarray:
-        """GRAM words in one number; 0 if one of them is in no template."""
-        n = len(numbers) - GRAM + 1
+    def grams(self, numbers: np.ndarray, size: int) -> np.ndarray:
+        """``size`` words in one number; 0 if one of them is in no template."""
+        n = len(numbers) - size + 1
         if n < 1:
             return np.zeros(0, np.uint64)
         base, out, whole = np.uint64(len(self.numbers) + 1), np.zeros(n, np.uint64), np.ones(n, bool)
-        for j in range(GRAM):
+        for j in range(size):
             part = numbers[j : j + n]
             out = out * base + part
             whole &= part > 0
@@ -139,20 +156,27 @@ class Index:
 
     def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, lowest diagonal, highest diagonal): the band around near hits."""
-        grams = self.grams(numbers)
-        hits = np.flatnonzero(np.isin(grams, self.known)) if len(grams) else ()
         diagonals: dict[int, set[int]] = defaultdict(set)
-        for at in hits:
-            for t, place in self.places[int(grams[at])]:
-                diagonals[t].add(int(at) - place)
+        for size, known in self.known.items():
+            grams, places = self.grams(numbers, size), self.places[size]
+            hits = np.flatnonzero(np.isin(grams, known))
+            for at, gram in zip(hits.tolist(), grams[hits].tolist()):
+                for t, place in places[gram]:
+                    diagonals[t].add(at - place)
         for t, found in diagonals.items():
             ordered = sorted(found)
             low, band = ordered[0], self.band(t)
             for a, b in zip(ordered, [*ordered[1:], None]):
                 if b is None or b - a > band:
-                    yield t, low - band, a + band
+                    if self.holds(t, numbers, low - band, a + band):
+                        yield t, low - band, a + band
                     low = b
 
+    def holds(self, t: int, numbers: np.ndarray, low: int, high: int) -> bool:
+        """Whether the band has as many words of the template as a match needs."""
+        part = numbers[max(0, low) : high + len(self.templates[t])].tolist()
+        return sum(map(self.words[t].__contains__, part)) >= self.least[t]
+
     def band(self, t: int) -> int:
         """Narrower for short templates, so that copies next to each other stay apart."""
         return min(BAND, len(self.templates[t]) // 2)
@@ -227,7 +251,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: fl
     target = arrow_schema(docs.sparkSession, SCHEMA)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = Index(templates, coverage)
         for batch in batches:
             rows = [
                 (did, *match)

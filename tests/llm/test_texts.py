@@ -50,6 +50,31 @@ def test_licenses_equal_full_alignment(spark):
             assert 0 <= r.start < r.end <= len(text) and r.coverage >= licenses.COVERAGE
 
 
+def test_licenses_find_one_word_edits_of_every_template():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        words = licenses.words_of(template)
+        for at in range(len(words)) if len(words) < 30 else range(0, len(words), 15):
+            for new in ([], ["zzz"], [words[at], "qqq"]):
+                text = " ".join(["foo", "of", "the", *words[:at], *new, *words[at + 1 :], "bar"])
+                got = {m[0] for m in licenses.matches(index, text, licenses.COVERAGE)}
+                assert got == scan_fully(text), (name, text)
+    (found,) = licenses.matches(index, "Released under MIT License", licenses.COVERAGE)
+    assert found[:3] == ("MIT notice", 0.8, 4)
+
+
+def test_licenses_find_many_edits_of_short_notices():
+    index, rng = licenses.Index(licenses.TEMPLATES), random.Random(4)
+    short = [t for t in map(licenses.words_of, licenses.TEMPLATES.values()) if len(t) < licenses.SHORT]
+    for _ in range(400):
+        words = list(rng.choice(short))
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["zzz"], [words[at], "qqq"]])
+        text = " ".join(words)
+        assert {m[0] for m in licenses.matches(index, text, licenses.COVERAGE)} == scan_fully(text), text
+
+
 def test_licenses_of_odd_rows(odd, none):
     assert licenses.scan(odd).count() == 0
     assert licenses.scan(none).collect() == []
