@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, fingerprint, jaccard, licenses, lines, mixing, pii, quality, substrings, suffixes
+from skein.llm import (
+    bpe, fingerprint, jaccard, licenses, lines, mixing, packing, periods, pii, prefixes, quality, substrings, suffixes,
+)
 from skein.llm.common import documents
 from skein.llm.oracles import SQL
 
@@ -59,6 +61,18 @@ def op10_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.summary(substrings.dedup(documents(spark, sf_dir)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.summary(*prefixes.trie(prefixes.conversations(spark, sf_dir), prefixes.planted))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.summary(periods.collapse(documents(spark, sf_dir), periods.planted))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_cdc_fingerprints": op2_cdc_fingerprints,
@@ -70,4 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_pfair_mix": op8_pfair_mix,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_cover_dedup": op10_cover_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_periodic_runs": op13_periodic_runs,
 }

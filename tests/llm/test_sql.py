@@ -22,4 +22,4 @@ def test_query_equals_sql(spark, duck, sf, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 14))
