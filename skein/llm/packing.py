@@ -23,6 +23,7 @@ rows are packed each; other columns are ignored; an empty table gives an empty t
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -30,7 +31,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +44,8 @@ SLACK = 2  # tokens a bin may have left to count as full
 NODE = 1 << 14  # pieces of a node, about
 FAN = 16  # nodes that merge into one
 BIN_BITS = 20  # of a bin's number within its node
-#: Stretches that the library alone encodes.
-LONG = regex.compile(r"\S{1000}|\s{1000}")
+STRETCH = 1000  # characters without a border between white space and others that the library alone encodes
+SPACES = re.compile(r"\s{%d}" % STRETCH)
 
 PIECES = "row long, did long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,6 +56,16 @@ def _settled(letter: str) -> bool:
     return unicodedata.category(letter) == unicodedata.ucd_3_2_0.category(letter)
 
 
+def _long_stretch(text: str) -> bool:
+    if len(text) < STRETCH:
+        return False
+    sizes = list(map(len, text.split()))
+    if max(sizes, default=0) >= STRETCH:
+        return True
+    # A long stretch of white space leaves more of it than one character between words.
+    return len(text) - sum(sizes) - len(sizes) >= STRETCH - 2 and SPACES.search(text) is not None
+
+
 class Encoder:
     """Token ids of texts."""
 
@@ -73,7 +83,7 @@ class Encoder:
         self.library.no_padding()
 
     def ids(self, text: str) -> np.ndarray:
-        if LONG.search(text) or not (text.isascii() or all(map(_settled, set(text)))):
+        if _long_stretch(text) or not (text.isascii() or all(map(_settled, set(text)))):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False)
 

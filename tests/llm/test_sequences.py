@@ -169,7 +169,8 @@ def test_ids_of_odd_texts_are_the_library_s():
     library, mine, rng = Tokenizer.from_file(BPE), packing.Encoder(BPE), random.Random(1)
     letters = [*"aeiou bcdt  \n\t'sreé1 2.,!ß€漢😀", "<|endoftext|>", "՘", "​", " ", " ", "\x1c", "\x00", "᠎", "\x85", "ⁿ", "Ა"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(3000)]
-    texts += ["", "<|endoftext|>", "a" * 30_000, "don't we'll 'S", "  x", "x  ", " " * 5000 + "x", "-" * 26]
+    texts += ["", "<|endoftext|>", "a" * 30_000, "don't we'll 'S", "  x", "x  ", " " * 5000 + "x", "-" * 26, "a b " * 400 + "\n " * 600 + "c"]
+    assert packing._long_stretch(texts[-1]) and not packing._long_stretch("a  b " * 1000)
     for text in texts:
         assert mine.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
