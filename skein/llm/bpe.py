@@ -3,10 +3,12 @@
 The encoding of a word is fixed by one state per prefix: the last token of that
 prefix's own encoding. A token fits after a prefix exactly if the two neighbouring
 tokens, put side by side, are not merged across their border; only one token fits.
-Sorted distinct words are the depth-first order of their trie, so a stack of states
-is enough: a word starts from the states of the prefix that it shares with the word
-before, and shared prefixes are computed once. What a task keeps is bounded: caches
-are emptied when they reach their limit, which costs time and changes no result.
+Sorted distinct words are the order of their trie: a node belongs to the first word that
+has its prefix, so the states of shared prefixes are computed once and passed on to the words
+below. All nodes of a depth are computed together, from the root down: an automaton of the
+vocabulary names the tokens that a prefix may end with, longest first, and the state where each would
+begin decides whether it fits. What a task keeps is bounded: caches are replaced or emptied
+when they reach their limit, which costs time and changes no result.
 
 Texts are cut into pieces before single spaces first, where no token can cross, so the
 pattern of the pre-tokenizer only runs on pieces not seen before. Texts with a
@@ -22,19 +24,23 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import arrow_schema, id_text, public_id
 
-PIECES_KEPT = 50_000  # of each generation of the caches from pieces and from words to ids
-PAIRS_KEPT = 150_000  # of the caches of neighbouring tokens and of endings
-TAIL = 4  # bytes by which the tokens that may end a prefix are looked up
-NEVER = 1 << 60
+PIECES_KEPT = 60_000  # of each generation of the cache from pieces to ids
+PAIR_BITS = 20  # of the places for pairs of neighbouring tokens
+LONGEST = 64  # bytes of a word that goes by levels; longer ones go alone
+CELLS = 1_000_000  # bytes of the words whose levels are worked on together
+NEVER = (1 << 31) - 1
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 # The pattern of the byte-level pre-tokenizer; the order of alternatives
 # that start with different characters is free.
@@ -69,103 +75,203 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return plain | {i: t.encode() for t, i in special.items()}
 
 
+class Automaton:
+    """The tokens as an Aho-Corasick automaton: which tokens a prefix ends with, longest first."""
+
+    def __init__(self, ids: dict[bytes, int], n: int):
+        children: list[dict[int, int]] = [{}]
+        parents, letters, depths, token = [0], [0], [0], [-1]
+        for word, i in ids.items():
+            node = 0
+            for byte in word:
+                child = children[node].get(byte)
+                if child is None:
+                    child = children[node][byte] = len(parents)
+                    children.append({})
+                    parents.append(node)
+                    letters.append(byte)
+                    depths.append(depths[node] + 1)
+                    token.append(-1)
+                node = child
+            token[node] = i
+        parent, letter, depth = np.array(parents), np.array(letters), np.array(depths)
+        leaf = np.array([not c for c in children])
+        self.row = np.where(leaf, 0, np.cumsum(~leaf) - 1).astype(np.int32)  # a leaf steps as the state it falls back to
+        self.step = np.zeros((int((~leaf).sum()), 256), np.int32)  # row of a state, byte -> state
+        self.longest = np.array(token, np.int32)  # state -> the longest token it ends with
+        self.shorter = np.full(n, -1, np.int32)  # token -> the longest token that it ends with itself
+        fail = np.zeros(len(parents), np.int32)
+        for d in range(depth.max() + 1):
+            here = np.flatnonzero(depth == d)
+            if d > 1:
+                fail[here] = self.step[self.row[fail[parent[here]]], letter[here]]
+            if d:
+                back = self.row[fail[here]]
+                self.row[here] = np.where(leaf[here], back, self.row[here])
+                inner = ~leaf[here]
+                self.step[self.row[here[inner]]] = self.step[back[inner]]
+                ends = self.longest[fail[here]]
+                own = self.longest[here] >= 0
+                self.shorter[self.longest[here[own]]] = ends[own]
+                self.longest[here[~own]] = ends[~own]
+            below = np.flatnonzero(depth == d + 1)
+            self.step[self.row[parent[below]], letter[below]] = below
+
+
 class Vocabulary:
     """Tokens, merges and the test whether two tokens can be neighbours."""
 
     def __init__(self, path: str):
         spec, self.special = specification(path)
-        self.ids = {to_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.longer: dict[bytes, set[int]] = {}  # lengths of the tokens over TAIL bytes by their last ones
-        for token in self.ids:
-            if len(token) > TAIL:
-                self.longer.setdefault(token[-TAIL:], set()).add(len(token))
-        self.endings: dict[bytes, list[tuple[int, int]]] = {}
-        self.merges: dict[tuple[int, int], int] = {}  # pair -> rank
-        self.made: dict[int, tuple[int, int, int]] = {}  # token -> its rank and halves
+        ids = {to_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        n = max(ids.values()) + 1
+        self.length = np.zeros(n, np.int64)
+        self.length[list(ids.values())] = list(map(len, ids))
+        self.automaton = Automaton(ids, n)
+        merges: dict[int, int] = {}  # pair -> rank
+        made: dict[int, tuple[int, int, int]] = {}  # token -> its rank and halves
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = map(to_bytes, pair.split(" ") if isinstance(pair, str) else pair)
-            a, b = self.ids[left], self.ids[right]
-            self.merges.setdefault((a, b), rank)
-            self.made.setdefault(self.ids[left + right], (rank, a, b))
-        self.fits: dict[int, bool] = {}
-
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The tokens at a token's border as they form, with their ranks, single byte first."""
-        out = []
-        while made := self.made.get(token):
-            out.append((made[0], token))
-            token = made[side]
-        return [*reversed([*out, (-1, token)]), (NEVER, -1)]
-
-    def neighbours(self, a: int, b: int) -> bool:
+            merges.setdefault(ids[left] << 32 | ids[right], rank)
+            made.setdefault(ids[left + right], (rank, ids[left], ids[right]))
+        self.pairs = np.array(sorted(merges), np.int64)
+        self.ranks = np.array([merges[p] for p in self.pairs.tolist()], np.int32)
+        self.left, self.right = self._spines(made, n, 2), self._spines(made, n, 1)
+        self.known = np.full(1 << PAIR_BITS, -1, np.int64)  # pairs tested lately, each at a place of its own hash
+        self.fit = np.zeros(1 << PAIR_BITS, bool)
+
+    @staticmethod
+    def _spines(made: dict[int, tuple[int, int, int]], n: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per token, the tokens at one border as they form, single byte first, and the rank that ends each."""
+        spines = {}
+        for token in range(n):
+            spine, part = [], token
+            while part in made:
+                spine.append((made[part][0], part))
+                part = made[part][side]
+            spines[token] = [*reversed([*spine, (-1, part)]), (NEVER, -1)]
+        width = max(map(len, spines.values()))
+        ranks, tokens = np.full((n, width), NEVER, np.int32), np.full((n, width), -1, np.int32)
+        for token, spine in spines.items():
+            ranks[token, : len(spine)], tokens[token, : len(spine)] = zip(*spine)
+        return ranks, tokens
+
+    def neighbours(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether ``a`` then ``b`` stay apart when their bytes are encoded together."""
-        left, right = self._spine(a, 2), self._spine(b, 1)
-        i = j = 0
-        while True:
-            grow_left, grow_right = left[i + 1][0], right[j + 1][0]
-            joined = self.merges.get((left[i][1], right[j][1]), NEVER)
+        (left_ranks, left), (right_ranks, right) = self.left, self.right
+        out = np.ones(len(a), bool)
+        at = np.arange(len(a))
+        i, j = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        while len(at):
+            x, y = a[at], b[at]
+            grow_left, grow_right = left_ranks[x, i + 1], right_ranks[y, j + 1]
+            pair = left[x, i].astype(np.int64) << 32 | right[y, j]
+            place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            joined = np.where(self.pairs[place] == pair, self.ranks[place], NEVER)
             # Equal ranks are applied from the left.
-            if joined < grow_left and joined <= grow_right:
-                return False
-            if grow_left == grow_right == NEVER:
-                return True
-            if grow_left <= grow_right:
-                i += 1
-            else:
-                j += 1
-
-    def ending(self, tail: bytes) -> list[tuple[int, int]]:
-        """Length and id of the tokens that ``tail`` ends with, longest first; id -1 for those longer than it."""
-        found = [(n, -1) for n in sorted(self.longer.get(tail, ()), reverse=True)]
-        for n in range(len(tail), 0, -1):
-            token = self.ids.get(tail[-n:])
-            if token is not None:
-                found.append((n, token))
-        if len(self.endings) >= PAIRS_KEPT:
-            self.endings.clear()
-        self.endings[tail] = found
-        return found
+            merged = (joined < grow_left) & (joined <= grow_right)
+            out[at[merged]] = False
+            go = ~merged & ((grow_left != NEVER) | (grow_right != NEVER))
+            first = grow_left <= grow_right
+            at, i, j = at[go], (i + first)[go], (j + ~first)[go]
+        return out
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``neighbours``, remembered for the pairs met lately."""
+        pair = a.astype(np.int64) << 32 | b
+        place = (pair.astype(np.uint64) * SPREAD >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.fit[place]
+        new = np.flatnonzero(self.known[place] != pair)
+        if len(new):
+            once, back = np.unique(pair[new], return_inverse=True)
+            fit = self.neighbours(once >> 32, once & 0xFFFFFFFF)[back]
+            out[new] = fit
+            # Of pairs that want one place the last stays, with its own answer.
+            order = np.argsort(place[new], kind="stable")
+            places = place[new][order]
+            last = order[np.r_[places[1:] != places[:-1], True]]
+            self.known[place[new[last]]], self.fit[place[new[last]]] = pair[new[last]], fit[last]
+        return out
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of distinct words, as the bytes of int32 arrays."""
         out: dict[bytes, bytes] = {}
-        ids, fits, endings = self.ids, self.fits, self.endings
-        starts, lasts, before = [0], [-1], b""
-        for word in sorted(words):
-            depth = 0
-            for x, y in zip(before, word):
-                if x != y:
-                    break
-                depth += 1
-            del starts[depth + 1 :], lasts[depth + 1 :]
-            for end in range(depth + 1, len(word) + 1):
-                tail = word[end - TAIL if end > TAIL else 0 : end]
-                for length, token in endings.get(tail) or self.ending(tail):
-                    start = end - length
-                    if token < 0:
-                        token = ids.get(word[start:end], -1) if start >= 0 else -1
-                        if token < 0:
-                            continue
-                    if not start:
-                        break
-                    key = lasts[start] << 32 | token
-                    fit = fits.get(key)
-                    if fit is None:
-                        if len(fits) >= PAIRS_KEPT:
-                            fits.clear()
-                        fit = fits[key] = self.neighbours(lasts[start], token)
-                    if fit:
-                        break
-                starts.append(start)
-                lasts.append(token)
-            found, end = [], len(word)
-            while end:
-                found.append(lasts[end])
-                end = starts[end]
-            out[word] = np.array(found[::-1], np.int32).tobytes()
-            before = word
+        classes: dict[int, list[bytes]] = {}
+        for word in words:
+            size = len(word)
+            classes.setdefault(0 if size > LONGEST else 16 if size <= 16 else LONGEST, []).append(word)
+        for word in classes.pop(0, ()):
+            out[word] = self._encode_long(word)
+        for width, alike in classes.items():
+            alike.sort()
+            for lo in range(0, len(alike), CELLS // width):
+                self._encode_sorted(alike[lo : lo + CELLS // width], out)
         return out
 
+    def _encode_sorted(self, words: list[bytes], out: dict[bytes, bytes]) -> None:
+        """Level by level of the trie of sorted words: a node is computed in the first word that has it."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max())
+        letters = np.array(words, f"S{width}").view(np.uint8).reshape(len(words), width)
+        differ = letters[1:] != letters[:-1]
+        shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        shared = np.r_[0, np.minimum(shared, np.minimum(sizes[1:], sizes[:-1]))]
+        lasts = np.full((width + 1, len(words)), -1, np.int32)  # depth, word -> last token of the prefix
+        state = np.zeros(len(words), np.int32)
+        index, length, row, step = np.arange(len(words)), self.length, self.automaton.row, self.automaton.step
+        for depth in range(1, width + 1):
+            new = shared < depth
+            owner = np.maximum.accumulate(np.where(new, index, 0))
+            rows = np.flatnonzero(new & (sizes >= depth))
+            state[rows] = step[row[state[rows]], letters[rows, depth - 1]]
+            token = self.automaton.longest[state[rows]]
+            open_ = np.flatnonzero(length[token] < depth)
+            while len(open_):
+                tried = token[open_]
+                fit = self.fits(lasts[depth - length[tried], rows[open_]], tried)
+                open_, tried = open_[~fit], tried[~fit]
+                token[open_] = self.automaton.shorter[tried]
+            lasts[depth, rows] = token
+            lasts[depth], state = lasts[depth, owner], state[owner]
+        ends, steps = sizes.copy(), []
+        rows = index
+        while len(rows):
+            token = lasts[ends[rows], rows]
+            steps.append((rows, token))
+            ends[rows] -= length[token]
+            rows = rows[ends[rows] > 0]
+        counts = np.zeros(len(words), np.int64)
+        for rows, _ in steps:
+            counts[rows] += 1
+        stops = np.cumsum(counts)
+        ids = np.empty(int(stops[-1]), np.int32)
+        for k, (rows, token) in enumerate(steps):
+            ids[stops[rows] - 1 - k] = token
+        raw, stop = ids.tobytes(), (4 * stops).tolist()
+        out.update((w, raw[a:b]) for w, a, b in zip(words, [0, *stop], stop))
+
+    def _encode_long(self, word: bytes) -> bytes:
+        """One word by itself, byte by byte."""
+        row, step, length = self.automaton.row, self.automaton.step, self.length
+        longest, shorter = self.automaton.longest, self.automaton.shorter
+        lasts, state, tested = [-1], 0, {}
+        for end, byte in enumerate(word, 1):
+            state = step[row[state], byte]
+            token = int(longest[state])
+            while (start := end - int(length[token])) > 0:
+                pair = lasts[start], token
+                if pair not in tested:
+                    tested[pair] = bool(self.neighbours(np.array([pair[0]]), np.array([token]))[0])
+                if tested[pair]:
+                    break
+                token = int(shorter[token])
+            lasts.append(token)
+        found, end = [], len(word)
+        while end:
+            found.append(lasts[end])
+            end -= int(length[lasts[end]])
+        return np.array(found[::-1], np.int32).tobytes()
+
 
 @cache
 def vocabulary(path: str) -> Vocabulary:
@@ -187,70 +293,105 @@ def words_of(text: str) -> list[str]:
     return [text[i:j] for _, (i, j) in _pre_tokenizer().pre_tokenize_str(text)]
 
 
-class Kept(dict):
-    """A cache of two generations: a full one becomes the older one, whose entries come back on use."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.older: dict = {}
-
-    def missing(self, keys: set) -> set:
-        """Those of ``keys`` in neither generation; the others are in the younger one afterwards."""
-        new = keys - self.keys()
-        if len(self) + len(new) > PIECES_KEPT:
-            self.older = dict(self)
-            self.clear()
-            new = keys
-        older = self.older
-        found = new & older.keys()
-        self.update((k, older[k]) for k in found)
-        return new - found
+def cut_pieces(pieces: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of all pieces, one after the other, and how many each has. Every piece starts with a space."""
+    joined = "".join(pieces)
+    if not joined.isascii() and "Cn" in set(map(unicodedata.category, set(joined))):
+        words = list(map(words_of, pieces))
+        return [w for x in words for w in x], np.fromiter(map(len, words), np.int64, len(words))
+    # No word goes on beyond a piece, since the next one starts with a space.
+    words = WORDS.findall(joined)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))) + 1
+    return words, np.diff(last, prepend=0)
 
 
 class Encoder:
-    """Encodes batches of texts; keeps pieces and words between batches up to a limit."""
+    """Encodes batches of texts; keeps pieces between batches up to a limit."""
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
-        self.pieces, self.words = Kept(), Kept()
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # a full cache becomes the older one, whose entries come back on use
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
-    def _plain(self, text: str) -> list[str]:
-        """Pieces that no token crosses."""
-        if any(map(text.__contains__, CROSSING)):
-            return words_of(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-    def _parts(self, text: str) -> list[str]:
-        if not text:
-            return []
+    def _words(self, text: str) -> list[str]:
+        """Words and special tokens of a text that can't be cut at every space."""
         if not any(map(text.__contains__, self.vocabulary.special)):
-            return self._plain(text)
+            return words_of(text)
         out: list[str] = []
         for i, part in enumerate(self.special.split(text)):
             if part:
-                out += [part] if i % 2 else self._plain(part)
+                out += [part] if i % 2 else words_of(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._parts(x) for x in texts]
-        wanted = set().union(*parts)
-        new = self.pieces.missing(wanted)
-        special = self.vocabulary.special
-        cut = {p: words_of(p) for p in new if p not in special}
-        needed = {w for ws in cut.values() for w in ws}
-        fresh = self.words.missing(needed)
-        found = self.vocabulary.encode_words({w.encode() for w in fresh})
-        words = self.words
-        words.update((w, found[w.encode()]) for w in fresh)
-        for p, ws in cut.items():
-            self.pieces[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        for p in new & special.keys():
-            self.pieces[p] = np.array([special[p]], np.int32).tobytes()
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, as the bytes of int32 arrays."""
+        found, new = {}, []
+        get, older, special = self.pieces.get, self.older.get, self.vocabulary.special
+        for p in pieces:
+            ids = get(p) or older(p)
+            if ids is None:
+                new.append(p)
+            else:
+                found[p] = ids
+        for p in [p for p in new if p in special]:
+            found[p] = np.array([special[p]], np.int32).tobytes()
+        spaced = [p for p in new if p[0] == " " and p not in special]
+        rest = [p for p in new if p[0] != " " and p not in special]
+        words, counts = cut_pieces(spaced)
+        cut = list(map(words_of, rest))
+        every = {w: w.encode() for w in words}
+        every.update((w, w.encode()) for x in cut for w in x)
+        ids = self.vocabulary.encode_words(every.values())
+        end = 0
+        for p, n in zip(spaced, counts.tolist()):
+            found[p] = ids[every[words[end]]] if n == 1 else b"".join([ids[every[w]] for w in words[end : end + n]])
+            end += n
+        found.update((p, b"".join([ids[every[w]] for w in x])) for p, x in zip(rest, cut))
+        if len(self.pieces) + len(found) > PIECES_KEPT:
+            self.older, self.pieces = self.pieces, {}
+        if len(found) <= PIECES_KEPT:
+            self.pieces.update(found)
+        else:
+            self.pieces = dict(islice(found.items(), PIECES_KEPT))
+        return list(map(found.__getitem__, pieces))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text begins (one more than texts)."""
+        plain = texts.to_pylist()
+        crossing = [*CROSSING, *self.vocabulary.special]
+        odd = {i: self._words(t) for i, t in enumerate(plain) if any(map(t.__contains__, crossing))}
+        for i in odd:
+            plain[i] = ""
+        # Each text becomes its pieces: what comes before the first space, then space and word again and again.
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        begins = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        # Pieces that don't start with that space have numbers of their own.
+        number = {p: i for i, p in enumerate({distinct[c] for c in codes[begins[:-1]].tolist()}.union(*odd.values()), len(distinct))}
+        codes[begins[:-1]] = [number[distinct[c]] for c in codes[begins[:-1]].tolist()]
+        parts, last, counts = [], 0, np.diff(begins)
+        for i, words in odd.items():
+            parts += [codes[last : begins[i]], np.array([number[w] for w in words], np.int64)]
+            last, counts[i] = begins[i + 1], len(words)
+        codes = np.concatenate([*parts, codes[last:]])
+        pieces = [" " + x for x in distinct] + list(number)
+        once = {p: None for p in pieces if p}
+        ids = dict(zip(once, self._encode_pieces(list(once))))
+        ids[""] = b""
+        found = [ids[p] for p in pieces]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        values = np.frombuffer(b"".join(found), np.int32)
+        size = sizes[codes]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        gathered = values[np.repeat(starts[codes] - ends + size, size) + np.arange(total)]
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        return gathered, bounds
 
 
 @cache
@@ -263,7 +404,7 @@ def _types(frame: DataFrame, names: Sequence[str]) -> str:
     return "".join(f", {n} {frame.schema[n].dataType.simpleString()}" for n in names)
 
 
-def encode(docs: DataFrame, path: str, batch: int = 500, carried: Sequence[str] = ()) -> DataFrame:
+def encode(docs: DataFrame, path: str, batch: int = 1000, carried: Sequence[str] = ()) -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and the columns ``carried``, one row per row of ``docs``."""
     schema = f"did long, ids array<int>{_types(docs, carried)}"
     target = arrow_schema(docs.sparkSession, schema)
@@ -273,10 +414,8 @@ def encode(docs: DataFrame, path: str, batch: int = 500, carried: Sequence[str]
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                codes = run(part.column(1).to_pylist())
-                ends = np.cumsum([0, *[len(c) // 4 for c in codes]], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(codes), np.int32), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                values, bounds = run(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), lists.cast(target.field(1).type), *part.columns[2:]], schema=target
                 )

@@ -5,6 +5,7 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tests.llm.rows import odd_rows, plain
 from tokenizers import Tokenizer
@@ -212,16 +213,20 @@ def test_bpe_equals_the_library(docs, texts, odd, none):
 
 def test_bpe_of_odd_texts(monkeypatch):
     monkeypatch.setattr(bpe, "PIECES_KEPT", 50)  # caches overflow
-    monkeypatch.setattr(bpe, "PAIRS_KEPT", 50)
+    monkeypatch.setattr(bpe, "PAIR_BITS", 5)
+    monkeypatch.setattr(bpe, "CELLS", 300)
+    bpe.vocabulary.cache_clear()
     library, mine, rng = Tokenizer.from_file(BPE), bpe.Encoder(BPE), random.Random(1)
+    bpe.vocabulary.cache_clear()
     letters = [*"aeiou bcdt  \n\t'sreé1 2.,!ß€漢😀", "<|endoftext|>", "՘", "​", " ", "\x1c", "\x00"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(3000)]
     texts += ["", "<|endoftext|>", "a" * 3000, "don't we'll 'S", "  x", "x  ", "--------------------------"]
     for lo in range(0, len(texts), 100):
         part = texts[lo : lo + 100]
         want = [x.ids for x in library.encode_batch(part, add_special_tokens=False)]
-        got = mine.encode(part)
-        assert [list(memoryview(x).cast("i")) for x in got] == want
+        ids, bounds = mine.encode(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    assert [len(x) for x in mine.encode(pa.array([], pa.string()))] == [0, 1]
 
 
 # --- quality ---
