@@ -75,6 +75,19 @@ class Grid:
             along(y, -self.world.height / 2, self.dy, self.ny),
         )
 
+    def table_index(self, x: Column, y: Column) -> Column:
+        """Row-major number of a position in a table of nx * ny cells; positions outside count to its edge.
+
+        Positions on the upper edge share the last cell, so this is no key for joins within a radius.
+        """
+
+        def along(value: Column, half: float, step: float, n: int) -> Column:
+            i = F.floor((value + F.lit(half)) / F.lit(step)).cast("long")
+            return F.greatest(F.lit(0), F.least(i, F.lit(n - 1)))
+
+        row = along(y, self.world.height / 2, self.dy, self.ny)
+        return along(x, self.world.width / 2, self.dx, self.nx) + row * self.nx
+
     def offsets(self) -> list[tuple[int, int]]:
         """Cell steps that can lead to a neighbour; wrapped duplicates are left out."""
         span = range(-self.reach, self.reach + 1)

@@ -489,7 +489,7 @@ BY_RUN = f"""v AS (SELECT run_id, "time", {V2} AS avg_norm_vel FROM dirs GROUP B
 WITH_V = ctes(*DIR_PARTS, BY_RUN)
 
 
-def change_cte(kind: str) -> str:
+def change_cte(kind: str, source: str = "v", key: str = "run_id", seq: str = '"time"', value: str = "avg_norm_vel") -> str:
     """Left and right of every split by window sums; the best split, the earliest on ties."""
     if kind == "mean":
         gain, ok = "k * (n - k) / n * (ls / k - (ts - ls) / (n - k))^2", "k < n"
@@ -498,16 +498,82 @@ def change_cte(kind: str) -> str:
         ok = f"k >= 2 AND k <= n - 2 AND lq > 1e-12 AND {rest} > 1e-12"
         gain = f"n * ln(tq / n) - k * ln(lq / k) - (n - k) * ln({rest} / (n - k))"
     return f"""change_{kind} AS (
-  SELECT run_id, "time" AS change_point, gain FROM (
-    SELECT run_id, "time", round({gain}, 9) AS gain FROM (
-      SELECT *, CAST(row_number() OVER w AS DOUBLE) AS k, sum(avg_norm_vel) OVER w AS ls, sum(d * d) OVER w AS lq
-      FROM (SELECT v.*, avg_norm_vel - mu AS d, n, ts, tq FROM v JOIN (
-              SELECT run_id, mu, n, ts, sum((avg_norm_vel - mu)^2) AS tq FROM v JOIN (
-                SELECT run_id, avg(avg_norm_vel) AS mu, CAST(count(*) AS DOUBLE) AS n, sum(avg_norm_vel) AS ts
-                FROM v GROUP BY 1) m USING (run_id) GROUP BY ALL) t USING (run_id))
-      WINDOW w AS (PARTITION BY run_id ORDER BY "time" ROWS UNBOUNDED PRECEDING))
+  SELECT {key}, {seq} AS change_point, gain, n, tq FROM (
+    SELECT {key}, {seq}, n, tq, round({gain}, 9) AS gain FROM (
+      SELECT *, CAST(row_number() OVER w AS DOUBLE) AS k, sum({value}) OVER w AS ls, sum(d * d) OVER w AS lq
+      FROM (SELECT v.*, {value} - mu AS d, n, ts, tq FROM {source} v JOIN (
+              SELECT {key}, mu, n, ts, sum(({value} - mu)^2) AS tq FROM {source} JOIN (
+                SELECT {key}, avg({value}) AS mu, CAST(count(*) AS DOUBLE) AS n, sum({value}) AS ts
+                FROM {source} GROUP BY 1) m USING ({key}) GROUP BY ALL) t USING ({key}))
+      WINDOW w AS (PARTITION BY {key} ORDER BY {seq} ROWS UNBOUNDED PRECEDING))
     WHERE {ok})
-  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY gain DESC, change_point) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY gain DESC, change_point) = 1)"""
+
+
+def _stats_change_points() -> str:
+    columns = [f"{v}_{m}" for m in METRICS for v in ("mean", "var")]
+    wide = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    measured = ", ".join(across(m) for m in METRICS)
+    level = "regexp_matches(series, 'no_flocks|convex_hull')"
+    decided = """SELECT series, n, statistic, CASE WHEN statistic > 3 * ln(n) THEN change_point END AS change_point FROM (
+    SELECT s.series, s.n, c.change_point,
+           coalesce(CASE WHEN s.tq > 1e-12 THEN {statistic} END, 0) AS statistic
+    FROM (SELECT series, count(*) AS n, sum((value - mu)^2) AS tq
+          FROM {source} JOIN (SELECT series, avg(value) AS mu FROM {source} GROUP BY 1) USING (series) GROUP BY 1) s
+    LEFT JOIN change_{kind} c USING (series))"""
+    by_mean = """CASE WHEN c.gain > 0 THEN CASE WHEN s.tq - c.gain > 1e-12 * s.tq THEN s.n * ln(s.tq / (s.tq - c.gain))
+      ELSE CAST('inf' AS DOUBLE) END END"""
+    return ctes(
+        *MEASURES,
+        f'results AS (SELECT 16 * "time" AS t, {measured} FROM measures GROUP BY "time")',
+        f"long AS (FROM (SELECT t, {wide} FROM results) UNPIVOT (value FOR series IN ({', '.join(columns)})))",
+        f"levels AS (SELECT * FROM long WHERE {level})",
+        f"spreads AS (SELECT * FROM long WHERE NOT {level})",
+        change_cte("mean", "levels", "series", "t", "value"),
+        change_cte("var", "spreads", "series", "t", "value"),
+    ) + " UNION ALL ".join(
+        [
+            decided.format(statistic=by_mean, source="levels", kind="mean"),
+            decided.format(statistic="c.gain", source="spreads", kind="var"),
+        ]
+    )
+
+
+def _circular_mle() -> str:
+    """The wrapped Cauchy law by its fixed point, the wrapped normal one by Newton steps on all angles."""
+
+    def series(weight: str, wave: str) -> str:
+        return f"2 * list_sum(list_transform(range(1, 25), lambda p: {weight} * rho^(p * p) * {wave}(p * z)))"
+
+    return ctes(
+        *DIR_PARTS,
+        """start AS (
+  SELECT run_id, count(*) AS n, atan2(avg(sin(bearings)), avg(cos(bearings))) AS mu,
+         sqrt(avg(cos(bearings))^2 + avg(sin(bearings))^2) AS rho FROM dirs GROUP BY 1)""",
+        """angles AS MATERIALIZED (SELECT run_id, bearings FROM dirs)""",
+        """cauchy AS (
+  SELECT 0 AS step, run_id, rho * cos(mu) AS p, rho * sin(mu) AS q FROM start
+  UNION ALL
+  SELECT step + 1, run_id, sum(cos(bearings) / (1 - p * cos(bearings) - q * sin(bearings))) / sum(1 / (1 - p * cos(bearings) - q * sin(bearings))),
+         sum(sin(bearings) / (1 - p * cos(bearings) - q * sin(bearings))) / sum(1 / (1 - p * cos(bearings) - q * sin(bearings)))
+  FROM cauchy JOIN angles USING (run_id) WHERE step < 80 GROUP BY step, run_id)""",
+        f"""normal AS (
+  SELECT 0 AS step, run_id, mu, rho FROM start
+  UNION ALL
+  SELECT step + 1, run_id, mu + greatest(-0.2, least(0.2, (hrr * gm - hmr * gr) / det)),
+         greatest(1e-6, least(0.98, rho + greatest(-0.2, least(0.2, (hmm * gr - hmr * gm) / det)))) FROM (
+    SELECT *, hmm * hrr - hmr * hmr AS det FROM (
+      SELECT step, run_id, mu, rho, sum(fm / f) AS gm, sum(fr / f) AS gr, sum((fm / f)^2 - fmm / f) AS hmm,
+             sum(fm / f * fr / f - fmr / f) AS hmr, sum((fr / f)^2 - frr / f) AS hrr FROM (
+        SELECT step, run_id, mu, rho, 1 + {series('1', 'cos')} AS f, {series('p', 'sin')} AS fm,
+               {series('p * p', 'cos')} / rho AS fr, -{series('p * p', 'cos')} AS fmm,
+               {series('p * p * p', 'sin')} / rho AS fmr, {series('p * p * (p * p - 1)', 'cos')} / rho^2 AS frr
+        FROM (SELECT step, run_id, mu, rho, bearings - mu AS z FROM normal JOIN angles USING (run_id) WHERE step < 14))
+      GROUP BY step, run_id, mu, rho)))""",
+        recursive=True,
+    ) + """SELECT run_id, s.n, atan2(sin(o.mu), cos(o.mu)) AS normal_mu, o.rho AS normal_rho, atan2(q, p) AS cauchy_mu,
+       (1 - sqrt(1 - p * p - q * q)) / sqrt(p * p + q * q) AS cauchy_rho
+  FROM start s JOIN normal o USING (run_id) JOIN cauchy c USING (run_id) WHERE o.step = 14 AND c.step = 80"""
 
 
 FIT = """fit AS (
@@ -515,12 +581,11 @@ FIT = """fit AS (
   FROM (SELECT *, sqrt(c * c + s * s) AS rho FROM (
     SELECT run_id, count(*) AS n, avg(cos(bearings)) AS c, avg(sin(bearings)) AS s FROM dirs GROUP BY 1)))"""
 RING = "(2 * pi() / 90)"
+KERNEL = " + ".join(f"exp(-0.5 * ((bearings - theta + {w} * 2 * pi()) / 0.1)^2)" for w in (-1, 0, 1))
 DENSITY = f"""density AS (
-  SELECT run_id, bin, (bin + 0.5) * {RING} - pi() AS theta, sum(w) / any_value(mass) AS density FROM (
-    SELECT run_id, (b + o + 90) % 90 AS bin, n * exp(-0.5 * (o * {RING} / 0.1)^2) AS w, mass
-    FROM (SELECT run_id, CAST(floor((bearings + pi()) / {RING}) AS BIGINT) % 90 AS b, count(*) AS n FROM dirs GROUP BY 1, 2)
-    JOIN (SELECT run_id, count(*) * 0.1 * sqrt(2 * pi()) AS mass FROM dirs GROUP BY 1) m USING (run_id),
-    (SELECT unnest(range(-6, 7)) AS o) offsets) GROUP BY 1, 2)"""
+  SELECT run_id, bin, theta, avg({KERNEL}) / (0.1 * sqrt(2 * pi())) AS density
+  FROM dirs, (SELECT bin, (bin + 0.5) * {RING} - pi() AS theta FROM (SELECT unnest(range(90)) AS bin)) centres
+  GROUP BY 1, 2, 3)"""
 
 
 def normal_law() -> str:
@@ -569,8 +634,7 @@ def _simulate_clustered() -> str:
 SQL |= {
     "knn": ctes(TRACK, knn_cte(3)) + "SELECT * FROM knn",
     "knn_mutual": ctes(TRACK, knn_cte(3))
-    + """SELECT a.*, b.id IS NOT NULL AS mutual FROM knn a
-  LEFT JOIN knn b ON a."time" = b."time" AND a.id = b.id2 AND a.id2 = b.id""",
+    + """SELECT *, count(*) OVER (PARTITION BY "time", least(id, id2), greatest(id, id2)) = 2 AS mutual FROM knn""",
     "knn_distance_curve": ctes(TRACK, knn_cte(4)) + "SELECT * FROM knn WHERE rank = 4",
     "shared_nn": ctes(TRACK, knn_cte(10))
     + """SELECT e."time", e.id, e.id2, count(*) AS shared FROM knn e
@@ -604,6 +668,8 @@ SQL |= {
     "latest_change_point": ctes(*DIR_PARTS, BY_RUN, change_cte("mean"), change_cte("var"))
     + """SELECT coalesce(max(change_point), 0) AS max_change_point
   FROM (SELECT change_point FROM change_mean UNION ALL SELECT change_point FROM change_var)""",
+    "stats_change_points": _stats_change_points(),
+    "circular_mle": _circular_mle(),
     "circular_fit": ctes(*DIR_PARTS, FIT) + "SELECT * FROM fit",
     "circular_density": ctes(*DIR_PARTS, DENSITY) + "SELECT * FROM density",
     "circular_fit_error": ctes(*DIR_PARTS, FIT, DENSITY)

@@ -547,7 +547,8 @@ def voronoi_cells(spark, sf):
 
 # --- many runs ------------------------------------------------------------------------
 
-STATS = " ".join(f"{m}_{v}:double" for v in E.METRICS for m in ("mean", "var"))
+STATISTICS = [f"{m}_{v}" for v in E.METRICS for m in ("mean", "var")]
+STATS = " ".join(f"{s}:double" for s in STATISTICS)
 
 
 def directions(spark, sf):
@@ -622,6 +623,24 @@ def latest_change_point(spark, sf):
     return X.latest_change(both)
 
 
+@query("series:string n statistic:double change_point")
+def stats_change_points(spark, sf):
+    """Levels of flock numbers and areas, variances of the order parameters, as far as the penalty admits a change."""
+    stats = E.experiment_stats(directions(spark, sf), sample_rate=16).select("t", *STATISTICS)
+    series = X.unpivoted(stats, "t")
+    level = F.col("series").rlike("no_flocks|convex_hull")
+    parts = [
+        X.change_decisions(series.where(test), "value", kind, ("series",), "t")
+        for test, kind in ((level, "mean"), (~level, "var"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("run_id n normal_mu:double normal_rho:double cauchy_mu:double cauchy_rho:double")
+def circular_mle(spark, sf):
+    return X.circular_mle(directions(spark, sf), "bearings", ("run_id",))
+
+
 @query("run_id n mu:double rho:double normal_sd:double cauchy_scale:double")
 def circular_fit(spark, sf):
     return X.circular_fit(directions(spark, sf), "bearings", ("run_id",))

@@ -10,7 +10,7 @@ from skein.functions import angles, vectors as V
 from skein.operators import metrics as M
 from skein.operators import tracks as K
 from skein.operators.cluster import components
-from skein.operators.spatial import Grid
+from skein.operators.spatial import Grid, neighbours
 from skein.schema import World
 from skein.sources import config as C
 from skein.sources import recorder
@@ -65,8 +65,21 @@ def test_nearest_image_and_crossing(spark):
 @pytest.mark.parametrize("x,y,expected", [(300, 300, 15), (400, 400, 15), (-400, -400, 0)])
 def test_cell_index(spark, x, y, expected):
     grid = Grid(World(800, 800), 4, 4)
-    cx, cy = grid.cell(F.lit(float(x)), F.lit(float(y)))
-    assert value(spark, cx + cy * 4) == expected
+    assert value(spark, grid.table_index(F.lit(float(x)), F.lit(float(y)))) == expected
+
+
+def test_table_index_of_positions_outside(spark):
+    grid = Grid(World(800, 400), 8, 2)
+    cases = {(-1000, -1000): 0, (1000, -1000): 7, (-1000, 1000): 8, (1000, 1000): 15, (-1, -1): 3, (0, 0): 12}
+    assert {p: value(spark, grid.table_index(*lit(*p))) for p in cases} == cases
+
+
+@pytest.mark.parametrize("toroidal", [True, False])
+def test_a_pair_at_one_radius_across_the_edge_is_found(spark, toroidal):
+    world = World(800, 800, toroidal=toroidal)
+    rows = spark.createDataFrame([(1, 1, 395.0, 0.0), (1, 2, 405.0, 0.0), (1, 3, 400.0, 100.0)], "time long, id long, x double, y double")
+    near = neighbours(rows, 10.0, world).select("id", "id2").collect()
+    assert sorted(tuple(r) for r in near) == [(1, 2), (2, 1)]
 
 
 def test_zero_radius_is_rejected():
