@@ -23,11 +23,19 @@ from skein.session import cut
 FIRST = 16  # nearest sites that clip a cell before its corners are checked
 RELAXATIONS = 5  # fixed value: Lloyd relaxations before areas are taken
 _RING = "array<struct<x:double,y:double>>"
+# A corner that also knows the site beyond the edge that starts there; none beyond the world's border.
+_LABELLED = "array<struct<x:double,y:double,nx:double,ny:double>>"
 
 
-def _clip(ring: Column, x: Column, y: Column, qx: Column, qy: Column) -> Column:
+def _clip(ring: Column, x: Column, y: Column, qx: Column, qy: Column, kind: str) -> Column:
     """The part of a convex ring that is closer to (x, y) than to (qx, qy)."""
 
+    def beyond_edge(a: Column, new: Column) -> list[Column]:
+        """What a corner of a labelled ring says about its edge: a new one, or that of ``a``."""
+        if kind != _LABELLED:
+            return []
+        return [F.when(new, q).otherwise(a[c]).alias(c) for c, q in (("nx", qx), ("ny", qy))]
+
     def beyond(p: Column) -> Column:
         return (p["x"] - (x + qx) / 2) * (qx - x) + (p["y"] - (y + qy) / 2) * (qy - y)
 
@@ -36,22 +44,25 @@ def _clip(ring: Column, x: Column, y: Column, qx: Column, qy: Column) -> Column:
         fa, fb = beyond(a), beyond(b)
         t = F.try_divide(fa, fa - fb)
         crossing = F.struct(
-            (a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y")
+            (a["x"] + (b["x"] - a["x"]) * t).alias("x"),
+            (a["y"] + (b["y"] - a["y"]) * t).alias("y"),
+            *beyond_edge(a, fa < 0),
         )
-        none = F.array().cast(_RING)
+        none = F.array().cast(kind)
+        corner = F.struct(a["x"].alias("x"), a["y"].alias("y"), *beyond_edge(a, (fa == 0) & (fb > 0)))
         return F.concat(
-            F.when(fa <= 0, F.array(a)).otherwise(none),
+            F.when(fa <= 0, F.array(corner if kind == _LABELLED else a)).otherwise(none),
             F.when(fa * fb < 0, F.array(crossing)).otherwise(none),
         )
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ring)), edge)).cast(_RING)
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ring)), edge)).cast(kind)
 
 
-def _clip_all(df: DataFrame, others: str) -> DataFrame:
+def _clip_all(df: DataFrame, others: str, kind: str) -> DataFrame:
     """Clips column ``ring`` of a site by the bisectors towards every (x, y) in ``others``."""
     x, y = F.col("x"), F.col("y")
     clipped = F.aggregate(
-        others, F.col("ring"), lambda ring, q: _clip(ring, x, y, q["x"], q["y"])
+        others, F.col("ring"), lambda ring, q: _clip(ring, x, y, q["x"], q["y"], kind)
     )
     return df.withColumn("ring", clipped)
 
@@ -77,22 +88,29 @@ def _farthest_sq(ring: Column, x: Column, y: Column) -> Column:
 
 
 def cells(
-    sites: DataFrame, world: World, frame: Sequence[str] = ("time",), *, skew: Skew = Skew()
+    sites: DataFrame,
+    world: World,
+    frame: Sequence[str] = ("time",),
+    *,
+    skew: Skew = Skew(),
+    labelled: bool = False,
 ) -> DataFrame:
     """(frame, id, x, y, ring): the exact Voronoi cell of every site within the world.
 
-    ``sites`` are at distinct positions inside the world.
+    ``sites`` are at distinct positions inside the world. Corners of ``labelled`` rings carry the
+    position (nx, ny) of the site on the other side of the edge that starts there.
     """
+    kind = _LABELLED if labelled else _RING
     frame = list(frame)
     key = [*frame, "id"]
     w, h = world.width / 2, world.height / 2
     extent = float(max(world.width, world.height))
     box = F.array(
         *[
-            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), *[F.lit(None).alias(c) for c in ("nx", "ny") if labelled])
             for x, y in ((-w, -h), (w, -h), (w, h), (-w, h))
         ]
-    ).cast(_RING)
+    ).cast(kind)
     near = nearest(sites, FIRST, world, frame, skew=skew)
     lists = near.groupBy(*key).agg(
         F.sort_array(
@@ -102,7 +120,7 @@ def cells(
     first = sites.select(*key, "x", "y").join(lists, key, "left").withColumn("ring", box)
     # a site alone in its frame keeps the whole world
     others = F.coalesce("others", F.array().cast("array<struct<dist:double,x:double,y:double>>"))
-    first = _clip_all(first.withColumn("others", others), "others")
+    first = _clip_all(first.withColumn("others", others), "others", kind)
     far = _farthest_sq(F.col("ring"), F.col("x"), F.col("y"))
     known = F.size("others")
     settled = (known < FIRST) | (
@@ -143,7 +161,7 @@ def cells(
         checked = open_cells.join(missing, key, "left").withColumns(
             {"m": some, "whole": F.col("m").isNull()}
         )
-        checked = cut(_clip_all(checked, "m").drop("m"))
+        checked = cut(_clip_all(checked, "m", kind).drop("m"))
         done = done.unionByName(checked.where("whole").drop("whole"))
         open_cells = checked.where("not whole").drop("whole")
     return done

@@ -631,7 +631,46 @@ def _simulate_clustered() -> str:
   FROM s2 s JOIN labels l ON l."time" = s.run_id AND l.id = s.id"""
 
 
+# Grown from the smallest agent: every step takes the least edge, by (length, smaller end, larger end), that
+# leaves the tree; ``best`` and ``pid`` are the least edge of each agent outside of it.
+GROWN = """grown AS (
+  SELECT t."time", 1 AS step, t.id, t.x, t.y, (t.x - r.x)^2 + (t.y - r.y)^2 AS best, r.id AS pid
+  FROM track t JOIN (SELECT "time", id, x, y FROM track QUALIFY row_number() OVER (PARTITION BY "time" ORDER BY id) = 1) r
+    ON t."time" = r."time" AND t.id <> r.id
+  UNION ALL
+  SELECT "time", step + 1, id, x, y, CASE WHEN nearer THEN d2 ELSE best END, CASE WHEN nearer THEN vid ELSE pid END
+  FROM (SELECT *, (d2, least(id, vid), greatest(id, vid)) < (best, least(id, pid), greatest(id, pid)) AS nearer FROM (
+    SELECT *, (x - vx)^2 + (y - vy)^2 AS d2 FROM (
+      SELECT *, first_value(id) OVER w AS vid, first_value(x) OVER w AS vx, first_value(y) OVER w AS vy FROM grown
+      WINDOW w AS (PARTITION BY "time" ORDER BY best, least(id, pid), greatest(id, pid)))
+    WHERE id <> vid)))"""
+TREE = """tree AS MATERIALIZED (
+  SELECT "time", least(id, pid) AS id, greatest(id, pid) AS id2, sqrt(best) AS dist FROM grown
+  QUALIFY row_number() OVER (PARTITION BY "time", step ORDER BY best, least(id, pid), greatest(id, pid)) = 1)"""
+
+
+def _mst_knn() -> str:
+    return ctes(
+        TRACK,
+        GROWN,
+        TREE,
+        knn_cte(12),
+        """near AS (
+  SELECT k."time", least(id, id2) AS id, greatest(id, id2) AS id2 FROM knn k
+  JOIN (SELECT "time", greatest(1, floor(ln(count(*)))) AS k FROM track GROUP BY 1) n ON n."time" = k."time" AND rank <= k
+  GROUP BY ALL)""",
+        'kept AS (SELECT t."time", t.id, t.id2 FROM tree t JOIN near USING ("time", id, id2))',
+        'steps AS (SELECT "time", id, id2 FROM kept UNION ALL SELECT "time", id2, id FROM kept)',
+        """reach AS (
+  SELECT "time", id, id AS other FROM track
+  UNION SELECT r."time", r.id, s.id2 FROM reach r JOIN steps s ON s."time" = r."time" AND s.id = r.other)""",
+        recursive=True,
+    ) + 'SELECT "time", id, min(other) AS cluster_id FROM reach GROUP BY 1, 2'
+
+
 SQL |= {
+    "spanning_tree": ctes(TRACK, GROWN, TREE, recursive=True) + "SELECT * FROM tree",
+    "mst_knn_clusters": _mst_knn(),
     "knn": ctes(TRACK, knn_cte(3)) + "SELECT * FROM knn",
     "knn_mutual": ctes(TRACK, knn_cte(3))
     + """SELECT *, count(*) OVER (PARTITION BY "time", least(id, id2), greatest(id, id2)) = 2 AS mutual FROM knn""",

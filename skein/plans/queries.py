@@ -17,6 +17,7 @@ from skein.operators import metrics as M
 from skein.operators import nearest as N
 from skein.operators import population as P
 from skein.operators import rules as R
+from skein.operators import spanning as T
 from skein.operators import spatial as S
 from skein.operators import stats as X
 from skein.operators import tracks as K
@@ -344,6 +345,16 @@ def point_cloud_dbscan(spark, sf):
     return C.dbscan(point_cloud(spark, sf), 2.5, MIN_PTS, CLOUD)
 
 
+@query("time id id2 dist:double")
+def spanning_tree(spark, sf):
+    return T.spanning_tree(tracks(spark, sf))
+
+
+@query("time id cluster_id")
+def mst_knn_clusters(spark, sf):
+    return T.mst_knn(tracks(spark, sf), rounds=1)
+
+
 # --- flocking rules and ticks ---------------------------------------------------------
 
 FLOCK = FlockConfig(
