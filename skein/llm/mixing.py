@@ -6,12 +6,14 @@ at ceil((i + 1) L / c); each slot goes to the released block that is due first.
 shares of a cycle sum to L, so every block meets its window and at any slot each
 source is less than one block away from its share.
 
-Shares: each target weight becomes ``round(weight * cycle)`` blocks of a cycle, at least
-one. A phase runs whole cycles while every source in it has a full share left, then one
-closing cycle in which a source that ends brings what it has left; the next phase
-goes on with the other sources at the same proportions. So no row is dropped or repeated. The
-schedule of a cycle is computed once per phase, by one expression over ``cycle`` slots
-and the sources, whatever the number of rows.
+Shares: given weights become whole blocks of the shortest cycle that holds them exactly, as decimals, if it
+has at most LONGEST slots; else the nearest blocks of a cycle of that length, which is off by less than a
+block a cycle. Weights from row counts become ``round(weight * cycle)`` blocks, at least one. A phase runs
+cycles until the block that uses up a source; from the next slot on the others go on at the same
+proportions, with the bound counted from there. So no row is dropped or repeated. The
+schedule of a cycle is computed once per phase, by one expression over the slots of a cycle
+and the sources, whatever the number of rows: cycle * sources ** 2 steps in one task, which is meant for
+tens of sources.
 
 Rows are put into blocks in a pseudo-random, repeatable order. Ranks inside a source are
 taken in slices, so a source that holds most rows is ranked by many tasks.
@@ -25,6 +27,8 @@ An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,72 +38,100 @@ from skein.session import cut
 
 CYCLE = 1000  # slots of a full cycle, apart from rounding of the shares
 BLOCK = 16  # rows of a block
+LONGEST = 10_000  # slots of the cycle that given weights may need
 SLICES = 1024  # of a source's rows, for ranking
 DAMPING = 0.5  # without given weights: a source's weight is its row count to this power
 
 
+def whole_shares(weights: Mapping[str, float], longest: int) -> dict[str, int]:
+    """The weights as blocks of a cycle of at most ``longest`` slots: exact ones if there are any, else the nearest."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items() if w > 0}
+    total = sum(exact.values())
+    parts = {s: w / total for s, w in exact.items()}
+    slots = lcm(*[x.denominator for x in parts.values()])
+    if slots <= longest:
+        return {s: int(x * slots) for s, x in parts.items()}
+    down = {s: int(x * longest) for s, x in parts.items()}
+    order = sorted(parts, key=lambda s: (down[s] - parts[s] * longest, s))
+    up = set(order[: longest - sum(down.values())])
+    return {s: max(n + (s in up), 1) for s, n in down.items()}
+
 
 def sources(ranked: DataFrame, block: int, weights: Mapping[str, float] | None, cycle: int) -> DataFrame:
     """One row: ``names``, ``blocks`` and ``shares``, arrays over the sources."""
     counts = ranked.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
+        share = f"cast(round(x.w * {cycle} / nullif(aggregate(s, 0D, (t, x) -> t + x.w), 0)) as bigint)"
         weight = F.pow("n", F.lit(DAMPING))
     else:
-        items = [F.lit(x) for pair in weights.items() for x in pair]
+        share = "cast(x.w as bigint)"
+        items = [F.lit(x) for s, n in whole_shares(weights, LONGEST).items() for x in (s, float(n))]
         weight = F.coalesce(F.create_map(*items)[F.col("src")] if items else F.lit(0.0), F.lit(0.0))
     one = counts.select("src", "n", weight.cast("double").alias("w")).agg(
         F.array_sort(F.collect_list(F.struct("src", "n", "w"))).alias("s")
     )
-    total = "aggregate(s, 0D, (t, x) -> t + x.w)"
     return one.select(
         F.expr("s.src").alias("names"),
         F.expr(f"transform(s, x -> cast(ceil(x.n / {block}) as bigint))").alias("blocks"),
-        F.expr(f"transform(s, x -> greatest(1L, cast(round(x.w * {cycle} / nullif({total}, 0)) as bigint), 1L))").alias("shares"),
+        F.expr(f"transform(s, x -> greatest(1L, {share}, 1L))").alias("shares"),
     )
 
 
-PHASE = "struct<start:bigint,cycles:bigint,slots:bigint,alloc:array<bigint>,placed:array<bigint>>"
-# The state goes from phase to phase: blocks left, blocks placed, next slot, phases so far.
-# Each phase appends whole cycles (if any) and its closing cycle.
-PHASES = f"""
-aggregate(
-  sequence(1, size(names)),
-  named_struct('rest', blocks, 'at', 0L, 'done', transform(blocks, x -> 0L), 'out', cast(array() as array<{PHASE}>)),
-  (st, i) -> CASE WHEN array_max(st.rest) = 0 THEN st ELSE element_at(transform(array(
-      array_min(transform(filter(arrays_zip(st.rest, shares), x -> x.rest > 0), x -> x.rest div x.shares))
-    ), m -> element_at(transform(array(named_struct(
-      'full', zip_with(st.rest, shares, (r, c) -> CASE WHEN r > 0 THEN c ELSE 0L END),
-      'last', zip_with(st.rest, shares, (r, c) -> CASE WHEN r > 0 THEN least(c, r - m * c) ELSE 0L END)
-    )), a -> element_at(transform(array(named_struct(
-      'nfull', aggregate(a.full, 0L, (t, x) -> t + x),
-      'nlast', aggregate(a.last, 0L, (t, x) -> t + x)
-    )), z -> named_struct(
-      'rest', zip_with(st.rest, zip_with(a.full, a.last, (f, l) -> m * f + l), (r, u) -> r - u),
-      'at', st.at + m * z.nfull + z.nlast,
-      'done', zip_with(st.done, zip_with(a.full, a.last, (f, l) -> m * f + l), (d, u) -> d + u),
-      'out', concat(st.out, filter(array(
-        named_struct('start', st.at, 'cycles', m, 'slots', z.nfull, 'alloc', a.full, 'placed', st.done),
-        named_struct('start', st.at + m * z.nfull, 'cycles', 1L, 'slots', z.nlast, 'alloc', a.last,
-          'placed', zip_with(st.done, a.full, (d, f) -> d + m * f))
-      ), p -> p.cycles > 0 AND p.slots > 0))
-    )), 1)), 1)), 1) END,
-  st -> st.out)
-"""
-
 # Earliest deadline first over one cycle: the source of each slot. Ties go to the larger share.
 PICKS = """
 aggregate(
   sequence(0L, slots - 1),
   named_struct('done', transform(alloc, x -> 0L), 'picks', cast(array() as array<int>)),
-  (st, t) -> element_at(transform(array(
+  (now, t) -> element_at(transform(array(
       array_min(filter(transform(alloc, (c, s) -> CASE
-          WHEN st.done[s] < c AND (st.done[s] * slots) div c <= t
-          THEN struct(((st.done[s] + 1) * slots + c - 1) div c AS due, -c AS heavy, s AS s) END),
+          WHEN now.done[s] < c AND (now.done[s] * slots) div c <= t
+          THEN struct(((now.done[s] + 1) * slots + c - 1) div c AS due, -c AS heavy, s AS s) END),
         x -> x IS NOT NULL))
     ), p -> named_struct(
-      'done', transform(st.done, (d, s) -> CASE WHEN s = p.s THEN d + 1 ELSE d END),
-      'picks', concat(st.picks, array(p.s)))), 1),
-  st -> st.picks)
+      'done', transform(now.done, (d, s) -> CASE WHEN s = p.s THEN d + 1 ELSE d END),
+      'picks', concat(now.picks, array(p.s)))), 1),
+  now -> now.picks)
+"""
+# What a phase needs, each from those before: shares of the sources left, slots of a cycle, whole cycles, the
+# cycle's sources, the slot of the next cycle that uses a source up, the part of it until there, blocks placed.
+STEPS = {
+    "alloc": "zip_with(st.rest, shares, (r, c) -> CASE WHEN r > 0 THEN c ELSE 0L END)",
+    "slots": "aggregate(alloc, 0L, (t, x) -> t + x)",
+    "m": "array_min(zip_with(st.rest, alloc, (r, c) -> CASE WHEN c > 0 THEN r div c END))",
+    "picks": PICKS,
+    "ends": """array_min(transform(zip_with(st.rest, alloc, (r, c) -> CASE WHEN r - m * c < c THEN r - m * c END),
+      (x, s) -> CASE WHEN x = 0 THEN 0 WHEN x > 0 THEN
+        element_at(filter(sequence(1, size(picks)), j -> picks[j - 1] = s), cast(x as int)) END))""",
+    "last": "slice(picks, 1, ends)",
+    "used": "transform(alloc, (c, s) -> m * c + size(filter(last, x -> x = s)))",
+}
+NEXT = """named_struct(
+  'rest', zip_with(st.rest, used, (r, u) -> r - u),
+  'at', st.at + m * slots + ends,
+  'done', zip_with(st.done, used, (d, u) -> d + u),
+  'out', concat(st.out, filter(array(
+    named_struct('start', st.at, 'cycles', m, 'picks', picks, 'placed', st.done),
+    named_struct('start', st.at + m * slots, 'cycles', 1L, 'picks', last,
+      'placed', zip_with(st.done, alloc, (d, c) -> d + m * c))
+  ), p -> p.cycles > 0 AND size(p.picks) > 0)))"""
+PHASE = "struct<start:bigint,cycles:bigint,picks:array<int>,placed:array<bigint>>"
+
+
+def bound(names: Mapping[str, str], result: str) -> str:
+    """SQL of ``result`` with names bound one after the other, each computed once."""
+    for name, value in reversed(names.items()):
+        result = f"element_at(transform(array({value}), {name} -> {result}), 1)"
+    return result
+
+
+# The state goes from phase to phase: blocks left, next slot, blocks placed, phases so far. A phase has
+# whole cycles (if any) and a last one that ends with the block that uses a source up.
+PHASES = f"""
+aggregate(
+  sequence(1, size(names)),
+  named_struct('rest', blocks, 'at', 0L, 'done', transform(blocks, x -> 0L), 'out', cast(array() as array<{PHASE}>)),
+  (st, i) -> CASE WHEN array_max(st.rest) = 0 THEN st ELSE {bound(STEPS, NEXT)} END,
+  st -> st.out)
 """
 
 
@@ -110,18 +142,17 @@ def schedule(shares: DataFrame) -> DataFrame:
     goes to slot ``start + (k div per) * slots + at[k mod per]``.
     """
     phases = shares.select("names", F.explode(F.expr(PHASES)).alias("p")).select("names", "p.*")
-    picked = phases.withColumn("picks", F.expr(PICKS))
-    per_source = picked.select(
-        "start", "cycles", "slots", "picks", F.posexplode(F.arrays_zip("names", "alloc", "placed")).alias("s", "x")
-    ).where("x.alloc > 0")
-    return per_source.select(
+    per_source = phases.select(
+        "start", "cycles", "picks", F.posexplode(F.arrays_zip("names", "placed")).alias("s", "x")
+    ).withColumn("at", F.expr("filter(sequence(0, size(picks) - 1), i -> picks[i] = s)"))
+    return per_source.where("size(at) > 0").select(
         F.col("x.names").alias("src"),
         F.col("x.placed").alias("first"),
-        (F.col("x.placed") + F.col("cycles") * F.col("x.alloc")).alias("last"),
-        F.col("x.alloc").alias("per"),
+        (F.col("x.placed") + F.col("cycles") * F.size("at")).alias("last"),
+        F.size("at").cast("long").alias("per"),
         "start",
-        "slots",
-        F.expr("filter(sequence(0, size(picks) - 1), i -> picks[i] = s)").alias("at"),
+        F.size("picks").cast("long").alias("slots"),
+        "at",
     )
 
 

@@ -268,40 +268,78 @@ def test_runs_reach_the_recall():
 # --- mixing ---
 
 
-def scheduled(blocks, shares):
-    """Slots by the definition: earliest deadline first, cycle by cycle."""
+def scheduled(blocks, weights):
+    """Slots by the definition: earliest deadline first until a source is used up, then again for the others."""
     rest, placed, out, t0 = dict(blocks), Counter(), {}, 0
     while any(rest.values()):
-        alloc = {s: min(shares[s], n) for s, n in rest.items() if n}
-        slots, done = sum(alloc.values()), Counter()
-        for t in range(slots):
+        active = {s: weights[s] for s, n in rest.items() if n}
+        total, done, t = sum(active.values()), Counter(), 0
+        while all(done[s] < rest[s] for s in active):
             ready = [
-                (-(-(done[s] + 1) * slots // c), -c, s) for s, c in alloc.items() if done[s] < c and done[s] * slots // c <= t
+                (-(-(done[s] + 1) * total // w), -w, s) for s, w in active.items() if done[s] * total // w <= t
             ]
-            _, _, s = min(ready)
+            s = min(ready)[2]
             out[t0 + t] = (s, placed[s] + done[s])
             done[s] += 1
-            assert all(abs(done[x] - Fraction((t + 1) * c, slots)) < 1 for x, c in alloc.items())
-        for s, c in alloc.items():
-            rest[s] -= c
-            placed[s] += c
-        t0 += slots
+            t += 1
+        for s in active:
+            rest[s] -= done[s]
+            placed[s] += done[s]
+        t0 += t
     return out
 
 
-def test_mix_equals_the_definition(spark):
-    sizes = {"a": 1300, "b": 41, "c": 700, "": 3}
-    rows = [(1000 * k + i, f"t{i}", s or None) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+def stays_near(slots, blocks, weights):
+    """Whether every source is less than a block off its weight at every slot, from phase to phase."""
+    rest, done, start = dict(blocks), Counter(), 0
+    for t, s in enumerate(slots):
+        active = {x: weights[x] for x, n in rest.items() if n}
+        done[s] += 1
+        total = sum(active.values())
+        if any(abs(done[x] - Fraction(t + 1 - start) * w / total) >= 1 for x, w in active.items()):
+            return False
+        if done[s] == rest[s]:
+            for x in active:
+                rest[x] -= done[x]
+            done, start = Counter(), t + 1
+    return not any(rest.values())
+
+
+@pytest.mark.parametrize("sizes, weights", [
+    ({"a": 1300, "b": 41, "c": 700, "d": 3}, {"a": 0.5, "b": 0.125, "c": 0.3, "d": 0.075}),
+    ({"a": 400, "b": 40}, {"a": 0.5, "b": 0.5}),
+    ({"a": 3000, "b": 900, "c": 2500}, {"a": 0.666, "b": 0.013, "c": 0.321}),
+    ({"a": 800, "b": 800, "c": 801}, {"a": 1, "b": 1, "c": 1}),
+])
+def test_mix_stays_within_a_block_of_the_weights(spark, sizes, weights):
+    rows = [(10_000 * k + i, f"t{i}", s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mix(frame, {"a": 0.5, "b": 0.1, "c": 0.4}, block=4, cycle=20).collect()
+    got = mixing.mix(frame, weights, block=4).collect()
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
-    shares = {"a": 10, "b": 2, "c": 8, "": 1}
-    want = scheduled({s: -(-n // 4) for s, n in sizes.items()}, shares)
-    assert {r.slot: (r.source, r.block) for r in got} == want
+    blocks = {s: -(-n // 4) for s, n in sizes.items()}
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    slots = {r.slot: (r.source, r.block) for r in got}
+    assert slots == scheduled(blocks, exact) and sorted(slots) == list(range(sum(blocks.values())))
+    assert stays_near([slots[t][0] for t in range(len(slots))], blocks, exact)
     assert len({r.position for r in got}) == len(rows)
     assert Counter((r.source, r.block) for r in got).most_common(1)[0][1] == 4
 
 
+def test_whole_shares():
+    assert mixing.whole_shares({"a": 0.6666, "b": 0.3334}, 10_000) == {"a": 3333, "b": 1667}
+    assert mixing.whole_shares({"a": 2, "b": 1, "c": 0}, 10_000) == {"a": 2, "b": 1}
+    near = mixing.whole_shares({"a": 0.123456789, "b": 0.7, "c": 0.1}, 1000)
+    assert sum(near.values()) == 1000 and abs(near["b"] - 1000 * 0.7 / 0.923456789) < 1
+    assert mixing.whole_shares({}, 10) == {}
+
+
+def test_sources_without_a_weight_get_a_block_a_cycle(spark):
+    rows = [(i, "t", s) for i, s in enumerate(["a"] * 30 + ["b"] * 30 + [None] * 5)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 2, "b": 3}, block=1).collect()
+    slots = {r.slot: (r.source, r.block) for r in got}
+    assert slots == scheduled({"a": 30, "b": 30, "": 5}, {"a": 2, "b": 3, "": 1})
+
+
 def test_mix_of_odd_rows(odd, none, docs):
     assert plain(mixing.mixed(odd).collect()) == plain(odd.collect())
     assert mixing.mixed(none).collect() == [] and mixing.mix(none).collect() == []
@@ -358,8 +396,8 @@ def test_the_mix_survives_many_files(spark, tmp_path):
     assert len({r.position for r in got}) == len(rows)
     source = {(i, sha(t or "")): s for i, t, s in rows}
     in_order = [source[r.doc_id, r.decoded_sha256] for r in sorted(got, key=lambda r: r.position)]
-    share = Counter(in_order[:1000])
-    assert all(abs(Counter(in_order[a : a + 1000])[s] - n) < 50 for a in (500, 1000) for s, n in share.items())
+    share = Counter(in_order[:500])  # the smallest source lasts for over 1000 rows
+    assert all(abs(Counter(in_order[a : a + 500])[s] - n) < 50 for a in (250, 500) for s, n in share.items())
 
 
 def test_run(spark, sf):
