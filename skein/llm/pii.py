@@ -7,8 +7,8 @@ independent of each other: spans of different kinds may overlap, spans of one ki
 
 Kinds, in the order used for sorting: email, ip, card, phone (the base kinds), then
 url (with a host), iban (check digits hold), account (an identifier of at least five
-digits after a cue such as ``account``, ``account no.``) and secret (a value after ``token``,
-``password`` and the like). Words in capitals that follow an IBAN are not part of it: the length of its
+digits after a cue such as ``account``, ``account no.``) and secret (a value of at least eight characters,
+of any length, parts joined by dots included, after ``token``, ``password`` and the like). Words in capitals that follow an IBAN are not part of it: the length of its
 country decides, else the longest expansion whose check digits hold. Spans are in code points, end exclusive.
 
 A null text counts as empty and gives no spans, a null doc_id stays null, repeated rows
@@ -45,9 +45,10 @@ _break = re.compile(r"\x20").finditer
 _iban = re.compile(r"[\x20:=#]{1,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])").match
 _account = re.compile(
     r"(?:[\x20_-]?(?i:numbers?|num[eé]ro|número|num|nos?|nrs?|n[°º]))?"
-    r"[\x20:=#.]{1,4}[\"']?([A-Z]{0,2}[0-9][0-9-]{3,32}[0-9])(?![A-Za-z0-9])"
+    r"[\x20:=#.]{1,4}[\"']?([A-Z]{0,2}[0-9][0-9-]{3,}[0-9])(?![A-Za-z0-9])"
 ).match
-_secret = re.compile(r"\x20{0,2}[:=]\x20{0,2}[\"']?([A-Za-z0-9_+/=-]{8,512})").match
+_secret = re.compile(r"\x20{0,2}[:=]\x20{0,2}[\"']?([A-Za-z0-9_+/=-]+(?:\.[A-Za-z0-9_+/=-]+)*)").match
+SECRET = 8  # characters of a secret at least
 
 
 # Lengths of the IBAN registry.
@@ -152,6 +153,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             m = {"iban": _iban, "account": _account, "secret": _secret}[kind](text, last + 1)
             if not m or kind == "account" and sum(c in DIGITS for c in m[1]) < 5:
                 continue
+            if kind == "secret" and len(m[1]) < SECRET:
+                continue
             size = iban_end(m[1]) if kind == "iban" else len(m[1])
             if size:
                 free[kind] = m.start(1) + size

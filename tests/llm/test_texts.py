@@ -181,6 +181,9 @@ def test_pii_beyond_the_base():
     ("IBAN: DE88 3704 0044 0532 0130 00 BIC COBADEFF", "iban", []),
     ("account number: 12345678, Account No. 87654321; acct nr 55555", "account", ["12345678", "87654321", "55555"]),
     ("account: 12345 account: 1234 account: 1--234 account none 12345", "account", ["12345"]),
+    ("account: " + "1234567890" * 4 + " x", "account", ["1234567890" * 4]),
+    ("token=" + "aB3_" * 200 + ". End", "secret", ["aB3_" * 200]),
+    ("password: abc.def.ghi. secret = short12 token=a.b", "secret", ["abc.def.ghi"]),
     ("account_number=DE12345 numéro de compte n° 1234-5678", "account", ["DE12345", "1234-5678"]),
 ])
 def test_pii_expansions_are_tried_again(text, kind, want):
