@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cache
 from itertools import islice
 
@@ -124,6 +124,7 @@ class Vocabulary:
     def __init__(self, path: str):
         spec, self.special = specification(path)
         ids = {to_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        self.tokens = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         n = max(ids.values()) + 1
         self.length = np.zeros(n, np.int64)
         self.length[list(ids.values())] = list(map(len, ids))
@@ -404,42 +405,55 @@ def _types(frame: DataFrame, names: Sequence[str]) -> str:
     return "".join(f", {n} {frame.schema[n].dataType.simpleString()}" for n in names)
 
 
-def encode(docs: DataFrame, path: str, batch: int = 1000, carried: Sequence[str] = ()) -> DataFrame:
-    """``doc_id``, ``ids`` (array of int) and the columns ``carried``, one row per row of ``docs``."""
-    schema = f"did long, ids array<int>{_types(docs, carried)}"
+def _texts(get: Callable[[int], bytes], values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """What runs of ids decode to."""
+    ends = bounds.tolist()
+    return pa.array(
+        [b"".join(map(get, values[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.string()
+    )
+
+
+def encode(
+    docs: DataFrame, path: str, batch: int = 1000, carried: Sequence[str] = (), decoded: bool = False
+) -> DataFrame:
+    """``doc_id``, ``ids`` (array of int) and the columns ``carried``, one row per row of ``docs``.
+
+    With ``decoded`` the column of that name holds what the ids decode to, from the same worker: the
+    rows of ``decode`` without sending all ids to a second one.
+    """
+    extra = ", decoded string" if decoded else ""
+    schema = f"did long, ids array<int>{extra}{_types(docs, carried)}"
     target = arrow_schema(docs.sparkSession, schema)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoder(path).encode
+        run, get = encoder(path).encode, encoder(path).vocabulary.tokens.__getitem__
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
                 values, bounds = run(part.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
+                texts = [_texts(get, values, bounds)] if decoded else []
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists.cast(target.field(1).type), *part.columns[2:]], schema=target
+                    [part.column(0), lists.cast(target.field(1).type), *texts, *part.columns[2:]], schema=target
                 )
 
-    return id_text(docs, *carried).mapInArrow(task, schema).select(public_id(), "ids", *carried)
+    names = ["ids", "decoded"] if decoded else ["ids"]
+    return id_text(docs, *carried).mapInArrow(task, schema).select(public_id(), *names, *carried)
 
 
-def decode(encoded: DataFrame, path: str, carried: Sequence[str] = ()) -> DataFrame:
+def decode(encoded: DataFrame, path: str, carried: Sequence[str] = (), batch: int = 1000) -> DataFrame:
     """Adds ``decoded`` to rows with ``ids``; bytes that are not UTF-8 become U+FFFD."""
     schema = f"doc_id long, ids array<int>, decoded string{_types(encoded, carried)}"
     target = arrow_schema(encoded.sparkSession, schema)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = token_bytes(path).__getitem__
-        for batch in batches:
-            lists = batch.column(1)
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            texts = [
-                b"".join(map(get, values[a:b].tolist())).decode("utf-8", "replace")
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, pa.array(texts, pa.string()), *batch.columns[2:]], schema=target
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                lists = part.column(1)
+                texts = _texts(get, lists.values.to_numpy(), lists.offsets.to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, texts, *part.columns[2:]], schema=target)
 
     ids = F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
     return encoded.select("doc_id", ids, *carried).mapInArrow(task, schema)

@@ -37,7 +37,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.summary(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
+    return bpe.summary(bpe.encode(documents(spark, sf_dir), path, decoded=True))
 
 
 def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,6 +211,7 @@ def test_bpe_equals_the_library(docs, texts, odd, none):
     library = Tokenizer.from_file(BPE)
     for frame, rows in ((docs, texts), (odd, odd_rows())):
         assert plain(bpe.summary(bpe.decode(bpe.encode(frame, BPE), BPE)).collect()) == encoded(library, rows)
+        assert plain(bpe.summary(bpe.encode(frame, BPE, decoded=True)).collect()) == encoded(library, rows)
     assert bpe.encode(none, BPE).collect() == []
 
 
