@@ -44,8 +44,8 @@ def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A table of several files loses its row order when it is read, so ``slot`` and ``position`` tell the order.
     """
     path, place = public_tokenizers.path("byte_bpe_50k.json"), ["slot", "position"]
-    encoded = bpe.encode(mixing.placed(docs), path, carried=place)
-    return bpe.summary(bpe.decode(encoded, path, place), *place, "ids")
+    encoded = bpe.encode(mixing.placed(docs), path, carried=place, decoded=True)
+    return bpe.summary(encoded, *place, "ids")
 
 
 STAGES = [
