@@ -121,3 +121,40 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n
 FROM documents d JOIN texts t ON t.t = coalesce(d.text, '') LEFT JOIN classes c ON c.id = t.id LEFT JOIN counts n ON n.id = t.id
 """,
 }
+
+
+# The crc32 of the decimal id goes bit by bit: each digit, then eight shifts (-1).
+PREFIX_TRIE = """
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+         coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations),
+convs AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+             string_split(c::VARCHAR, ''), lambda x: list_concat([ascii(x)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END),
+         4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns)),
+built AS (
+  SELECT v.c, 0 AS part, pos, r, t FROM convs v JOIN turns b ON b.c = v.base AND pos < h
+  UNION ALL SELECT v.c, 1, pos, r, t FROM convs v JOIN turns o ON o.c = v.c AND pos >= h),
+paths AS (
+  SELECT c, coalesce(list({'r': r, 't': t} ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS p
+  FROM convs LEFT JOIN built USING (c) GROUP BY c),
+members AS (SELECT c, len(p) AS m, d, p[1:d] AS node FROM (SELECT *, unnest(range(len(p) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT node, d, min(c) AS conv, count(*) AS n, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (m = d) AS ends
+  FROM members GROUP BY node, d),
+children AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1, 2),
+valued AS (
+  SELECT nodes.*, coalesce(k, 0) AS n_children,
+         CASE WHEN d > 0 THEN (n - 1) * len(regexp_extract_all(node[d].t, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN children USING (node, d)),
+subtrees AS (
+  SELECT node[1:e] AS node, e AS d, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS e FROM valued) GROUP BY 1, 2)
+SELECT v.conv AS conv_id, v.d AS depth, p.conv AS parent_conv_id, v.n AS n_convs, v.n_children, s.leaves AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN subtrees s ON s.node = v.node AND s.d = v.d
+LEFT JOIN nodes p ON v.d > 0 AND p.d = v.d - 1 AND p.node = v.node[1:v.d - 1]
+"""
+SQL["op11_prefix_trie"] = PREFIX_TRIE
