@@ -707,6 +707,13 @@ SQL |= {
     "latest_change_point": ctes(*DIR_PARTS, BY_RUN, change_cte("mean"), change_cte("var"))
     + """SELECT coalesce(max(change_point), 0) AS max_change_point
   FROM (SELECT change_point FROM change_mean UNION ALL SELECT change_point FROM change_var)""",
+    "agents_with_clustered": WITH_TRACK
+    + """SELECT run_id, id, clustered FROM (
+    SELECT run_id, id, count(*) AS clustered FROM track WHERE cluster_id <> 0 GROUP BY 1, 2) c
+  RIGHT JOIN (SELECT DISTINCT run_id, id FROM track) a USING (run_id, id)""",
+    "run_names": WITH_TRACK
+    + """SELECT run_id, count(*) AS samples, 'data/run-' || run_id || '/' AS folder, 'run ' || run_id AS label
+  FROM track GROUP BY run_id""",
     "stats_change_points": _stats_change_points(),
     "circular_mle": _circular_mle(),
     "circular_fit": ctes(*DIR_PARTS, FIT) + "SELECT * FROM fit",

@@ -669,6 +669,22 @@ def circular_fit_error(spark, sf):
     return X.fit_error(X.circular_density(rows, "bearings", 90, ("run_id",)), fit, ("run_id",))
 
 
+@query("run_id id clustered")
+def agents_with_clustered(spark, sf):
+    """Every agent with its number of clustered samples; missing for agents that never were in a cluster."""
+    samples = tracks(spark, sf)
+    clustered = samples.where("cluster_id <> 0").groupBy("run_id", "id").agg(F.count(F.lit(1)).alias("clustered"))
+    return clustered.join(samples.select("run_id", "id").distinct(), ["run_id", "id"], "right")
+
+
+@query("run_id samples folder:string label:string")
+def run_names(spark, sf):
+    """Names of a run's files: a folder put together from its number, and the label without what precedes it."""
+    folder = F.concat(F.lit("data/run-"), F.col("run_id").cast("string"), F.lit("/"))
+    counted = tracks(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("samples")).withColumn("folder", folder)
+    return counted.withColumn("label", F.regexp_replace("folder", "^data/run-([0-9]+)/$", "run $1"))
+
+
 # --- population -----------------------------------------------------------------------
 
 AGENTS = "run_id id x:double y:double vx:double vy:double"
