@@ -180,6 +180,24 @@ def test_hull_area(spark, part, lattice):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("n,shift", [(5_000, 1000.0)])
+def test_hull_of_corners_only(spark, n, shift):
+    """Every point is a corner, so nothing shrinks; no array holds more than a bounded part of it."""
+    angle = F.col("id") * (2 * math.pi / n)
+    circle = spark.range(n).select(
+        F.lit(1).alias("time"), (F.cos(angle) * 40 + shift).alias("x"), (F.sin(angle) * 40).alias("y")
+    )
+    parabola = spark.range(n).select(
+        F.lit(2).alias("time"), F.col("id").cast("double").alias("x"), (F.col("id") * F.col("id")).cast("double").alias("y")
+    )
+    got = {r["time"]: r["hull_area"] for r in U.hull_area(circle.union(parabola), ["time"], part=512).collect()}
+    below = sum((2 * i * i + 2 * i + 1) / 2 for i in range(n - 1))
+    assert got == {
+        1: pytest.approx(n / 2 * math.sin(2 * math.pi / n) * 1600, rel=1e-9),
+        2: pytest.approx((n - 1) ** 3 / 2 - below, rel=1e-9),
+    }
+
+
 def test_skew_join(spark):
     rows = spark.createDataFrame([(i % 3, i) for i in range(30)], "k long, id long")
     table = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
