@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.ordered import running_sum
+from skein.operators.skew import skew_join
 from skein.session import cut
 
 PENALTY = 3.0  # of a change point, times log(n)
@@ -63,6 +64,14 @@ def sweep_summary(metrics: DataFrame, value: str, by: Sequence[str]) -> DataFram
     )
 
 
+def with_settings(rows: DataFrame, settings: DataFrame, key: str = "run_id") -> DataFrame:
+    """Rows with the settings of their configuration; rows of an unknown one keep missing settings.
+
+    ``settings`` has one row per ``key``. Keys that hold many rows take a lookup of their own.
+    """
+    return skew_join(rows, settings, [key], spread_by=[c for c in rows.columns if c != key])
+
+
 def describe(metrics: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return metrics.groupBy(*by).agg(
         F.min(value).alias("lowest"),

@@ -695,6 +695,22 @@ SQL |= {
     "voronoi_cells": WITH_TRACK
     + """SELECT "time", count(DISTINCT (x, y)) AS sites, 100.0 * 100.0 AS total_area FROM track GROUP BY 1""",
     "wide_to_long": WITH_V + "SELECT * FROM v",
+    "step_vectors": WITH_STEPS
+    + """SELECT id, "time",
+  CASE WHEN n = 0 THEN 0 ELSE dx / n END AS unit_x, CASE WHEN n = 0 THEN 0 ELSE dy / n END AS unit_y,
+  CASE WHEN n > 20 THEN dx * 20 / n ELSE dx END AS limited_x, CASE WHEN n > 20 THEN dy * 20 / n ELSE dy END AS limited_y,
+  CASE WHEN n > 20 THEN dx * 20 / n WHEN n > 0 AND n < 10 THEN dx * 10 / n ELSE dx END AS ensured_x,
+  CASE WHEN n > 20 THEN dy * 20 / n WHEN n > 0 AND n < 10 THEN dy * 10 / n ELSE dy END AS ensured_y,
+  CASE WHEN p = 0 THEN 0 ELSE (dx * x - dy * y) / p END AS turned_x,
+  CASE WHEN p = 0 THEN 0 ELSE (dy * x + dx * y) / p END AS turned_y,
+  (x * dy - y * dx) / nullif(n * p, 0) AS sine,
+  1 - exp(4 * least(n / 20, 1.0::DOUBLE) - 4) AS soft, 1 - 1 / (1 + exp(-15 * (least(n / 20, 1.0::DOUBLE) - 0.6))) AS sigmoid
+  FROM (SELECT *, sqrt(dx * dx + dy * dy) AS n, sqrt(x * x + y * y) AS p FROM steps WHERE dx IS NOT NULL)""",
+    "sweep_by_config": WITH_V
+    + """SELECT noise_percent, agents, avg(m) AS mean_avg_norm_vel, max(m) AS max_avg_norm_vel, count(*) AS runs
+  FROM (SELECT run_id, avg(avg_norm_vel) AS m FROM v GROUP BY 1)
+  JOIN (SELECT run_id, CAST(floor(100 * count(*) FILTER (cluster_id = 0) / count(*)) AS BIGINT) AS noise_percent,
+               count(DISTINCT id) AS agents FROM track GROUP BY 1) USING (run_id) GROUP BY 1, 2""",
     "sweep_summary": WITH_V
     + """SELECT noise_level, agents, avg(m) AS mean_avg_norm_vel, max(m) AS max_avg_norm_vel, count(*) AS runs
   FROM (SELECT run_id % 2 AS noise_level, run_id // 2 AS agents, run_id, avg(avg_norm_vel) AS m FROM v GROUP BY 1, 2, 3)
@@ -748,6 +764,9 @@ SQL |= {
     "replay_stream": ROUND_TRIP,
     "recorder_round_trip": WITH_TRACK + "SELECT * FROM track",
     "preprocessed_round_trip": ROUND_TRIP,
+    "recordings_read_back": WITH_STEPS
+    + """SELECT 'boids-data_' || run_id AS run_name, run_id % 2 = 0 AS prepared, run_id, id, "time", x, y,
+  coalesce(dx, 0) AS dx, coalesce(dy, 0) AS dy FROM steps""",
     "config_json": """SELECT event_id, printf('boids-data_%d.csv', epoch_us(ts) // 1000) AS name,
        CASE WHEN event_type = 'error' THEN 'Repulsive' ELSE 'Toroidal' END AS boundary, value * 0.05 AS strength
   FROM events""",

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions import vectors as V
 from skein.functions.angles import degree_bin
 from skein.functions.vectors import near_edge
 from skein.operators import cluster as C
@@ -26,7 +27,7 @@ from skein.plans import experiment as E
 from skein.plans.shape import shape
 from skein.plans.simulate import simulate
 from skein.schema import EVENTS, World
-from skein.session import shared_dir
+from skein.session import cut, shared_dir
 from skein.sources import recorder as IO
 from skein.sources.config import FlockConfig, parse_boundary
 from skein.sources.events import RUNS, WORLD, point_cloud, positions, read_events, tracks
@@ -71,6 +72,28 @@ def toroidal_displacement(spark, sf):
     return steps.withColumn("step", F.hypot("dx", "dy"))
 
 
+@query(
+    "id time unit_x:double unit_y:double limited_x:double limited_y:double ensured_x:double ensured_y:double "
+    "turned_x:double turned_y:double sine:double soft:double sigmoid:double"
+)
+def step_vectors(spark, sf):
+    """Every step with its direction, held to lengths, turned by the position, and its weights as a distance."""
+    steps = K.displacement(tracks(spark, sf), WORLD).where(F.col("dx").isNotNull())
+    step, at = (F.col("dx"), F.col("dy")), (F.col("x"), F.col("y"))
+    forms = {
+        "unit": V.normalize(step),
+        "limited": V.limit_length(step, 20.0),
+        "ensured": V.ensure_length(step, 10.0, 20.0),
+        "turned": V.rotate(step, V.normalize(at)),
+    }
+    near = F.least(V.norm(step) / 20, F.lit(1.0))
+    columns = {f"{name}_{c}": v[i] for name, v in forms.items() for i, c in enumerate("xy")}
+    return steps.select(
+        "id", "time", *[v.alias(name) for name, v in columns.items()], V.wedge(at, step).alias("sine"),
+        V.soft_falloff(near).alias("soft"), V.sigmoid_falloff(near).alias("sigmoid"),
+    )
+
+
 @query("id time dx:double dy:double")
 def plain_diff(spark, sf):
     return K.displacement(tracks(spark, sf), WORLD.enclosed()).where(F.col("dx").isNotNull())
@@ -612,6 +635,17 @@ def sweep_summary(spark, sf):
     return X.sweep_summary(tagged, "avg_norm_vel", ("noise_level", "agents"))
 
 
+@query("noise_percent agents mean_avg_norm_vel:double max_avg_norm_vel:double runs")
+def sweep_by_config(spark, sf):
+    """Runs looked up in a table of their settings: agents, and the share of noise in whole percent."""
+    noise = F.floor(100 * F.count(F.when(F.col("cluster_id") == 0, 1)) / F.count(F.lit(1)))
+    settings = cut(
+        tracks(spark, sf).groupBy("run_id").agg(noise.alias("noise_percent"), F.countDistinct("id").alias("agents"))
+    )
+    tagged = X.with_settings(velocity_by_run(spark, sf), settings)
+    return X.sweep_summary(tagged, "avg_norm_vel", ("noise_percent", "agents"))
+
+
 @query("run_id lowest:double highest:double mean:double n")
 def metric_summary(spark, sf):
     return X.describe(velocity_by_run(spark, sf), "avg_norm_vel", ("run_id",))
@@ -790,6 +824,18 @@ def preprocessed_round_trip(spark, sf):
     return IO.read_preprocessed(spark, path)
 
 
+@query("run_name:string prepared:boolean run_id id time x:double y:double dx:double dy:double")
+def recordings_read_back(spark, sf):
+    """A folder with a raw recording of every run and a prepared one of the even runs, read as runs."""
+    folder = f"{shared_dir(spark)}/recordings-{uuid.uuid4().hex}"
+    samples = recorded(spark, sf)
+    IO.write_recordings(samples, folder, F.format_string(f"{IO.FILE_STEM}_%d.csv", "run_id"))
+    prepared = K.preprocess(samples.where(F.col("run_id") % 2 == 0), WORLD)
+    name = F.format_string(f"{IO.PREPROCESSED_PREFIX}{IO.FILE_STEM}_%d.csv", "run_id")
+    IO.write_recordings(prepared, folder, name, mode="append")
+    return IO.recordings(spark, folder, WORLD)
+
+
 @query("event_id name:string boundary:string strength:double")
 def config_json(spark, sf):
     """Tagged boundary settings per event, written and parsed as JSON."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +62,48 @@ def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("*", name.alias("run_name"))
 
 
+def write_recordings(samples: DataFrame, folder: str, name: Column, mode: str = "overwrite") -> None:
+    """One CSV recording per value of ``name``, a column of names as ``file_name`` gives them.
+
+    A recording is a folder of part files called after it, so a long run is written by many tasks.
+    Prepared recordings hold the columns of PREPROCESSED; all others those of SAMPLES.
+    """
+    columns = (PREPROCESSED if "dx" in samples.columns else SAMPLES).names
+    samples.select(name.alias("recording"), *columns).hint("rebalance", "recording").write.mode(mode).partitionBy(
+        "recording"
+    ).option("header", True).csv(folder)
+
+
+def recordings(spark: SparkSession, folder: str, world: World, names: Sequence[str] | None = None) -> DataFrame:
+    """Every recording in a folder as prepared samples: run_name, prepared, run_id and the columns of PREPROCESSED.
+
+    A recording is a file ``boids-data*.csv`` or a folder of part files called like that. Where it has a prepared
+    twin (``prepro_`` before the name), the twin is read and the raw one is not. The number in the name is the run;
+    a name without one gives its hash. ``names`` (without prefix and ending) restricts the files that are read.
+    """
+    path = F.col("_metadata.file_path")
+    stem = rf"[/=]({PREPROCESSED_PREFIX})?({FILE_STEM}[^/]*)\.csv(/|$)"
+
+    def read(schema: T.StructType, prepared: bool) -> DataFrame:
+        run_name = F.regexp_extract(path, stem, 2)
+        rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(folder)
+        kept = (run_name != "") & ((F.regexp_extract(path, stem, 1) != "") == F.lit(prepared))
+        if names is not None:
+            kept = kept & run_name.isin(list(names))
+        return rows.where(kept).select(run_name.alias("run_name"), F.lit(prepared).alias("prepared"), "*")
+
+    number = F.regexp_extract("run_name", r"_(\d+)$", 1).try_cast("long")
+    run_id = F.coalesce(number, F.xxhash64("run_name"))
+    # names of files, not rows: the driver holds the list of files anyway
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    twins = files.where(F.regexp_extract("path", stem, 1) != "").select(
+        F.regexp_extract("path", stem, 2).alias("run_name")
+    )
+    raw = read(SAMPLES, False).join(F.broadcast(twins.distinct()), "run_name", "left_anti")
+    steps = preprocess(raw.withColumn("run_id", run_id), world)
+    return read(PREPROCESSED, True).withColumn("run_id", run_id).unionByName(steps)
+
+
 def write_preprocessed(samples: DataFrame, world: World, path: str) -> None:
     """Samples with displacements as a Parquet table, one folder per run.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import population as P
 from skein.operators import rules as R
+from skein.operators import stats
 from skein.operators.skew import Skew
 from skein.operators.tracks import preprocess
 from skein.plans.experiment import run_experiment
@@ -168,3 +169,31 @@ def test_stream_of_a_table_of_parts_equals_the_batch(spark, tmp_path):
     batch = Q.run("preprocessed_round_trip", spark, "/root/testdata/sf0.001")
     stream = Q.run("replay_stream", spark, str(tmp_path)).select(*batch.columns)
     assert stream.count() == batch.count() and stream.exceptAll(batch).count() == 0
+
+
+def test_recordings_of_a_folder(spark, tmp_path):
+    """Single files and folders of part files; a prepared twin wins; files of other names are left alone."""
+    raw, prepared = "id,x,y,cluster_id,n_neighbours,time", "id,x,y,dx,dy,cluster_id,n_neighbours,time"
+    (tmp_path / "boids-data_7.csv").write_text(f"{raw}\n1,0.5,0.5,0,0,1\n1,2.5,0.5,0,0,2\n")
+    (tmp_path / "boids-data_8.csv").write_text(f"{raw}\n1,9.5,9.5,0,0,1\n")
+    (tmp_path / "prepro_boids-data_8.csv").write_text(f"{prepared}\n1,3.5,3.5,1.5,0.0,0,0,1\n")
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    nested = tmp_path / "prepro_boids-data_9.csv"
+    nested.mkdir()
+    for i in (1, 2):
+        (nested / f"part-{i}.csv").write_text(f"{prepared}\n{i},4.5,4.5,0.0,2.5,0,0,1\n")
+    read = ["run_id", "prepared", "id", "time", "x", "dx", "dy"]
+    everything = [
+        (7, False, 1, 1, 0.5, 0.0, 0.0), (7, False, 1, 2, 2.5, 2.0, 0.0), (8, True, 1, 1, 3.5, 1.5, 0.0),
+        (9, True, 1, 1, 4.5, 0.0, 2.5), (9, True, 2, 1, 4.5, 0.0, 2.5),
+    ]
+    for names, runs in ((None, (7, 8, 9)), (["boids-data_7"], (7,)), (["boids-data_8"], (8,)), ([], ())):
+        got = recorder.recordings(spark, str(tmp_path), WORLD, names).select(*read).collect()
+        assert sorted(map(tuple, got)) == [r for r in everything if r[0] in runs]
+
+
+def test_settings_of_runs(spark):
+    rows = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.7), (2, 1, 0.1)], "run_id long, time long, m double")
+    settings = spark.createDataFrame([(1, "calm")], "run_id long, mood string")
+    got = stats.with_settings(rows, settings).select("run_id", "time", "mood").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "calm"), (1, 2, "calm"), (2, 1, None)]
