@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import angles
+from skein.session import cut
 
 
 def directional_counts(rows: DataFrame, bins: int, by: Sequence[str] = ()) -> DataFrame:
@@ -32,7 +33,7 @@ def directional_counts(rows: DataFrame, bins: int, by: Sequence[str] = ()) -> Da
         )
     ).alias("m")
     # a row whose angle falls in no bin still makes its group present
-    counted = (
+    counted = cut(
         rows.select(*by, marks)
         .groupBy(*by, F.col("m.bin").alias("bin"))
         .agg(F.sum("m.h").alias("heading_count"), F.sum("m.b").alias("bearing_count"))

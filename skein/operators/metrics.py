@@ -91,6 +91,7 @@ def mean_or_missing(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame
 
 def zscores(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ("run_id",)) -> DataFrame:
     """Standardises columns within a group, from aggregated moments instead of a wide window."""
+    rows = cut(rows)  # read for the moments, the crowded groups and the result
     moments = rows.groupBy(*by).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in columns],
         *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns],

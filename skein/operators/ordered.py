@@ -5,7 +5,8 @@ one agent holds a large share of the table. Samples carry a dense 1-based index,
 so an agent can be cut into slices of fixed length: rows near a slice edge are
 copied into the neighbouring slice ("halo"), windows run per slice, and the
 copies are dropped again. Running totals add the sum of earlier slices, which
-comes from a small table with one row per slice.
+comes from a small table with one row per slice. Operators that read their rows
+twice write them first, so that what made the rows runs once.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skein.schema import AGENT
+from skein.session import cut
 
 SLICE = 1 << 17  # samples of one agent handled by one task
+FRAMES = 1 << 10  # times of one run whose blocks are added up by one task
 
 
 def _slice_of(position: Column, size: int) -> Column:
@@ -33,17 +36,17 @@ def sample_index(
     added. No task holds more than one hour of one key.
     """
     hour = F.datediff(F.to_date(instant), F.lit("1970-01-01")) * 24 + F.hour(instant)
-    cut = df.withColumn("_hour", hour)
+    hourly = df.withColumn("_hour", hour)
     by_key = [*key, "_hour"]
     before = (
-        cut.groupBy(*by_key)
+        hourly.groupBy(*by_key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.sum("_n").over(Window.partitionBy(*key).orderBy("_hour")) - F.col("_n"))
         .drop("_n")
     )
     within = Window.partitionBy(*by_key).orderBy(instant, *ties)
     return (
-        cut.withColumn("_rank", F.row_number().over(within))
+        hourly.withColumn("_rank", F.row_number().over(within))
         .join(before, by_key)
         .withColumn(out, (F.col("_before") + F.col("_rank")).cast("long"))
         .drop("_hour", "_rank", "_before")
@@ -86,8 +89,8 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sums (new name -> summed expression) along ``seq`` within ``key``."""
     size = size or SLICE
-    cut = df.withColumn("_slice", _slice_of(F.col(seq) - 1, size))
-    totals = cut.groupBy(*key, "_slice").agg(
+    sliced = cut(df.withColumn("_slice", _slice_of(F.col(seq) - 1, size)))
+    totals = sliced.groupBy(*key, "_slice").agg(
         *[F.sum(c).alias(f"_sum_{n}") for n, c in columns.items()]
     )
     earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,8 +103,8 @@ def running_sum(
         Window.partitionBy(*key, "_slice").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     )
     for name, expr in columns.items():
-        cut = cut.withColumn(f"_run_{name}", F.sum(expr).over(inside))
-    joined = cut.join(offsets, [*key, "_slice"])
+        sliced = sliced.withColumn(f"_run_{name}", F.sum(expr).over(inside))
+    joined = sliced.join(offsets, [*key, "_slice"])
     for name in columns:
         joined = joined.withColumn(name, F.col(f"_run_{name}") + F.col(f"_off_{name}"))
     return joined.drop("_slice", *[f"_{p}_{n}" for p in ("run", "off") for n in columns])
@@ -118,9 +121,9 @@ def fill_forward(
 ) -> DataFrame:
     """Last non-NULL value of ``column`` up to and including each row."""
     size = size or SLICE
-    cut = df.withColumn("_slice", _slice_of(F.col(seq) - 1, size))
+    sliced = cut(df.withColumn("_slice", _slice_of(F.col(seq) - 1, size)))
     known = F.when(F.col(column).isNotNull(), F.col(seq))
-    ends = cut.groupBy(*key, "_slice").agg(F.max_by(column, known).alias("_end"))
+    ends = sliced.groupBy(*key, "_slice").agg(F.max_by(column, known).alias("_end"))
     earlier = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         *key, "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_carried")
@@ -129,7 +132,7 @@ def fill_forward(
         Window.partitionBy(*key, "_slice").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        cut.withColumn("_seen", F.last(column, ignorenulls=True).over(inside))
+        sliced.withColumn("_seen", F.last(column, ignorenulls=True).over(inside))
         .join(carried, [*key, "_slice"])
         .withColumn(out, F.coalesce("_seen", "_carried"))
         .drop("_slice", "_seen", "_carried")
@@ -137,29 +140,37 @@ def fill_forward(
 
 
 def run_rank(
-    df: DataFrame, out: str, *, descending: bool = False, id_block: int = SLICE
+    df: DataFrame, out: str, *, descending: bool = False, id_block: int = SLICE, frames: int = FRAMES
 ) -> DataFrame:
     """Position of each row within its run by (time, id), and the run's row count.
 
-    Rows are numbered per (time, block of ids); the counts of earlier blocks are
-    added, so one long run is spread over many tasks.
+    Rows are numbered per (time, block of ids). The counts of earlier blocks are added up within
+    chunks of ``frames`` times and those of earlier chunks from sums of chunks, so one long run is
+    spread over many tasks: a window over a run sees one row per chunk.
     """
     def order(name: str) -> Column:
         return F.desc(name) if descending else F.asc(name)
 
-    cut = df.withColumn("_block", _slice_of(F.col("id"), id_block))
-    by_block = ["run_id", "time", "_block"]
-    counts = cut.groupBy(*by_block).agg(F.count(F.lit(1)).alias("_n"))
-    through = Window.partitionBy("run_id").orderBy(order("time"), order("_block"))
-    offsets = counts.select(
-        *by_block,
-        (F.sum("_n").over(through) - F.col("_n")).alias("_before"),
+    def before(window: WindowSpec) -> Column:
+        return F.sum("_n").over(window) - F.col("_n")
+
+    chunk, block = _slice_of(F.col("time"), frames), _slice_of(F.col("id"), id_block)
+    placed = cut(df.withColumns({"_chunk": chunk, "_block": block}))
+    by_block = ["run_id", "_chunk", "time", "_block"]
+    counts = cut(placed.groupBy(*by_block).agg(F.count(F.lit(1)).alias("_n")))
+    chunks = counts.groupBy("run_id", "_chunk").agg(F.sum("_n").alias("_n"))
+    starts = chunks.select(
+        "run_id",
+        "_chunk",
+        before(Window.partitionBy("run_id").orderBy(order("_chunk"))).alias("_start"),
         F.sum("_n").over(Window.partitionBy("run_id")).alias(f"{out}_of"),
     )
+    inside = Window.partitionBy("run_id", "_chunk").orderBy(order("time"), order("_block"))
+    offsets = counts.withColumn("_before", before(inside)).join(starts, ["run_id", "_chunk"]).drop("_n")
     within = Window.partitionBy(*by_block).orderBy(order("id"))
     return (
-        cut.withColumn("_rank", F.row_number().over(within))
+        placed.withColumn("_rank", F.row_number().over(within))
         .join(offsets, by_block)
-        .withColumn(out, (F.col("_before") + F.col("_rank")).cast("long"))
-        .drop("_block", "_rank", "_before")
+        .withColumn(out, (F.col("_start") + F.col("_before") + F.col("_rank")).cast("long"))
+        .drop("_chunk", "_block", "_rank", "_before", "_start")
     )

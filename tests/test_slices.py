@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skein.operators import histograms, metrics
 from skein.operators import ordered as O
 from skein.operators import tracks as K
+from skein.plans import queries
+from skein.session import cut
 from skein.sources.events import WORLD, tracks
 
 SF = "/root/testdata/sf0.001"
@@ -43,7 +46,28 @@ def test_slices_equal_whole_agents(samples, build, size):
 @pytest.mark.parametrize("descending", [False, True])
 def test_rank_by_blocks(samples, descending):
     whole = O.run_rank(samples, "row", descending=descending)
-    assert rows(O.run_rank(samples, "row", descending=descending, id_block=2)) == rows(whole)
+    assert rows(O.run_rank(samples, "row", descending=descending, id_block=2, frames=3)) == rows(whole)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["timeline_facets", "facet_direction_counts", "subsample_tracks", "zscore_ma", "cumulative_path", "track_segments"],
+)
+def test_events_are_read_twice_at_most(spark, monkeypatch, name):
+    """Once for the counts of hours and once for the rows, over all jobs of the query."""
+    scans = []
+
+    def scanned(df):
+        scans.append(df._jdf.queryExecution().executedPlan().toString().count("events.parquet"))
+
+    def counting(df):
+        scanned(df)
+        return cut(df)
+
+    for module in (O, metrics, histograms):
+        monkeypatch.setattr(module, "cut", counting)
+    scanned(queries.run(name, spark, SF))
+    assert 0 < sum(scans) <= 2
 
 
 def test_sample_index_is_dense(samples):
