@@ -5,6 +5,9 @@ sites. It is final when all further sites are more than twice as far as its
 farthest corner. Otherwise its corners are checked: a corner closer to another
 site than to its own shows a bisector that is missing. Clipping and checking
 repeat until no corner is closer to another site, which is exact.
+
+Relaxed sites start from the neighbours they had before. Cells that are clipped by
+some sites hold the exact ones, so their areas add up to the world only if all are exact.
 """
 
 from __future__ import annotations
@@ -12,15 +15,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.nearest import Pyramid, _fine, nearest, search
-from skein.operators.skew import Skew
+from skein.operators.skew import Skew, skew_join
 from skein.schema import World
 from skein.session import cut
 
 FIRST = 16  # nearest sites that clip a cell before its corners are checked
+AT_ONCE = 8  # sites a corner may add to its cell in one check
+HUB = 32  # neighbours of a site whose list others don't take over after a move
 RELAXATIONS = 5  # fixed value: Lloyd relaxations before areas are taken
 _RING = "array<struct<x:double,y:double>>"
 # A corner that also knows the site beyond the edge that starts there; none beyond the world's border.
@@ -87,6 +92,17 @@ def _farthest_sq(ring: Column, x: Column, y: Column) -> Column:
     return F.array_max(far)
 
 
+def _key(frame: Sequence[str]) -> list[str]:
+    return [*frame, "id"]
+
+
+def _box(world: World, kind: str) -> Column:
+    w, h = world.width / 2, world.height / 2
+    border = [F.lit(None).alias(c) for c in ("nx", "ny") if kind == _LABELLED]
+    corners = ((-w, -h), (w, -h), (w, h), (-w, h))
+    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), *border) for x, y in corners]).cast(kind)
+
+
 def cells(
     sites: DataFrame,
     world: World,
@@ -102,22 +118,14 @@ def cells(
     """
     kind = _LABELLED if labelled else _RING
     frame = list(frame)
-    key = [*frame, "id"]
-    w, h = world.width / 2, world.height / 2
-    extent = float(max(world.width, world.height))
-    box = F.array(
-        *[
-            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), *[F.lit(None).alias(c) for c in ("nx", "ny") if labelled])
-            for x, y in ((-w, -h), (w, -h), (w, h), (-w, h))
-        ]
-    ).cast(kind)
+    key = _key(frame)
     near = nearest(sites, FIRST, world, frame, skew=skew)
     lists = near.groupBy(*key).agg(
         F.sort_array(
             F.collect_list(F.struct("dist", F.col("x2").alias("x"), F.col("y2").alias("y")))
         ).alias("others")
     )
-    first = sites.select(*key, "x", "y").join(lists, key, "left").withColumn("ring", box)
+    first = sites.select(*key, "x", "y").join(lists, key, "left").withColumn("ring", _box(world, kind))
     # a site alone in its frame keeps the whole world
     others = F.coalesce("others", F.array().cast("array<struct<dist:double,x:double,y:double>>"))
     first = _clip_all(first.withColumn("others", others), "others", kind)
@@ -131,42 +139,120 @@ def cells(
             *key, "x", "y", "ring", "done"
         )
     )
+    return _checked(first, sites, world, frame, kind, skew)
+
+
+def _checked(first: DataFrame, sites: DataFrame, world: World, frame: list[str], kind: str, skew: Skew) -> DataFrame:
+    """Exact cells from rings that hold them: corners are checked until none is closer to another site.
+
+    ``first`` (frame, id, x, y, ring, done) is written; ``done`` cells are known to be exact. A corner adds the
+    AT_ONCE closest of the sites that beat its own; a clip that changes nothing ends a cell, so rounding can't keep
+    it open.
+    """
+    key = _key(frame)
     done = first.where("done").drop("done")
     open_cells = first.where("not done").drop("done")
-
+    if open_cells.isEmpty():
+        return done
+    extent = float(max(world.width, world.height))
     square = Pyramid(-extent / 2, -extent / 2, extent)
     spots = cut(
         _fine(sites.select(*frame, "x", "y", F.array("id").alias("ids"), F.lit(1).alias("n")), square)
     )
     hot_rows = skew.needed(spots.count()).key_rows
+    spot = [*frame, "x", "y"]
+    closest = Window.partitionBy(*spot).orderBy("d2", "x2", "y2")
     while not open_cells.isEmpty():
         corners = open_cells.select(
             *key, F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode("ring").alias("p")
         ).select(*key, "sx", "sy", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-        spot = [*frame, "x", "y"]
         asked = _fine(corners.select(*spot).distinct(), square)
         best = (
             search(asked, spots, 1, square, frame, hot_rows)
+            .withColumn("_r", F.row_number().over(closest))
+            .where(F.col("_r") <= AT_ONCE)
             .groupBy(*spot)
-            .agg(F.min_by(F.struct("d2", "x2", "y2"), F.struct("d2", "x2", "y2")).alias("b"))
+            .agg(F.collect_list(F.struct("d2", F.col("x2").alias("x"), F.col("y2").alias("y"))).alias("b"))
         )
         own = (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2
+        closer = F.filter("b", lambda q: q["d2"] < own * (1 - 1e-9) - 1e-12)
         missing = (
             corners.join(best, spot)
-            .where(F.col("b.d2") < own * (1 - 1e-9) - 1e-12)
+            .withColumn("q", F.explode(closer))
             .groupBy(*key)
-            .agg(F.collect_set(F.struct(F.col("b.x2").alias("x"), F.col("b.y2").alias("y"))).alias("m"))
+            .agg(F.collect_set(F.struct("q.x", "q.y")).alias("m"))
         )
+        checked = open_cells.withColumn("was", F.col("ring")).join(missing, key, "left")
         some = F.coalesce("m", F.array().cast(_RING))
-        checked = open_cells.join(missing, key, "left").withColumns(
-            {"m": some, "whole": F.col("m").isNull()}
-        )
-        checked = cut(_clip_all(checked, "m", kind).drop("m"))
+        checked = _clip_all(checked.withColumn("m", some), "m", kind)
+        checked = cut(checked.withColumn("whole", F.col("ring") == F.col("was")).drop("m", "was"))
         done = done.unionByName(checked.where("whole").drop("whole"))
         open_cells = checked.where("not whole").drop("whole")
     return done
 
 
+def moved_cells(
+    before: DataFrame,
+    sites: DataFrame,
+    world: World,
+    frame: Sequence[str] = ("time",),
+    *,
+    skew: Skew = Skew(),
+) -> DataFrame:
+    """Labelled cells of ``sites`` that were at the places of ``before`` (labelled cells, written) and have moved.
+
+    A cell is clipped by its old neighbours and theirs, at their new places; no search is made for that. Such cells hold
+    the exact ones, so a frame whose areas add up to the world has nothing but exact cells. Corners are checked
+    in the other frames only. The neighbours of a site with over HUB of them are not handed on: they
+    would be handed to each other.
+    """
+    frame = list(frame)
+    key = _key(frame)
+    places = before.select(*key, F.col("x").alias("nx"), F.col("y").alias("ny")).join(
+        sites.select(*key, "x", "y"), key
+    )
+    edges = before.select(*key, F.explode("ring").alias("p")).select(*key, "p.nx", "p.ny").where("nx IS NOT NULL")
+    pairs = cut(
+        edges.distinct()
+        .join(places.withColumnRenamed("id", "id2"), [*frame, "nx", "ny"])
+        .select(*key, "id2", "x", "y")
+    )
+    lists = cut(pairs.groupBy(*key).agg(F.collect_list(F.struct(F.col("id2").alias("id"), "x", "y")).alias("one")))
+    theirs = lists.where(F.size("one") <= HUB).select(*frame, F.col("id").alias("id2"), F.col("one").alias("two"))
+    two = (
+        pairs.select(*key, "id2").join(theirs, [*frame, "id2"])
+        .groupBy(*key)
+        .agg(F.flatten(F.collect_list("two")).alias("two"))
+    )
+    none = F.array().cast("array<struct<id:long,x:double,y:double>>")
+    around = F.array_distinct(F.concat(F.coalesce("one", none), F.coalesce("two", none)))
+    x, y = F.col("x"), F.col("y")
+    by_distance = F.sort_array(
+        F.transform(
+            F.filter(around, lambda q: q["id"] != F.col("id")),
+            lambda q: F.struct(
+                ((q["x"] - x) * (q["x"] - x) + (q["y"] - y) * (q["y"] - y)).alias("d2"),
+                q["x"].alias("x"),
+                q["y"].alias("y"),
+            ),
+        )
+    )
+    first = (
+        sites.select(*key, "x", "y")
+        .join(lists, key, "left")
+        .join(two, key, "left")
+        .withColumns({"others": by_distance, "ring": _box(world, _LABELLED)})
+    )
+    first = _clip_all(first, "others", _LABELLED)
+    first = cut(first.select(*key, "x", "y", "ring", (F.abs(_along(F.col("ring"), _cross)) / 2).alias("area")))
+    whole = world.width * world.height
+    exact = first.groupBy(*frame).agg((F.sum("area") <= F.lit(whole * (1 + 1e-11))).alias("done"))
+    marked = skew_join(
+        first.drop("area"), cut(exact), frame, spread_by=["id"], hot_rows=skew.needed(first.count()).key_rows
+    )
+    return _checked(cut(marked), sites, world, frame, _LABELLED, skew)
+
+
 def relaxed_areas(
     points: DataFrame,
     world: World,
@@ -183,8 +269,10 @@ def relaxed_areas(
     sites = cut(points.groupBy(*frame, "x", "y").agg(F.min("id").alias("id")))
     ring = F.col("ring")
     twice = _along(ring, _cross)
+    found = cells(sites, world, frame, skew=skew, labelled=relaxations > 0)
     for _ in range(relaxations):
-        found = cells(sites, world, frame, skew=skew).withColumns(
+        found = cut(found)
+        centres = found.withColumns(
             {
                 "twice": twice,
                 "mx": _along(ring, lambda a, b: (a["x"] + b["x"]) * _cross(a, b)),
@@ -192,16 +280,15 @@ def relaxed_areas(
             }
         )
         sites = cut(
-            found.select(
+            centres.select(
                 *frame,
                 "id",
                 F.coalesce(F.try_divide("mx", F.col("twice") * 3), "x").alias("x"),
                 F.coalesce(F.try_divide("my", F.col("twice") * 3), "y").alias("y"),
             )
         )
-    return cells(sites, world, frame, skew=skew).select(
-        *frame, "id", (F.abs(twice) / 2).alias("area")
-    )
+        found = moved_cells(found, sites, world, frame, skew=skew)
+    return found.select(*frame, "id", (F.abs(twice) / 2).alias("area"))
 
 
 def occupancy(
