@@ -2,8 +2,10 @@
 
 A rule looks at one text and says whether to reject it. Each task measures every
 rule's time and rejections on its first ``sample`` texts, then asks the rules in the
-order of rejections per second and stops at the first that rejects. The verdict is
-the disjunction of the rules, so it doesn't depend on the order a task finds.
+order of rejections per second and stops at the first that rejects. A rule is timed on
+forms of its own, so none pays for what another has made. The verdict is the disjunction
+of the rules, so it doesn't depend on the order a task finds. ``keep`` has the base rules
+in the cascade, too; ``quality`` returns their measures and so takes them for every text.
 
 Nulls and empties: a null text counts as empty, an empty text has no words and fails
 the base rules, a null doc_id stays null, equal rows get equal results, extra columns
@@ -36,6 +38,7 @@ class Text:
         self.word_chars = len(text) - sum(map(text.count, SPACES))
         self._lines: list[str] | None = None
         self._symbols: int | None = None
+        self._repeated: int | None = None
 
     @property
     def lines(self) -> list[str]:
@@ -55,6 +58,11 @@ class Text:
 
     def repeated_words(self) -> int:
         """Words inside a five-word window that occurs at least twice."""
+        if self._repeated is None:
+            self._repeated = self._count_repeated()
+        return self._repeated
+
+    def _count_repeated(self) -> int:
         n = len(self.words) - WINDOW + 1
         if n < 2:
             return 0
@@ -105,6 +113,16 @@ def _mostly_digits(t: Text) -> bool:
     return sum(map(t.text.count, "0123456789")) > 0.7 * t.word_chars
 
 
+def _few_words(t: Text) -> bool:
+    return len(t.words) < 10
+
+
+def _repeated_windows(t: Text) -> bool:
+    return 100 * t.repeated_words() > 20 * len(t.words)
+
+
+BASE = (Rule("few_words", _few_words), Rule("repeated_windows", _repeated_windows))
+
 RULES = (
     Rule("many_symbols", _many_symbols),
     Rule("odd_word_length", _odd_word_length),
@@ -132,8 +150,9 @@ class Cascade:
             return any(rule.rejects(text) for rule in self.order)
         verdict = False
         for rule in self.rules:
+            fresh = Text(text.text)
             start = time.perf_counter()
-            said = bool(rule.rejects(text))
+            said = bool(rule.rejects(fresh))
             self.spent[rule.name] += time.perf_counter() - start
             self.rejected[rule.name] += said
             verdict |= said
@@ -157,7 +176,7 @@ def _measure(rules: Sequence[Rule], sample: int):
         def row(did: int, text: str) -> tuple:
             t = Text(text)
             n, repeated = len(t.words), t.repeated_words()
-            failed = n < 10 or 100 * repeated > 20 * n
+            failed = any(rule.rejects(t) for rule in BASE)
             kept = not failed and not cascade.rejects(t)
             return did, n, t.word_chars, t.symbols, t.dup_lines, repeated, failed, kept
 
@@ -173,21 +192,15 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPLE
 
 
 def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with all their columns, in one pass."""
+    """The rows of ``docs`` that neither a base rule nor one of ``rules`` rejects, with all their columns, in one pass."""
     columns = docs.columns
     at = columns.index("text")
     target = docs.schema
 
     def task(batches):
-        cascade = Cascade(rules, sample)
+        cascade = Cascade((*BASE, *rules), sample)
         for batch in batches:
-            good = []
-            for text in batch.column(at).to_pylist():
-                t = Text(text or "")
-                n = len(t.words)
-                good.append(
-                    n >= 10 and 100 * t.repeated_words() <= 20 * n and not cascade.rejects(t)
-                )
+            good = [not cascade.rejects(Text(text or "")) for text in batch.column(at).to_pylist()]
             yield batch.filter(_mask(good))
 
     return docs.mapInArrow(task, target)
