@@ -383,6 +383,20 @@ def test_stages(spark, docs, sf, tmp_path):
         before = after
 
 
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_stages_on_odd_and_no_rows(spark, request, sf, tmp_path, rows):
+    before = request.getfixturevalue(rows)
+    columns = before.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = str(tmp_path / str(k))
+        stage(spark, before, sf).write.parquet(path)
+        after, n = spark.read.parquet(path), before.count()
+        assert k == 4 or after.columns == columns
+        assert after.count() == n if k in (1, 3, 4) else after.count() <= n
+        before = after
+    assert (before.count() > 0) == (rows == "odd")
+
+
 def test_the_mix_survives_many_files(spark, tmp_path):
     sizes = {"a": 3000, "b": 150, "c": 800}
     rows = [(1000 * k * k + i, f"text {i}", s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
