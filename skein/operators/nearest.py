@@ -53,17 +53,18 @@ class Pyramid:
         return fit
 
 
-def _spots(points: DataFrame, frame: list[str], k: int) -> DataFrame:
-    """Occupied positions with their agents: the count and the k + 1 smallest ids."""
+def _spots(points: DataFrame, frame: list[str], k: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Occupied positions with their agents: the count and the k + 1 smallest ids, as structs with ``carry`` if any."""
     here = Window.partitionBy(*frame, "x", "y").orderBy("id")
     first = (
-        points.select(*frame, "x", "y", "id")
+        points.select(*frame, "x", "y", "id", *carry)
         .withColumn("_r", F.row_number().over(here))
         .where(F.col("_r") <= k + 1)
     )
+    agent = F.struct("id", *carry) if carry else F.col("id")
     # counts beyond k + 1 are never needed
     return first.groupBy(*frame, "x", "y").agg(
-        F.sort_array(F.collect_list("id")).alias("ids"), F.count(F.lit(1)).alias("n")
+        F.sort_array(F.collect_list(agent)).alias("ids"), F.count(F.lit(1)).alias("n")
     )
 
 

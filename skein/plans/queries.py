@@ -345,7 +345,7 @@ def fov_neighbours(spark, sf):
 
 @query("time id id2 rank dist:double")
 def capped_neighbours(spark, sf):
-    return S.nearest_within(tracks(spark, sf), RADIUS, 3, WORLD)
+    return S.nearest_within(tracks(spark, sf).select("time", "id", "x", "y"), RADIUS, 3, WORLD)
 
 
 @query("time id cluster_id")

@@ -205,3 +205,33 @@ def test_skew_join(spark):
         got = skew_join(rows, table, ["k"], spread_by=["id"], hot_rows=hot)
         assert {(r["id"], r["v"]) for r in got.collect()} == {(i, {0: "a", 1: "b"}.get(i % 3)) for i in range(30)}
         assert skew_join(rows, table, ["k"], spread_by=["id"], how="inner", hot_rows=hot).count() == 20
+
+
+def brute_closest(points, radius, k, world):
+    pairs = {}
+    for a, b in itertools.product(points, points):
+        d = apart(a, b, world)
+        if a[0] == b[0] and a[1] != b[1] and d <= radius**2:
+            pairs.setdefault(a[:2], []).append((math.sqrt(d), b[1]))
+    return {(*key, i + 1): b for key, near in pairs.items() for i, (_, b) in enumerate(sorted(near)[:k])}
+
+
+@pytest.mark.parametrize("toroidal", [True, False])
+@pytest.mark.parametrize("radius", [7, 49, 60])
+def test_neighbour_cap_equals_brute_force(spark, toroidal, radius):
+    world = World(100, 100, toroidal)
+    edge = [(1, 500, 50.0, 3.0), (1, 501, -50.0, 3.0), (1, 502, 49.0, 50.0), (1, 503, -49.5, -50.0), (3, 504, 0.0, 0.0)]
+    points = cloud(radius, 80, lattice=True, dense=30) + edge
+    rows = frame(spark, [*points, (1, 600, None, 1.0)])
+    got = S.nearest_within(rows, radius, 3, world).collect()
+    assert {(r.time, r.id, r["rank"]): r.id2 for r in got} == brute_closest(points, radius, 3, world)
+    assert all(abs(math.hypot(r.ox, r.oy) - r.dist) < 1e-9 for r in got)
+
+
+def test_neighbour_cap_pairs_no_crowd(spark, monkeypatch):
+    """Three neighbours are found without the pairs of a radius, of which there are 640,000 here."""
+    monkeypatch.setattr(S, "placed_neighbours", None)
+    points = spark.range(800).selectExpr("1L AS time", "id", "double(id % 2) AS x", "double(id % 4 DIV 2) AS y")
+    got = S.nearest_within(points, 7.0, 3, World(100, 100)).collect()
+    assert len(got) == 2400
+    assert {r.id2 for r in got if r.id > 100} == {0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11}
