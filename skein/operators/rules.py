@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
 from skein.operators.skew import Skew, skew_join
-from skein.operators.spatial import Grid, cell_join, closest, occupied, placed_neighbours, prepared
+from skein.operators.spatial import Grid, cell_join, closest_within, occupied, prepared
 from skein.session import cut
 from skein.sources.config import FlockConfig
 
@@ -66,24 +66,21 @@ def perceive(
 
 def _perceive_capped(state, config: FlockConfig, frame, *, skew) -> DataFrame:
     """The same with at most ``neighbours_considered`` closest neighbours per agent."""
-    pairs = placed_neighbours(state, config.reach, config.world, frame, skew=skew)
-    kept = closest(pairs, config.neighbours_considered, frame)
-    other = state.select(
-        *frame, F.col("id").alias("id2"), F.col("vx").alias("vx2"), F.col("vy").alias("vy2")
+    others = ["x2", "y2", "vx2", "vy2"]
+    found = closest_within(
+        state, config.reach, config.neighbours_considered, config.world, frame, ("vx", "vy"), skew=skew
     )
-    kept = kept.join(other, [*frame, "id2"]).select(
-        *state.columns, "x2", "y2", "vx2", "vy2", F.lit(1).alias("n2"), F.lit(0).alias("own")
-    )
-    alone = state.select(
-        "*",
-        F.col("x").alias("x2"),
-        F.col("y").alias("y2"),
-        F.col("vx").alias("vx2"),
-        F.col("vy").alias("vy2"),
-        F.lit(1).alias("n2"),
-        F.lit(1).alias("own"),
-    )
-    return _sums(kept.unionByName(alone), config, [*frame, "id"], state.columns)
+
+    def entry(own: int, values: list[Column]) -> Column:
+        return F.struct(*[v.alias(c) for v, c in zip(values, others)], F.lit(own).alias("own"))
+
+    itself = F.array(entry(1, [F.col(c[:-1]) for c in others]))
+    kept = F.transform("near", lambda p: entry(0, [p[c] for c in others]))
+    near = found.select(*state.columns, F.explode(F.concat(itself, F.coalesce(kept, F.array().cast(
+        "array<struct<x2:double,y2:double,vx2:double,vy2:double,own:int>>"
+    )))).alias("p"))
+    near = near.select(*state.columns, *[f"p.{c}" for c in others], F.lit(1).alias("n2"), "p.own")
+    return _sums(near, config, [*frame, "id"], state.columns)
 
 
 def _sums(near: DataFrame, config: FlockConfig, keys: list[str], columns: list[str]) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from skein.operators import cluster as C
 from skein.operators import hull as U
 from skein.operators import nearest as N
+from skein.operators import rules as R
 from skein.operators import spatial as S
 from skein.operators.skew import Skew, skew_join
 from skein.schema import World
+from skein.sources.config import FlockConfig
 
 EVERYTHING_HOT = Skew(cell_rows=2, key_rows=2)
 
@@ -235,3 +237,15 @@ def test_neighbour_cap_pairs_no_crowd(spark, monkeypatch):
     got = S.nearest_within(points, 7.0, 3, World(100, 100)).collect()
     assert len(got) == 2400
     assert {r.id2 for r in got if r.id > 100} == {0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11}
+
+
+def test_capped_perception_pairs_no_crowd(spark, monkeypatch):
+    """A capped tick copies no agent into touching cells, which is where the pairs of a radius come from."""
+    config = FlockConfig(width=100, height=100, sensory_distance=7.0, neighbours_considered=3)
+    rows = [(1, i, float(i % 3), 0.0, float(i), 1.0, 0.0, 0.0, 0.0) for i in range(30)] + [(1, 99, 30.0, 30.0, 1.0, 1.0, 0.0, 0.0, 0.0)]
+    state = spark.createDataFrame(rows, "time long, id long, " + ", ".join(f"{c} double" for c in R.STATE))
+    monkeypatch.setattr(S.Grid, "spread", None)
+    got = {r.id: r for r in R.perceive(state, config).collect()}
+    assert len(got) == 31 and got[99].n_neighbours == 0
+    assert {r.n_neighbours for i, r in got.items() if i != 99} == {3}
+    assert got[0].coh_x == 0.0 and got[29].coh_x == 0.0
