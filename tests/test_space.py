@@ -13,6 +13,7 @@ from skein.operators import nearest as N
 from skein.operators import rules as R
 from skein.operators import spatial as S
 from skein.operators.skew import Skew, skew_join
+from skein.plans import queries
 from skein.schema import World
 from skein.sources.config import FlockConfig
 
@@ -249,3 +250,24 @@ def test_capped_perception_pairs_no_crowd(spark, monkeypatch):
     assert len(got) == 31 and got[99].n_neighbours == 0
     assert {r.n_neighbours for i, r in got.items() if i != 99} == {3}
     assert got[0].coh_x == 0.0 and got[29].coh_x == 0.0
+
+
+@pytest.mark.parametrize("toroidal", [True, False])
+def test_pairs_of_positions_are_told_agent_by_agent(spark, monkeypatch, toroidal):
+    """Positions with more agents than a block holds, columns of the agents' own, places and ids that are missing."""
+    monkeypatch.setattr(S, "BLOCK", 2)
+    world = World(100, 100, toroidal)
+    points = cloud(5, 60, lattice=True) + [(1, 200 + i, 49.0, float(i % 2)) for i in range(15)] + [(1, 300, -50.0, 0.0)]
+    rows = frame(spark, [*points, (1, 400, None, 0.0), (1, None, 49.0, 0.0)]).withColumn("tag", F.col("id") * 2)
+    got = S.neighbours(rows, 7, world, skew=EVERYTHING_HOT, form=F.round).collect()
+    assert sorted((r.time, r.id, r.id2) for r in got) == sorted(brute_pairs(points, 7, world))
+    assert all(r.tag == 2 * r.id and r.dist == round(math.hypot(r.x2 - r.x, r.y2 - r.y) if not toroidal else r.dist) for r in got)
+
+
+@pytest.mark.parametrize("name", ["neighbours_toroidal", "neighbours_enclosed", "neighbours_strict", "fov_neighbours"])
+def test_pairs_are_compared_and_rounded_once_per_position(spark, name):
+    """Past the step that tells the agents of a position, pairs cost no more than being written."""
+    plan = queries.run(name, spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    told, compared = plan.split("Generate explode(", 1)
+    assert not any(work in told.lower() for work in ("round(", "sqrt(", "join"))
+    assert "Join Inner" in compared
