@@ -158,20 +158,11 @@ def search(
     )
 
 
-def nearest(
-    points: DataFrame,
-    k: int,
-    world: World,
-    frame: Sequence[str] = ("time",),
-    *,
-    skew: Skew = Skew(),
-) -> DataFrame:
-    """(frame, id, x, y, id2, x2, y2, dist, rank): the k closest others, ties by id.
+def near_lists(points: DataFrame, k: int, frame: list[str], skew: Skew) -> DataFrame:
+    """(frame, x, y, near): the k + 1 agents closest to each occupied position, those on it included, ties by id.
 
-    Distances are plain, and positions may lie anywhere: the grids cover the data, not the ``world``.
+    An entry has d2, id2, x2, y2. ``points`` (frame, id, x, y) are written.
     """
-    frame = list(frame)
-    points = cut(points.select(*frame, "id", "x", "y"))
     bare = cut(_spots(points, frame, k))
     square = Pyramid.over(bare).deep_enough(bare, frame, k + 1)
     spots = cut(_fine(bare, square))
@@ -182,11 +173,31 @@ def nearest(
     )
     order = Window.partitionBy(*frame, "x", "y").orderBy("d2", "id2")
     best = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
-    lists = best.groupBy(*frame, "x", "y").agg(
+    return best.groupBy(*frame, "x", "y").agg(
         F.sort_array(F.collect_list(F.struct("d2", "id2", "x2", "y2"))).alias("near")
     )
+
+
+def nearest(
+    points: DataFrame,
+    k: int,
+    world: World,
+    frame: Sequence[str] = ("time",),
+    *,
+    skew: Skew = Skew(),
+    asking: DataFrame | None = None,
+) -> DataFrame:
+    """(frame, id, x, y, id2, x2, y2, dist, rank): the k closest others, ties by id.
+
+    Distances are plain, and positions may lie anywhere: the grids cover the data, not the ``world``.
+    ``asking`` are the points whose neighbours are wanted, by default all.
+    """
+    frame = list(frame)
+    points = cut(points.select(*frame, "id", "x", "y"))
+    lists = near_lists(points, k, frame, skew)
+    asking = points if asking is None else asking.select(*frame, "id", "x", "y")
     agents = skew_join(
-        points,
+        asking,
         cut(lists),
         [*frame, "x", "y"],
         spread_by=["id"],
@@ -238,6 +249,43 @@ def shared_neighbours(
     )
 
 
+def shared_nearest(
+    points: DataFrame, k: int, at_least: int, frame: Sequence[str] = ("time",), *, skew: Skew = Skew()
+) -> DataFrame:
+    """``shared_neighbours`` of the k nearest: (frame, id, id2, shared).
+
+    Agents of one position have all but the same neighbours, and those are among the first on their own positions. So
+    the lists of neighbours are brought together once per position, and an agent only reads what its position has.
+    """
+    frame = list(frame)
+    points = cut(points.select(*frame, "id", "x", "y"))
+    spot = [*frame, "x", "y"]
+    near = near_lists(points, k, frame, skew).dropna(subset=["x", "y"])
+    here = F.transform(F.filter("near", lambda p: p["d2"] == 0), lambda p: p["id2"])
+    lists = cut(near.select(*spot, F.col("near.id2").alias("ids"), here.alias("here")))
+
+    def without(ids: Column, one: Column) -> Column:
+        return F.slice(F.filter(ids, lambda i: i != one), 1, k)
+
+    # a neighbour of anyone is one of the k + 1 smallest of its position, and so in the list there
+    theirs = lists.withColumn("id2", F.explode("here")).select(*frame, "id2", without(F.col("ids"), F.col("id2")).alias("theirs"))
+    asked = lists.select(*spot, "ids", F.explode("ids").alias("id2"))
+    known = skew_join(
+        asked, cut(theirs), [*frame, "id2"], spread_by=["x", "y"], how="inner",
+        hot_rows=skew.needed(asked.count()).key_rows,
+    )
+    tables = known.groupBy(*spot, "ids").agg(F.collect_list(F.struct("id2", "theirs")).alias("others"))
+    agents = skew_join(
+        points, cut(tables), spot, spread_by=["id"], hot_rows=skew.needed(points.count()).key_rows
+    ).withColumn("own", without(F.col("ids"), F.col("id")))
+    shared = F.transform(
+        F.filter("others", lambda o: F.array_contains("own", o["id2"])),
+        lambda o: F.struct(o["id2"].alias("id2"), F.size(F.array_intersect("own", o["theirs"])).cast("long").alias("shared")),
+    )
+    kept = F.explode(F.filter(shared, lambda o: o["shared"] >= at_least)).alias("o")
+    return agents.select(*frame, "id", kept).select(*frame, "id", "o.id2", "o.shared")
+
+
 def kth_distances(neighbours: DataFrame, k: int, frame: Sequence[str] = ("time",)) -> DataFrame:
     """Distance of every agent to its k-th neighbour, the curve that suggests a radius."""
     return neighbours.where(F.col("rank") == k).select(*frame, "id", "dist")

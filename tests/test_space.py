@@ -271,3 +271,19 @@ def test_pairs_are_compared_and_rounded_once_per_position(spark, name):
     told, compared = plan.split("Generate explode(", 1)
     assert not any(work in told.lower() for work in ("round(", "sqrt(", "join"))
     assert "Join Inner" in compared
+
+
+@pytest.mark.parametrize("skew", [Skew(), EVERYTHING_HOT], ids=["even", "hot"])
+def test_shared_neighbours_of_positions(spark, monkeypatch, skew):
+    """The same as with the neighbours of every agent, on spots with fewer, as many and more agents than neighbours."""
+    points = cloud(3, 60, lattice=True, dense=40) + [(1, 200 + i, 1.0, float(i % 3 == 0)) for i in range(25)] + [(5, 1, 0.0, 0.0)]
+    rows = frame(spark, [*points, (1, 400, None, 0.0)])
+    want = N.shared_neighbours(N.nearest(rows, 4, World(100, 100)), 2).collect()
+    monkeypatch.setattr(N, "nearest", None)
+    got = N.shared_nearest(rows, 4, 2, skew=skew).collect()
+    assert len(want) > 100 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_shared_query_lists_neighbours_per_position(spark, monkeypatch):
+    monkeypatch.setattr(N, "nearest", None)
+    assert queries.run("shared_nn", spark, "/root/testdata/sf0.001").count() > 0
