@@ -383,7 +383,7 @@ def closest_within(
     """
     frame = list(frame)
     skew = skew or NO_SKEW
-    if world.toroidal and 2 * radius >= min(world.width, world.height):
+    if world.toroidal and 2 * radius * (1 + 1e-6) >= min(world.width, world.height):
         pairs = closest(placed_neighbours(points, radius, world, frame, carry, skew=skew), k, frame)
         item = F.struct("dist", "id2", "x2", "y2", *[f"{c}2" for c in carry])
         lists = pairs.groupBy(*frame, "id").agg(F.sort_array(F.collect_list(item)).alias("near"))
@@ -409,7 +409,11 @@ def closest_within(
     hot_rows = skew.needed(spots.count() * square.levels).key_rows
     queries = _fine(bare.select(*frame, "x", "y"), square)
     spot = [*frame, "x", "y"]
-    found = search(queries, spots, k + 1, square, frame, hot_rows).select(*spot, F.explode("ids").alias("p"))
+    found = search(queries, spots, k + 1, square, frame, hot_rows)
+    # a wide search also meets the other images of an agent: only one lies within the radius
+    reach = F.lit(radius * (1 + 1e-9))
+    found = found.where((F.abs(F.col("x2") - F.col("x")) <= reach) & (F.abs(F.col("y2") - F.col("y")) <= reach))
+    found = found.select(*spot, F.explode("ids").alias("p"))
     d = V.delta(F.col("x"), F.col("y"), F.col("p.x2"), F.col("p.y2"), world)
     found = found.where(V.norm_sq(d) <= F.lit(float(radius) ** 2)).withColumn("dist", V.norm(d))
     order = Window.partitionBy(*spot).orderBy("dist", "p.id")

@@ -224,9 +224,11 @@ def brute_closest(points, radius, k, world):
 def test_neighbour_cap_equals_brute_force(spark, toroidal, radius):
     world = World(100, 100, toroidal)
     edge = [(1, 500, 50.0, 3.0), (1, 501, -50.0, 3.0), (1, 502, 49.0, 50.0), (1, 503, -49.5, -50.0), (3, 504, 0.0, 0.0)]
-    points = cloud(radius, 80, lattice=True, dense=30) + edge
+    few = [(7, 1, -49.0, 0.0), (7, 2, 49.0, 3.0), (8, 1, -48.0, -48.0), (8, 2, 49.0, 49.0), (8, 3, -48.0, 49.0)]
+    points = cloud(radius, 80, lattice=True, dense=30) + edge + few
     rows = frame(spark, [*points, (1, 600, None, 1.0)])
     got = S.nearest_within(rows, radius, 3, world).collect()
+    assert len({(r.time, r.id, r.id2) for r in got}) == len(got)
     assert {(r.time, r.id, r["rank"]): r.id2 for r in got} == brute_closest(points, radius, 3, world)
     assert all(abs(math.hypot(r.ox, r.oy) - r.dist) < 1e-9 for r in got)
 
