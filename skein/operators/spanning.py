@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.cluster import connected
 from skein.operators.nearest import nearest
+from skein.operators.skew import skew_join
 from skein.operators.voronoi import cells
 from skein.schema import World
 from skein.session import cut
@@ -82,28 +83,44 @@ def mst_knn(points: DataFrame, frame: Sequence[str] = ("time",), rounds: int | N
     An edge of the spanning tree stays if one of its ends is among the k nearest of the other, where k is
     the floor of log(n), at least 1, for a group of n. The groups that stay together are split in the
     same way again, each with its own k, ``rounds`` times or until no edge goes.
+
+    Agents on one spot hang on the smallest of them, which is the nearest of each: these edges always stay. So
+    the tree and the groups are kept per position, and only its smallest agent asks for its neighbours.
     """
     frame = list(frame)
-    points = cut(points.drop("cluster_id"))
-    edges = cut(spanning_tree(points, frame))
-    group = points.select(*frame, "id", F.lit(0).cast("long").alias("cluster_id"))
+    spot = [*frame, "x", "y"]
+    points = cut(points.drop("cluster_id").dropna(subset=[*frame, "id"]))
+    at = points.dropna(subset=["x", "y"])
+    sites = cut(at.groupBy(*spot).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    nodes = sites.select(*frame, F.col("id").alias("node"))
+    edges = nodes.select(*frame, F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for tree in _boruvka(nodes, borders(sites.drop("n"), frame), frame):
+        edges = edges.unionByName(tree.select(*frame, "a", "b"))
+    edges = cut(edges)
+    world = _world(points)
+    # agents without a place count to their frame, and are clusters of their own
+    sizes = points.groupBy(*frame, F.lit(0).cast("long").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"))
+    members, group = at.withColumn("cluster_id", F.lit(0).cast("long")), sites.withColumn("cluster_id", F.lit(0).cast("long"))
+    key = [*frame, "cluster_id"]
     done = 0
     while rounds is None or done < rounds:
-        key = [*frame, "cluster_id"]
-        k = F.greatest(F.lit(1), F.floor(F.log(F.count(F.lit(1)).cast("double")))).alias("k")
-        sizes = cut(group.groupBy(*key).agg(k))
+        k = F.greatest(F.lit(1), F.floor(F.log(F.col("n").cast("double")))).alias("k")
+        sizes = cut(sizes.select(*key, k))
         most = sizes.agg(F.max("k")).first()[0]  # grows with the logarithm of a group
         if most is None:
             break
-        members = points.select(*frame, "id", "x", "y").join(group, [*frame, "id"])
-        near = nearest(members, most, _world(points), key).join(sizes, key).where("rank <= k")
-        pairs = near.select(*frame, F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct()
-        kept = cut(edges.join(pairs, [*frame, "id", "id2"], "left_semi"))
-        nodes = points.select(*frame, F.col("id").alias("node"))
-        found = connected(nodes, kept.select(*frame, F.col("id").alias("u"), F.col("id2").alias("v")), frame)
-        group = found.select(*frame, F.col("node").alias("id"), F.col("label").alias("cluster_id"))
+        near = nearest(members, most, world, key, asking=group).join(sizes, key).where("rank <= k")
+        pairs = near.select(*frame, F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        kept = cut(edges.join(pairs, [*frame, "a", "b"], "left_semi"))
+        found = connected(nodes, kept.select(*frame, F.col("a").alias("u"), F.col("b").alias("v")), frame)
+        named = found.select(*frame, F.col("node").alias("id"), F.col("label").alias("cluster_id"))
+        group = cut(sites.join(named, [*frame, "id"]))
+        sizes = group.groupBy(*key).agg(F.sum("n").alias("n"))
+        members = skew_join(at, group.select(*spot, "cluster_id"), spot, spread_by=["id"], how="inner")
         done += 1
         if kept.count() == edges.count():
             break
         edges = kept
-    return points.join(group, [*frame, "id"])
+    clusters = group.select(*spot, "cluster_id")
+    labelled = skew_join(points, clusters, spot, spread_by=["id"])
+    return labelled.withColumn("cluster_id", F.coalesce("cluster_id", "id"))

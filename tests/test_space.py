@@ -11,6 +11,7 @@ from skein.operators import cluster as C
 from skein.operators import hull as U
 from skein.operators import nearest as N
 from skein.operators import rules as R
+from skein.operators import spanning as T
 from skein.operators import spatial as S
 from skein.operators.skew import Skew, skew_join
 from skein.plans import queries
@@ -289,3 +290,25 @@ def test_shared_neighbours_of_positions(spark, monkeypatch, skew):
 def test_shared_query_lists_neighbours_per_position(spark, monkeypatch):
     monkeypatch.setattr(N, "nearest", None)
     assert queries.run("shared_nn", spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_mst_knn_keeps_its_tree_per_position(spark, monkeypatch):
+    """Agents on one spot are no nodes of the tree and do not ask for neighbours; agents without a place stay alone."""
+    rows = [(1, i, float(i % 3), 0.0) for i in range(30)] + [(1, 50 + i, 40.0 + i % 2, 40.0) for i in range(9)] + [(1, 90, None, 1.0)]
+    nodes, asked = [], []
+    linked, near = T.connected, T.nearest
+
+    def connected(n, edges, frame):
+        nodes.append(n.count())
+        return linked(n, edges, frame)
+
+    def nearest(*args, asking):
+        asked.append(asking.count())
+        return near(*args, asking=asking)
+
+    monkeypatch.setattr(T, "connected", connected)
+    monkeypatch.setattr(T, "nearest", nearest)
+    got = {r.id: r.cluster_id for r in T.mst_knn(frame(spark, rows), rounds=1).collect()}
+    assert max(nodes) <= 5 and asked == [5]
+    # with 3 neighbours asked for, nobody looks beyond the own spot
+    assert got == {i: 90 if i == 90 else 50 + i % 2 if i >= 50 else i % 3 for _, i, _, _ in rows}
