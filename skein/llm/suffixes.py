@@ -23,18 +23,20 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skein.llm import repeats
-from skein.llm.common import by_row, joined_hashes, public_id, runs, sha256, text_buffers
-from skein.llm.repeats import Method, merged
+from skein.llm.common import arrow_schema, joined_hashes, public_id, runs, text_buffers
+from skein.llm.repeats import Method, merged_lists
 
 LENGTH = 50  # bytes
 GRAM = 24  # bytes of an anchor
-PIECE = 1 << 20  # bytes that are hashed at a time
+PIECE = 1 << 18  # bytes that are hashed at a time: their hashes stay in a core's cache
 AT = np.uint64((1 << 24) - 1)  # low bits of a packed hash: the place in the piece
 BASE = 0x9E3779B97F4A7C15
 
@@ -94,6 +96,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number that sorts as the two ranks do; ranks are from -1 to 2**31 - 2."""
+    return first << 32 | second + 1
+
+
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first ``depth`` bytes (8 times a power of two), and their ranks.
 
@@ -104,27 +111,24 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(8):
         key <<= np.uint64(8)
         key[: n - i] |= text[i:]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     heads = runs([key[sa]])
     sizes = np.diff(np.r_[heads, n])
     rank = np.empty(n + depth, np.int64)
     rank[n:] = -1
     rank[sa] = np.repeat(heads, sizes)
+    slots = np.flatnonzero(np.repeat(sizes > 1, sizes))  # members of groups still unsorted
     step = 8
-    while step < depth:
-        slots = np.flatnonzero(np.repeat(sizes > 1, sizes))  # members of groups still unsorted
-        if not len(slots):
-            break
+    while step < depth and len(slots):
         members = sa[slots]
-        old = rank[members]
-        order = np.lexsort((rank[members + step], old))
-        members, old = members[order], old[order]
-        after = rank[members + step]
+        both = paired(rank[members], rank[members + step])
+        order = np.argsort(both)
+        members, both = members[order], both[order]
         sa[slots] = members
-        first = runs([old, after])
-        rank[members] = np.repeat(slots[first], np.diff(np.r_[first, len(slots)]))
-        heads = runs([rank[sa]])
-        sizes = np.diff(np.r_[heads, n])
+        first = runs([both])
+        sizes = np.diff(np.r_[first, len(slots)])
+        rank[members] = np.repeat(slots[first], sizes)
+        slots = slots[np.repeat(sizes > 1, sizes)]
         step *= 2
     return sa, rank
 
@@ -143,9 +147,9 @@ def smallest_holder(texts: list[bytes], dids: np.ndarray, length: int) -> np.nda
         depth *= 2
     sa, rank = suffix_array(whole, depth)
     # A common prefix of ``length`` bytes: the first ``depth`` agree, and the last ``depth``.
-    head, tail = rank[at], rank[at + length - depth]
-    order = np.lexsort((tail, head))
-    starts = runs([head[order], tail[order]])
+    both = paired(rank[at], rank[at + length - depth])
+    order = np.argsort(both)
+    starts = runs([both[order]])
     least = np.minimum.reduceat(dids[owner[order]], starts) if len(starts) else np.zeros(0, np.int64)
     out = np.empty(len(at), np.int64)
     out[order] = np.repeat(least, np.diff(np.r_[starts, len(order)]))
@@ -169,7 +173,8 @@ def _around(length: int):
         doc, place, count, hashes = doc[held], place[held], count[held], hashes[held]
         begin = ends[doc] + place
         found = zip(begin.tolist(), (begin + count - 1 + length).tolist())
-        return doc, place, hashes, [data[a:b].tobytes() for a, b in found]
+        whole = data.tobytes()
+        return doc, place, hashes, [whole[a:b] for a, b in found]
 
     return around
 
@@ -193,23 +198,34 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def summary(marked: DataFrame, length: int = LENGTH) -> DataFrame:
     """Counts and digests of ``dedup``'s rows."""
 
-    def make():
-        def row(did, text, whole, spans):
-            data = text.encode()
-            lost = merged((s["start"], s["end"]) for s in spans or ())
-            if whole and len(data) >= length:
-                lost = [(0, len(data))]
-            kept, at = [], 0
-            for a, b in lost:
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
-            return did, len(data), sum(b - a for a, b in lost), len(lost), sha256(b"".join(kept))
-
-        return row
-
-    out = by_row(
-        marked, make, ["did", "text", "whole", "spans"],
-        "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
-    )
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, ends = text_buffers(batch.column(1))
+            row, begin, end = merged_lists(batch.column(3))
+            # A whole copy has no spans: all of it is lost, if any window fits.
+            sizes = np.diff(ends)
+            whole = batch.column(2).to_numpy(zero_copy_only=False) & (sizes >= length)
+            n_spans = np.bincount(row, minlength=len(sizes))
+            first = np.r_[0, np.cumsum(n_spans)].tolist()
+            removed = np.r_[0, np.cumsum(end - begin)]
+            n_removed = np.where(whole, sizes, np.diff(removed[first]))
+            begins, stops = (ends[row] + begin).tolist(), (ends[row] + end).tolist()
+            view, digests = memoryview(data), []
+            for i, (at, stop) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                digest = hashlib.sha256()
+                if not whole[i]:
+                    for k in range(first[i], first[i + 1]):
+                        digest.update(view[at : begins[k]])
+                        at = stops[k]
+                    digest.update(view[at:stop])
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *map(pa.array, (sizes, n_removed, np.where(whole, 1, n_spans), digests))], schema=target
+            )
+
+    schema = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    target = arrow_schema(marked.sparkSession, schema)
+    out = marked.select("did", "text", "whole", "spans").mapInArrow(task, schema)
     return out.select(public_id(), *out.columns[1:])

@@ -152,6 +152,74 @@ def test_suffix_array_sorts_to_its_depth():
             assert (rank[i] == rank[j]) == (padded[i : i + 32] == padded[j : j + 32] or i == j)
 
 
+def test_long_texts_are_hashed_in_parts(spark, monkeypatch):
+    rows = stitched(random.Random(9), ["a", "b", "é c"], 10, 50)
+    texts = suffixes.pa.array([t for _, t in rows])
+    whole = suffixes._around(50)(texts, lambda doc, hashes: hashes == hashes)
+    monkeypatch.setattr(suffixes, "PIECE", 64)
+    parts = suffixes._around(50)(texts, lambda doc, hashes: hashes == hashes)
+
+    def windows(doc, place, owner, contents):
+        return {(d, p + k, o, c[k : k + 50]) for d, p, o, c in zip(doc, place, owner, contents) for k in range(len(c) - 49)}
+
+    assert len(parts[0]) > len(whole[0]) and windows(*parts) == windows(*whole)
+
+
+@pytest.mark.parametrize("crowd", [60, 8])
+def test_shards_are_filled_with_whole_owners(monkeypatch, crowd):
+    """Up to SHARD rows and one stretch of owners at a time, however many a batch has; crowds pass."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "SHARD", 10)
+    rng = random.Random(10)
+    owners = sorted(rng.choice([rng.randint(0, 300), 7, 150]) for _ in range(400))
+    owners = [o for o in owners if o not in (7, 150)] + [7] * 9 + [150] * 50
+    owners.sort()
+    pa, np = suffixes.pa, suffixes.np
+    rows = pa.table({
+        "owner": owners, "nh": range(len(owners)), "around": [b"x"] * len(owners),
+        "did": range(len(owners)), "last": [10**6] * len(owners),
+    })
+    taken = []
+
+    def least(contents, dids):
+        taken.append([owners[d] for d in dids])
+        return dids
+
+    method = repeats.Method(1, None, None, len, None, least)
+    told = [b for b in repeats.verdicts(method)(rows.to_batches(max_chunksize=90))]
+    crowds = {o for o in owners if owners.count(o) > crowd}
+    assert crowds == ({7, 150} if crowd == 8 else set())
+    passed = [o for b in told for o, x in zip(b["owner"].to_pylist(), b["least"].to_pylist()) if x is None]
+    assert sorted(passed) == [o for o in owners if o in crowds]
+    assert sorted(o for x in taken for o in x) == [o for o in owners if o not in crowds]
+    assert all(len(set(a) & set(b)) == 0 for i, a in enumerate(taken) for b in taken[:i])
+    assert len(taken) > 8 and max(map(len, taken)) <= 10 + 10 + max(owners.count(o) for o in set(owners) - crowds)
+    assert np.concatenate([np.frombuffer(x, np.int64) for b in told for x in b["least"].to_pylist() if x]).size == sum(map(len, taken))
+
+
+def test_membership_of_hashes():
+    rng = suffixes.np.random.default_rng(11)
+    hashes = rng.integers(0, 2**64, 5000, dtype="uint64")
+    hashes[:3] = 0, 2**64 - 1, 2**63
+    near = suffixes.np.r_[hashes, hashes + suffixes.np.uint64(1), hashes - suffixes.np.uint64(1)]
+    for names in (hashes[:1], hashes[:2500], hashes):
+        names = suffixes.np.unique(names)
+        assert repeats.member(names)(near).tolist() == suffixes.np.isin(near, names).tolist()
+
+
+def test_lists_of_spans_are_merged():
+    rng = random.Random(12)
+    rows = [[(a, a + rng.randint(1, 9)) for a in rng.choices(range(60), k=rng.randint(0, 9))] for _ in range(50)]
+    rows += [None, [], [(0, 2**31 - 1)], [(5, 9), (0, 5)], [(0, 9), (2, 3), (4, 12)], None]
+    kind = suffixes.pa.list_(suffixes.pa.struct([("start", suffixes.pa.int32()), ("end", suffixes.pa.int32())]))
+    lists = [x if x is None else [{"start": a, "end": b} for a, b in x] for x in rows]
+    for skip in (0, 7):
+        found = repeats.merged_lists(suffixes.pa.array(lists, kind)[skip:])
+        expected = [(i, a, b) for i, x in enumerate(rows[skip:]) for a, b in repeats.merged(x or [])]
+        assert list(zip(*(c.tolist() for c in found))) == expected
+    assert all(len(c) == 0 for c in repeats.merged_lists(suffixes.pa.array([None, []], kind)))
+
+
 def test_cover_holds_every_difference():
     cover = substrings.COVER
     assert {(a - b) % substrings.PERIOD for a in cover for b in cover} == set(range(substrings.PERIOD))
