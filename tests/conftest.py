@@ -13,3 +13,10 @@ def spark():
     session = local_session(8, partitions=4, memory="6g")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def no_cached_tables(request):
+    """What another test has cached would stand in the plans of this one in place of its reads."""
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
