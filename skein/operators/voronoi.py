@@ -1,4 +1,7 @@
-"""Voronoi cells of every frame, relaxed, without one task seeing a whole frame.
+"""Voronoi cells of every frame, relaxed, without one task seeing a crowded frame.
+
+Frames of at most HELD sites are taken whole by a task, with all their relaxations (``rings``). The cells
+of larger ones are cut from joins over all tasks, as are those of ``cells`` and ``moved_cells``:
 
 A site's cell starts as the world clipped by the bisectors towards its nearest
 sites. It is final when all further sites are more than twice as far as its
@@ -13,11 +16,15 @@ some sites hold the exact ones, so their areas add up to the world only if all a
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import rings
 from skein.operators.nearest import Pyramid, _fine, nearest, search
 from skein.operators.skew import Skew, skew_join
 from skein.schema import World
@@ -26,6 +33,8 @@ from skein.session import cut
 FIRST = 16  # nearest sites that clip a cell before its corners are checked
 AT_ONCE = 8  # sites a corner may add to its cell in one check
 HUB = 32  # neighbours of a site whose list others don't take over after a move
+HELD = 1 << 16  # sites of a frame that one task takes whole
+AT_A_TIME = 1 << 12  # sites, about, whose cells a task computes together
 RELAXATIONS = 5  # fixed value: Lloyd relaxations before areas are taken
 _RING = "array<struct<x:double,y:double>>"
 # A corner that also knows the site beyond the edge that starts there; none beyond the world's border.
@@ -253,20 +262,10 @@ def moved_cells(
     return _checked(cut(marked), sites, world, frame, _LABELLED, skew)
 
 
-def relaxed_areas(
-    points: DataFrame,
-    world: World,
-    frame: Sequence[str] = ("time",),
-    relaxations: int = RELAXATIONS,
-    *,
-    skew: Skew = Skew(),
+def _relaxed_apart(
+    sites: DataFrame, world: World, frame: list[str], relaxations: int, skew: Skew
 ) -> DataFrame:
-    """(frame, id, area) of cells after moving each site to its cell's centre some times.
-
-    Agents on one spot are one site, named by its smallest agent.
-    """
-    frame = list(frame)
-    sites = cut(points.groupBy(*frame, "x", "y").agg(F.min("id").alias("id")))
+    """(frame, id, area) of frames of any size, a few jobs a relaxation."""
     ring = F.col("ring")
     twice = _along(ring, _cross)
     found = cells(sites, world, frame, skew=skew, labelled=relaxations > 0)
@@ -291,6 +290,78 @@ def relaxed_areas(
     return found.select(*frame, "id", (F.abs(twice) / 2).alias("area"))
 
 
+def _frame_starts(table: pa.Table, frame: Sequence[str]) -> np.ndarray:
+    """Where the frames of a table start that is sorted by them."""
+    new = np.arange(table.num_rows) == 0
+    for c in frame:
+        codes = pc.fill_null(table[c].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_frames(batches: Iterator[pa.RecordBatch], frame: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about AT_A_TIME rows that end where a frame does, and where their frames start."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        if rest.num_rows < AT_A_TIME:
+            continue
+        starts = _frame_starts(rest, frame)
+        # frames end about every AT_A_TIME rows; the last one may go on
+        ends = starts[np.searchsorted(starts, np.arange(AT_A_TIME, starts[-1] + AT_A_TIME, AT_A_TIME).clip(max=starts[-1]))]
+        done = 0
+        for end in np.unique(ends[ends > 0]):
+            yield rest.slice(done, end - done), starts[(starts >= done) & (starts < end)] - done
+            done = end
+        rest = rest.slice(done)
+    if rest is not None and rest.num_rows:
+        yield rest, _frame_starts(rest, frame)
+
+
+def _held_areas(world: World, frame: list[str], relaxations: int) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_frames(batches, frame):
+            x, y = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in "xy")
+            frames = np.append(starts, table.num_rows)
+            areas = rings.relaxed_areas(frames, x, y, world.width, world.height, relaxations)
+            yield from table.drop(["x", "y"]).append_column("area", pa.array(areas)).to_batches()
+
+    return task
+
+
+def relaxed_areas(
+    points: DataFrame,
+    world: World,
+    frame: Sequence[str] = ("time",),
+    relaxations: int = RELAXATIONS,
+    *,
+    skew: Skew = Skew(),
+) -> DataFrame:
+    """(frame, id, area) of cells after moving each site to its cell's centre some times.
+
+    Agents on one spot are one site, named by its smallest agent. The area is null where a place is missing.
+    """
+    frame = list(frame)
+    sites = cut(points.groupBy(*frame, "x", "y").agg(F.min("id").alias("id")).select(*_key(frame), "x", "y"))
+    nowhere = F.col("x").isNull() | F.col("y").isNull()
+    missing = sites.where(nowhere).select(*_key(frame), F.lit(None).cast("double").alias("area"))
+    held = sites.where(~nowhere)
+    n, apart = held.count(), None
+    if n > HELD:
+        sizes = cut(held.groupBy(*frame).agg((F.count(F.lit(1)) > HELD).alias("crowded")))
+        if not sizes.where("crowded").isEmpty():
+            hot_rows = skew.needed(n).key_rows
+            marked = cut(skew_join(held, sizes, frame, spread_by=["id"], hot_rows=hot_rows))
+            crowded = marked.where("crowded").drop("crowded")
+            apart = _relaxed_apart(crowded, world, frame, relaxations, skew)
+            held = marked.where("NOT coalesce(crowded, false)").drop("crowded")
+    schema = held.select(*_key(frame), F.lit(0.0).alias("area")).schema
+    dealt = held.repartition(max(1, math.ceil(n / AT_A_TIME)), *frame).sortWithinPartitions(*frame)
+    found = dealt.mapInArrow(_held_areas(world, frame, relaxations), schema).unionByName(missing)
+    return found if apart is None else found.unionByName(apart)
+
+
 def occupancy(
     points: DataFrame, radius: float, world: World, frame: Sequence[str] = ("time",), **options
 ) -> DataFrame:
@@ -299,7 +370,7 @@ def occupancy(
     small = (
         relaxed_areas(points, world, frame, **options)
         .groupBy(*frame)
-        .agg(F.sum((F.col("area") < limit).cast("long")).alias("small"))
+        .agg(F.count_if(F.col("area") < limit).alias("small"))
     )
     agents = points.groupBy(*frame).agg(F.count(F.lit(1)).alias("agents"))
     return small.join(agents, [*frame]).select(
