@@ -267,6 +267,19 @@ def test_pairs_of_positions_are_told_agent_by_agent(spark, monkeypatch, toroidal
     assert all(r.tag == 2 * r.id and r.dist == round(math.hypot(r.x2 - r.x, r.y2 - r.y) if not toroidal else r.dist) for r in got)
 
 
+def test_a_crowd_is_told_in_small_rows(spark):
+    """No joined row stands for more than 64 times 64 pairs, which Spark would keep in memory, and none is lost."""
+    points = spark.range(500).selectExpr("1L AS time", "id", "double(id % 3 DIV 2) AS x", "0.0D AS y")
+    celled = S.with_cell(points, S.Grid.for_radius(World(100, 100), 7.0))
+    for skew in (Skew(), EVERYTHING_HOT):
+        rows = S._blocks(celled, ["time"], [], skew).collect()
+        assert max(len(r.agents) for r in rows) <= 64
+        assert len({(r.x, r._part) for r in rows}) == len(rows)
+        assert sorted(i for r in rows for i in r.agents) == list(range(500))
+        got = S.neighbours(points, 7.0, World(100, 100), skew=skew)
+        assert (got.count(), got.select("id", "id2").distinct().count()) == (500 * 499, 500 * 499)
+
+
 @pytest.mark.parametrize("name", ["neighbours_toroidal", "neighbours_enclosed", "neighbours_strict", "fov_neighbours"])
 def test_pairs_are_compared_and_rounded_once_per_position(spark, name):
     """Past the step that tells the agents of a position, pairs cost no more than being written."""
